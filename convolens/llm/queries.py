@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from convolens.llm import decontaminate, line_dedup
+from convolens.llm import decontaminate, line_dedup, near_dedup
 from convolens.llm.common import table
 
 
@@ -19,7 +19,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("hits", "items")
 
 
-QUERIES = {f.__name__: f for f in (op4_line_dedup, op9_decontamination)}
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of the whole documents table."""
+    return near_dedup.find_groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_line_dedup, op9_decontamination, op10_minhash_near_dedup)}
 
 ORACLE_SQL = {
     "op4_line_dedup": r"""
