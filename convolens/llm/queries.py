@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from convolens.llm import decontaminate, line_dedup, near_dedup
+from convolens.llm import decontaminate, line_dedup, near_dedup, packing, quality
 from convolens.llm.common import table
 
 
@@ -13,6 +13,23 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole documents table packed into sequences."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence, host and path posteriors of the whole documents table."""
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline over the whole documents table."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in the whole documents table."""
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -24,7 +41,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.find_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_line_dedup, op9_decontamination, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op4_line_dedup, op5_best_fit_packing, op6_quality_classifier, op9_decontamination, op10_minhash_near_dedup, pipeline)}
 
 ORACLE_SQL = {
     "op4_line_dedup": r"""
