@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from convolens.llm import decontaminate, fingerprint, line_dedup, near_dedup, packing, quality
+from convolens.llm import decontaminate, fingerprint, line_dedup, near_dedup, packing, quality, token_files
 from convolens.llm.common import table
 
 
@@ -35,6 +35,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole documents table as token-id files, reported from the files read back."""
+    return token_files.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in the whole documents table."""
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -46,7 +51,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.find_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_fingerprints, op4_line_dedup, op5_best_fit_packing, op6_quality_classifier, op9_decontamination, op10_minhash_near_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op3_fingerprints, op4_line_dedup, op5_best_fit_packing, op6_quality_classifier, op8_token_files, op9_decontamination, op10_minhash_near_dedup, pipeline)}
 
 ORACLE_SQL = {
     "op4_line_dedup": r"""
