@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from convolens.llm import decontaminate, fingerprint, line_dedup, near_dedup, packing, quality, token_files
+from convolens.llm import decontaminate, fingerprint, html_text, line_dedup, near_dedup, packing, quality, token_files
 from convolens.llm.common import table
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main texts of the whole pages table."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the whole documents table and of its edited texts."""
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
@@ -51,7 +56,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.find_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_fingerprints, op4_line_dedup, op5_best_fit_packing, op6_quality_classifier, op8_token_files, op9_decontamination, op10_minhash_near_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op3_fingerprints, op4_line_dedup, op5_best_fit_packing, op6_quality_classifier, op8_token_files, op9_decontamination, op10_minhash_near_dedup, pipeline)}
 
 ORACLE_SQL = {
     "op4_line_dedup": r"""
