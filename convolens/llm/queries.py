@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from convolens.llm import decontaminate, fingerprint, html_text, line_dedup, near_dedup, packing, quality, token_files
+from convolens.llm import decontaminate, fingerprint, html_text, line_dedup, near_dedup, packing, quality, token_files, warc
 from convolens.llm.common import table
 
 
@@ -40,6 +40,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revisits of a crawl made of the whole pages table, resolved."""
+    return warc.resolve(warc.records_of_pages(table(spark, sf_dir, "pages")))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole documents table as token-id files, reported from the files read back."""
     return token_files.round_trip(table(spark, sf_dir, "documents"))
@@ -56,7 +61,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.find_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op3_fingerprints, op4_line_dedup, op5_best_fit_packing, op6_quality_classifier, op8_token_files, op9_decontamination, op10_minhash_near_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op3_fingerprints, op4_line_dedup, op5_best_fit_packing, op6_quality_classifier, op7_warc_revisits, op8_token_files, op9_decontamination, op10_minhash_near_dedup, pipeline)}
 
 ORACLE_SQL = {
     "op4_line_dedup": r"""
@@ -87,5 +92,39 @@ owned AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc_words LEFT JOIN hit USING (doc_id) LEFT JOIN owned USING (doc_id)
+""",
+    "op7_warc_revisits": r"""
+WITH base AS (
+  SELECT page_id AS n, url, '"' || md5(coalesce(html, '')) || '"' AS etag, 'day ' || (page_id % 365) AS modified, CAST(length(coalesce(html, '')) AS VARCHAR) AS size FROM pages),
+raw AS (
+  SELECT n * 2 AS record_id, true AS full_response, url, n * 10 AS time, etag, modified, size, NULL AS day FROM base
+  UNION ALL
+  SELECT n * 2 + 1, false,
+    CASE n % 4 WHEN 0 THEN regexp_replace(url, '^https?://', 'HTTP://WWW.') WHEN 1 THEN url || '#part' WHEN 2 THEN regexp_replace(url, '^https?://([^/?#]*)', 'https://\1:443') ELSE url END,
+    n * 10 + CASE WHEN n % 3 = 0 THEN -5 ELSE 1005 END,
+    CASE n % 5 WHEN 0 THEN etag WHEN 1 THEN 'W/' || etag WHEN 2 THEN '"stale"' END,
+    CASE WHEN n % 5 = 3 THEN modified END, NULL, CASE WHEN n % 5 = 4 THEN modified END FROM base),
+bare AS (SELECT *, regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?@]*@)?', '') AS b FROM raw),
+parts AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(b, '^([^/?]*)', 1)), '^www\.', ''), ':(80|443)$', '') AS host,
+    regexp_replace(regexp_extract(b, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+    list_sort(list_filter(string_split(regexp_extract(b, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)'))) AS q FROM bare),
+rec AS (SELECT *, host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canonical_url FROM parts),
+best AS (
+  SELECT v.record_id, max_by(r.record_id, r.time * 1000000000 + r.record_id) AS rid
+  FROM rec v JOIN rec r ON v.canonical_url = r.canonical_url AND r.full_response AND NOT v.full_response AND r.time < v.time GROUP BY v.record_id),
+judged AS (
+  SELECT v.record_id, v.url, v.canonical_url, v.time, r.record_id AS rid, v.etag AS ve, v.day, r.etag AS re, r.modified AS rm, r.size,
+    CASE WHEN r.record_id IS NULL THEN 'missing'
+      WHEN v.etag IS NOT NULL THEN CASE WHEN regexp_replace(v.etag, '^W/', '') = r.etag THEN 'resolved' ELSE 'mismatch' END
+      WHEN v.modified IS NOT NULL THEN CASE WHEN v.modified = r.modified THEN 'resolved' ELSE 'mismatch' END
+      ELSE 'unverified' END AS status
+  FROM rec v LEFT JOIN best USING (record_id) LEFT JOIN rec r ON r.record_id = best.rid WHERE NOT v.full_response)
+SELECT record_id, url, canonical_url, time, status,
+  CASE WHEN status IN ('resolved', 'unverified') THEN rid END AS response_id,
+  CASE WHEN status IN ('resolved', 'unverified') THEN
+    'age: 0' || chr(10) || 'cache-control: max-age=120' || chr(10) || 'content-length: ' || size || chr(10) || 'content-type: text/html' || chr(10)
+    || CASE WHEN day IS NULL THEN '' ELSE 'date: ' || day || chr(10) END || 'etag: ' || coalesce(ve, re) || chr(10) || 'last-modified: ' || rm END AS headers
+FROM judged
 """,
 }
