@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from convolens.llm import decontaminate, fingerprint, html_text, line_dedup, near_dedup, packing, quality, token_files, warc
+from convolens.llm import context_tree, decontaminate, fingerprint, html_text, line_dedup, near_dedup, packing, quality, token_files, warc
 from convolens.llm.common import table
 
 
@@ -13,6 +13,11 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op2_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model scores of the whole documents table."""
+    return context_tree.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the whole documents table and of its edited texts."""
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
@@ -61,7 +66,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.find_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op3_fingerprints, op4_line_dedup, op5_best_fit_packing, op6_quality_classifier, op7_warc_revisits, op8_token_files, op9_decontamination, op10_minhash_near_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_context_tree_scores, op3_fingerprints, op4_line_dedup, op5_best_fit_packing, op6_quality_classifier, op7_warc_revisits, op8_token_files, op9_decontamination, op10_minhash_near_dedup, pipeline)}
 
 ORACLE_SQL = {
     "op4_line_dedup": r"""
