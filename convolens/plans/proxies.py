@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from convolens.functions import constraints, text
 from convolens.operators import dml, intervals, leaderboard, linearize, metrics, replay, retrieval, rewards, usage, voice, work
+from convolens.streaming import events as events_stream
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -491,3 +492,20 @@ SELECT simulation_id, key, value FROM s WHERE n = 1""")
 def state_replay(spark, sf_dir):
     calls = ticks(spark, sf_dir).select("simulation_id", F.col("tick").alias("pos"), F.when(F.col("event_type") == "view", "look").otherwise("set").alias("name"), F.col("event_type").alias("key"), "value")
     return replay.replay_sets(calls)
+
+
+# --- streaming definitions, as batches ---------------------------------------------------------
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def tumbling_counts(spark, sf_dir):
+    rows = events_stream.tumbling_counts(_t(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return rows.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("""WITH m AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM m)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 10 MINUTE AS "end", count(*) AS n FROM g GROUP BY user_id, k""")
+def event_sessions(spark, sf_dir):
+    rows = events_stream.sessions(_t(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return rows.withColumns({"start": F.col("start").cast("timestamp_ntz"), "end": F.col("end").cast("timestamp_ntz")})
