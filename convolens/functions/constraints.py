@@ -29,42 +29,36 @@ def _comparable(kind: DataType, value: Any) -> bool:
 def _equal(column: Column, kind: DataType, value: Any) -> Column:
     if value is None:
         return column.isNull()
-    return F.coalesce(column == F.lit(value), F.lit(False)) if _comparable(kind, value) else F.lit(False)
+    return column.eqNullSafe(F.lit(value)) if _comparable(kind, value) else F.lit(False)
 
 
 def _ordered(compare: Callable) -> Callable:
-    def build(column: Column, kind: DataType, value: Any) -> Column:
-        if value is None or not _comparable(kind, value):
-            return F.lit(False)
-        return F.coalesce(compare(column, F.lit(value)), F.lit(False))
-
-    return build
+    return lambda column, kind, value: compare(column, F.lit(value)) if value is not None and _comparable(kind, value) else F.lit(False)
 
 
 def _contains(column: Column, kind: DataType, value: Any) -> Column:
     if value is None:
         return F.lit(False)
     if isinstance(kind, ArrayType):
-        found = F.array_contains(column, value)
-    elif isinstance(kind, MapType):
-        found = F.map_contains_key(column, value)
-    elif isinstance(kind, StringType) and isinstance(value, str):
-        found = F.contains(column, F.lit(value))
-    else:
-        return F.lit(False)
-    return F.coalesce(found, F.lit(False))
+        return F.array_contains(column, value)
+    if isinstance(kind, MapType):
+        return F.map_contains_key(column, value)
+    return F.contains(column, F.lit(value)) if isinstance(kind, StringType) and isinstance(value, str) else F.lit(False)
 
 
 def _text(method: str) -> Callable:
-    return lambda column, kind, value: F.coalesce(getattr(column.cast("string"), method)(str(value)), F.lit(False))
+    return lambda column, kind, value: getattr(column if isinstance(kind, StringType) else column.cast("string"), method)(str(value))
 
 
 def _member(column: Column, kind: DataType, value: Any) -> Column:
     if isinstance(value, str):
-        return F.coalesce(F.contains(F.lit(value), column), F.lit(False)) if isinstance(kind, StringType) else F.lit(False)
-    return functools.reduce(operator.or_, (_equal(column, kind, v) for v in value), F.lit(False))
+        return F.contains(F.lit(value), column) if isinstance(kind, StringType) else F.lit(False)
+    listed = [v for v in value if v is not None and _comparable(kind, v)]
+    found = column.isNotNull() & column.isin(*listed) if listed else F.lit(False)
+    return found | column.isNull() if None in value else found
 
 
+#: Columns that are true where a row matches, and false or null elsewhere; ``ne`` and ``nin`` are never null.
 OPERATORS: dict[str, Callable[[Column, DataType, Any], Column]] = {
     "eq": _equal,
     "ne": lambda c, k, v: ~_equal(c, k, v),
@@ -76,7 +70,7 @@ OPERATORS: dict[str, Callable[[Column, DataType, Any], Column]] = {
     "startswith": _text("startswith"),
     "endswith": _text("endswith"),
     "in": _member,
-    "nin": lambda c, k, v: ~_member(c, k, v),
+    "nin": lambda c, k, v: ~F.coalesce(_member(c, k, v), F.lit(False)),
 }
 
 
@@ -88,14 +82,19 @@ def parse_key(key: str) -> tuple[str, str]:
     return field, name if name in OPERATORS else "eq"
 
 
-def predicate(df: DataFrame, constraints: Mapping[str, Any]) -> Column:
-    """The conjunction of all constraints as one column that is never null."""
+def predicate(df: DataFrame, constraints: Mapping[str, Any], for_filter: bool = False) -> Column:
+    """The conjunction of all constraints as one column.
+
+    It is never null, and so may be negated. ``for_filter`` leaves nulls in place, which a filter
+    takes as no match: plain comparisons then reach the scan.
+    """
     kinds = {f.name: f.dataType for f in df.schema.fields}
     parts = []
     for key, value in constraints.items():
         field, name = parse_key(key)
         column, kind = (F.col(f"`{field}`"), kinds[field]) if field in kinds else (F.lit(None).cast("string"), StringType())
-        parts.append(OPERATORS[name](column, kind, value))
+        part = OPERATORS[name](column, kind, value)
+        parts.append(part if for_filter else F.coalesce(part, F.lit(False)))
     return functools.reduce(operator.and_, parts, F.lit(True))
 
 
@@ -104,7 +103,7 @@ def query(df: DataFrame, constraints: Mapping[str, Any] | str, limit: int | None
 
     A limit of 0 still returns the first row, as a limit is tested after a row has been taken.
     """
-    found = df.where(predicate(df, json.loads(constraints) if isinstance(constraints, str) else constraints))
+    found = df.where(predicate(df, json.loads(constraints) if isinstance(constraints, str) else constraints, for_filter=True))
     if limit is None:
         return found
     return (found.orderBy(order) if order else found).limit(max(1, limit))
