@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: fixed value: the six characters [\x20\x09-\x0D]
 ASCII_SPACE = " \t\n\x0b\x0c\r"
+#: where our own folder is kept in a session without spark.checkpoint.dir, which cannot be set later
+_OWN = "spark.convolens.scratch.dir"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -20,10 +22,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     ``spark.checkpoint.dir`` is read from the session. A folder of our own is set only where it is
     unset, which is the case in tests on one machine.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_OWN, None)
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="convolens-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        spark.conf.set(_OWN, root)
     return f"{root.rstrip('/')}/convolens/{name}-{uuid.uuid4().hex}"
 
 
