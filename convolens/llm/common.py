@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: fixed value: the six characters [\x20\x09-\x0D]
@@ -45,6 +45,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def other_columns(df: DataFrame) -> Column:
+    """All columns but ``text`` as one struct ``_row``, so that columns an operator adds can bear any name."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns if c != "text"]).alias("_row")
+
+
+def row_columns(columns: list[str]) -> list[Column]:
+    """The ``columns`` again, from ``_row`` and ``text``."""
+    return [F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in columns]
+
+
 def parallelism(spark: SparkSession) -> int:
     """How many partitions a shuffle of a whole table gets."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

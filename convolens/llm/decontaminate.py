@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
-from convolens.llm.common import mix64, polynomial
+from convolens.llm.common import mix64, other_columns, polynomial, row_columns
 
 WINDOW = 10
 #: A window costs about 150 bytes on an executor, so one broadcast stays below about 300 MB.
@@ -143,16 +143,16 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
 
     ``hits`` (positions of hit words) and ``items`` (ids found, sorted as strings) follow.
     """
-    found = docs.select("doc_id", "text", F.array().cast("array<int>").alias("_hits"), F.array().cast("array<string>").alias("_items"))
+    found = docs.select("doc_id", "text", F.lit(0).cast("long").alias("_words"), F.array().cast("array<int>").alias("_hits"), F.array().cast("array<string>").alias("_items"))
     for block in item_blocks(items, window, max_windows):
         found = _scan(found, block, window).select(
             "doc_id",
             "text",
-            "n_words",
+            F.col("n_words").alias("_words"),
             F.array_union("_hits", "hits").alias("_hits"),
             F.array_union("_items", "items").alias("_items"),
         )
-    found = found.select("doc_id", "n_words", F.size("_hits").cast("long").alias("n_hit"), F.array_sort("_hits").alias("hits"), F.array_sort("_items").alias("items"))
+    found = found.select("doc_id", F.col("_words").alias("n_words"), F.size("_hits").cast("long").alias("n_hit"), F.array_sort("_hits").alias("hits"), F.array_sort("_items").alias("items"))
     return found.select(
         "doc_id",
         "n_words",
@@ -167,20 +167,18 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """The documents that no benchmark window occurs in, with all their columns."""
-    columns = docs.columns
-    kept = docs.select(F.struct(*columns).alias("_doc"), F.col("text"))
+    kept = docs.select(other_columns(docs), F.col("text"))
     for block in item_blocks(items, window, max_windows):
-        kept = _scan(kept, block, window).where("n_hit = 0").select("_doc", "text")
-    return kept.select("_doc.*")
+        kept = _scan(kept, block, window).where("n_hit = 0").select("_row", "text")
+    return kept.select(*row_columns(docs.columns))
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """All documents, the hit words cut out of their texts (from a run's first word to its last)."""
-    columns = docs.columns
-    kept = docs.select(F.struct(*columns).alias("_doc"), F.col("text"))
+    kept = docs.select(other_columns(docs), F.col("text"))
     for block in item_blocks(items, window, max_windows):
-        kept = _cut(_scan(kept, block, window)).select("_doc", "text")
-    return kept.select(*[F.col("text") if c == "text" else F.col("_doc")[c].alias(c) for c in columns])
+        kept = _cut(_scan(kept, block, window)).select("_row", "text")
+    return kept.select(*row_columns(docs.columns))
 
 
 def _cut(scanned: DataFrame) -> DataFrame:

@@ -24,9 +24,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructType
 
-from convolens.llm.common import ASCII_SPACE, materialize, parallelism
+from convolens.llm.common import ASCII_SPACE, materialize, other_columns, parallelism, row_columns
 
 MIN_KEY = 10
 BATCHES = 4
@@ -118,19 +118,17 @@ def dropped_lines(docs: DataFrame, min_key: int = MIN_KEY, batches: int = BATCHE
     return dropped
 
 
-def dedup_lines(docs: DataFrame, min_key: int = MIN_KEY, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """``docs`` with repeated lines cut from ``text``, and ``_n_lines``, ``_n_dropped`` added."""
-    lists = dropped_lines(docs, min_key, batches, fanout).groupBy(F.col("doc_id").alias("_dropped_doc")).agg(F.collect_set("h").alias("_dropped"))
-    joined = docs.join(lists, F.col("doc_id").cast("long") == F.col("_dropped_doc"), "left").drop("_dropped_doc")
-    columns = docs.columns
-    schema = StructType([StructField(f.name, f.dataType) for f in docs.schema.fields])
-    schema = schema.add("_n_lines", LongType()).add("_n_dropped", LongType())
+def cut_lines(docs: DataFrame, min_key: int = MIN_KEY, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
+    """(_row, text, n_lines, n_dropped): every row with its text less the repeated lines."""
+    lists = dropped_lines(docs, min_key, batches, fanout).groupBy("doc_id").agg(F.collect_set("h").alias("gone"))
+    rows = docs.select(other_columns(docs), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    joined = rows.join(lists, "doc_id", "left").select("_row", "text", "gone")
+    schema = StructType([joined.schema["_row"]]).add("text", StringType()).add("n_lines", LongType()).add("n_dropped", LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, n_lines, n_dropped = [], [], []
-            at = batch.schema.get_field_index("text")
-            for text, gone in zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist()):
+            for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 lines = (text or "").split("\n")
                 if gone:
                     gone = set(gone)
@@ -141,14 +139,18 @@ def dedup_lines(docs: DataFrame, min_key: int = MIN_KEY, batches: int = BATCHES,
                     texts.append(text)
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(kept))
-            arrays = batch.columns[: len(columns)]
-            arrays[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*columns, "_n_lines", "_n_dropped"])
+            arrays = [batch.column(0), pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["_row", "text", "n_lines", "n_dropped"])
 
-    return joined.select(*[F.col(f"`{c}`") for c in columns], "_dropped").mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema)
+
+
+def dedup_lines(docs: DataFrame, **parameters) -> DataFrame:
+    """``docs``, all rows and columns, with repeated lines cut from ``text``."""
+    return cut_lines(docs, **parameters).select(*row_columns(docs.columns))
 
 
 def line_report(docs: DataFrame, **parameters) -> DataFrame:
     """One row per document row: doc_id, n_lines, n_dropped, kept_sha256."""
-    kept = dedup_lines(docs.select("doc_id", "text"), **parameters)
-    return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    kept = cut_lines(docs.select("doc_id", "text"), **parameters)
+    return kept.select("_row.doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from convolens.llm.common import materialize
+from convolens.llm.common import materialize, other_columns, row_columns
 
 SAMPLE = 20_000
 LEXICON = 20_000
@@ -181,17 +181,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return model
 
 
-def with_evidence(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with the column ``_evidence``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+def with_evidence(rows: DataFrame, model: Model) -> DataFrame:
+    """``rows`` with the column ``evidence``."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    at = rows.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = shared.value.evidence(batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, "_evidence"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, "evidence"])
 
-    return docs.mapInArrow(run, StructType([*(StructField(f.name, f.dataType) for f in docs.schema.fields), StructField("_evidence", DoubleType())]))
+    return rows.mapInArrow(run, StructType([*(StructField(f.name, f.dataType) for f in rows.schema.fields), StructField("evidence", DoubleType())]))
 
 
 def prior_weight(groups: DataFrame, rate: str, toward: str) -> float:
@@ -225,31 +225,30 @@ def _groups(docs: DataFrame, host: str, path: str) -> tuple:
 
 
 def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with _evidence, _host, _path, _host_rate, _path_rate, _posterior and _keep."""
+    """(_row, text, evidence, host, path, host_rate, path_rate, posterior, kept) of every row of ``docs``."""
     model = fit(docs, labels, sample)
     host_column, path_column = _groups(docs, host, path)
-    narrow = docs.select("text", host_column.alias("host"), path_column.alias("path"))
-    rates, overall = posteriors(with_evidence(narrow, model).select("host", "path", F.col("_evidence").alias("p")))
-    rates = materialize(rates, "rates").toDF("_host", "_path", "_host_rate", "_path_rate")
-    judged = with_evidence(docs, model).withColumns({"_host": host_column, "_path": path_column})
+    rows = docs.select(other_columns(docs), "text", host_column.alias("host"), path_column.alias("path"))
+    rates, overall = posteriors(with_evidence(rows.drop("_row"), model).select("host", "path", F.col("evidence").alias("p")))
+    rates = materialize(rates, "rates")
+    judged = with_evidence(rows, model)
     if rates.count() <= MAX_BROADCAST_PATHS:
-        joined = judged.join(F.broadcast(rates), ["_host", "_path"], "left")
+        joined = judged.join(F.broadcast(rates), ["host", "path"], "left")
     else:
-        salted = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = judged.withColumn("_salt", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int")).join(salted, ["_host", "_path", "_salt"], "left").drop("_salt")
-    p = F.least(F.greatest("_evidence", F.lit(1e-6)), F.lit(1 - 1e-6))
+        salted = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = judged.withColumn("salt", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int")).join(salted, ["host", "path", "salt"], "left")
+    p = F.least(F.greatest("evidence", F.lit(1e-6)), F.lit(1 - 1e-6))
     logit = lambda x: F.log(x / (1 - x))
-    odds = logit(p) + logit(F.col("_path_rate")) - logit(F.lit(overall))
-    return joined.withColumn("_posterior", 1 / (1 + F.exp(-odds))).withColumn("_keep", F.col("_posterior") < threshold)
+    posterior = 1 / (1 + F.exp(logit(F.lit(overall)) - logit(p) - logit(F.col("path_rate"))))
+    return joined.select("_row", "text", "evidence", "host", "path", "host_rate", "path_rate", posterior.alias("posterior")).withColumn("kept", F.col("posterior") < threshold)
 
 
 def report(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
     """One row per document row: doc_id, host, path, evidence, host_rate, path_rate, posterior, kept."""
     names = [c for c in ("doc_id", "text", "source", "lang") if c in docs.columns]
-    judged = judge(docs.select(*names), labels, **parameters)
-    return judged.select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("host", "path", "evidence", "host_rate", "path_rate", "posterior")], F.col("_keep").alias("kept"))
+    return judge(docs.select(*names), labels, **parameters).select("_row.doc_id", "host", "path", "evidence", "host_rate", "path_rate", "posterior", "kept")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
     """The documents that are not rejected, with all their columns."""
-    return judge(docs, labels, **parameters).where("_keep").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return judge(docs, labels, **parameters).where("kept").select(*row_columns(docs.columns))
