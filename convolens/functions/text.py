@@ -67,5 +67,5 @@ def amount(text: Column) -> Column:
 
 def fenced_json(text: Column) -> Column:
     """The JSON text inside a fenced block, or the whole text without a fence."""
-    inner = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    inner = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
     return F.when(inner != "", F.trim(inner)).otherwise(F.trim(text))

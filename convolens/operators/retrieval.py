@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from convolens.functions.text import tokens, valid_pattern
 
@@ -64,6 +65,33 @@ def cosine_search(vectors: DataFrame, query: list[float]) -> DataFrame:
     return vectors.select("vec_id", cosine(F.col("embedding"), F.array(*map(F.lit, query))).alias("score"))
 
 
+#: Most queries of one batch: they are broadcast.
+MAX_QUERIES = 10_000
+
+
+def cosine_batch(vectors: DataFrame, queries: DataFrame, k: int, parts: int = 64) -> DataFrame:
+    """(query_id, vec_id, score): the k nearest vectors of each query (query_id, query).
+
+    Queries are broadcast, after a check of their number. Each query's best are first found in ``parts``
+    parts of the vectors, so that no query's scores meet in one task.
+    """
+    n = queries.count()
+    if n > MAX_QUERIES:
+        raise ValueError(f"{n} queries in one batch; at most {MAX_QUERIES} are broadcast")
+    scored = vectors.crossJoin(F.broadcast(queries)).select("query_id", "vec_id", cosine(F.col("embedding"), F.col("query")).alias("score"), F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias("_part"))
+    best = scored
+    for keys in (["query_id", "_part"], ["query_id"]):
+        order = Window.partitionBy(*keys).orderBy(F.desc("score"), "vec_id")
+        best = best.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k)
+    return best.select("query_id", "vec_id", "score")
+
+
+def rerank(scored: DataFrame, rating: Column, least: float, k: int) -> DataFrame:
+    """The k best by a rating from 0 to 10 (clamped) that is at least ``least``; ties to the smaller doc_id."""
+    clamped = F.least(F.greatest(rating.cast("double"), F.lit(0.0)), F.lit(10.0))
+    return top_k(scored.withColumn("score", clamped), k, least)
+
+
 def fuse(*results: DataFrame) -> DataFrame:
     """The greatest raw score of each document over several results."""
     every = results[0].select("doc_id", "score")
