@@ -1,9 +1,10 @@
 """Adaptive context-mixing range coder for token ids, in independently reset, checksummed blocks.
 
-An id's probability is a mixture of three predictions: the id that followed the last two ids (order
-2), the id that followed the last one (order 1), and an order-0 distribution over classes of ids. The
-weights of the two context predictions follow how often they were right lately at their confidence;
-the order-0 class counts follow the block's ids. Each id is one step of a carry-less range coder with
+An id's probability comes from three predictions: the id that followed the last two ids (order 2), the
+id that followed the last one (order 1), and an order-0 distribution over classes of ids. The two
+context predictions get the front of the coder's range, each a spike whose width follows how often it
+was right lately at its confidence (one spike, if they agree); order 0 gets the rest, and its class
+counts follow the block's ids. Each id is one step of a carry-less range coder with
 64-bit bounds that puts out 32-bit words.
 
 Every block starts from the same fixed state, so blocks are coded side by side: a step codes one id
@@ -21,25 +22,27 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 
 MAGIC = b"CVID"
-VERSION = 1
+VERSION = 2
 HEADER = struct.Struct("<4sBIIQQQ")
 #: Most blocks that are coded side by side, and the least length of a block (the last may be shorter).
-LANES = 2048
+LANES = 1024
 LEAST_BLOCK = 1024
 NULL_ID = -(2**63)
 CLASSES = 64
 #: Slots of a block's order-1 and order-2 tables.
-SLOTS = 2048
+SLOTS = 256
 #: Order-0 probabilities are recomputed after so many ids, on a scale of 2**18.
-REFRESH = 16
+REFRESH = 32
 SCALE = 1 << 18
-#: Lightest and heaviest spike of a context prediction, against an order-0 total of about SCALE.
+#: Heaviest spike of a context prediction, against an order-0 total of about SCALE.
 HEAVIEST = 1 << 26
 _ONES = np.uint64(0xFFFFFFFF)
+_WIDE = np.uint64(1 << 32)
 _HALF = np.uint64(32)
 
 
@@ -60,105 +63,104 @@ class Model:
         self.starts = class_starts(vocabulary)
         self.widths = np.diff(self.starts)
         self.class_of = np.repeat(np.arange(CLASSES), self.widths)
-        self.counts = np.full((lanes, CLASSES), 24, np.int64)
-        self.class_row = self.lanes * CLASSES
-        self.tables = [np.full(lanes * SLOTS, -1, np.int32) for _ in range(2)]
-        self.sure = [np.zeros(lanes * SLOTS, np.int8) for _ in range(2)]
-        self.right = [np.tile(np.array([0, 2, 8, 32], np.int64), (lanes, 1)).reshape(-1) for _ in range(2)]
-        self.wrong = [np.tile(np.array([1, 8, 4, 2], np.int64), (lanes, 1)).reshape(-1) for _ in range(2)]
+        self.n = lanes
+        self.counts = np.full((CLASSES, lanes), 24, np.int64)
+        # a slot holds 4 * id + confidence (0: nothing yet); small tables stay in a core's cache
+        self.tables = [np.full(lanes * SLOTS, -4, np.int32) for _ in range(2)]
+        self.right = [np.tile(np.array([0.0, 2, 8, 32]), (lanes, 1)).reshape(-1) for _ in range(2)]
+        self.wrong = [np.tile(np.array([1.0, 8, 4, 2]), (lanes, 1)).reshape(-1) for _ in range(2)]
         self.row, self.sure_row = self.lanes * SLOTS, self.lanes * 4
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.step = 0
         self._refresh()
 
     def _refresh(self) -> None:
-        total = self.counts.sum(axis=1, keepdims=True)
-        each = np.maximum(1, self.counts * SCALE // (total * self.widths))
-        upto = np.cumsum(each * self.widths, axis=1)
-        self.each = each.reshape(-1)
-        self.below = (upto - each * self.widths).reshape(-1)
-        self.coarse = np.ascontiguousarray(self.below.reshape(len(self.lanes), CLASSES)[:, 8::8])
-        self.total = upto[:, -1].copy()
+        widths = self.widths[:, None]
+        each = np.maximum(1, (self.counts * (SCALE / self.counts.sum(axis=0)) / widths).astype(np.int64))
+        mass = each * widths
+        upto = np.cumsum(mass, axis=0)
+        below = upto - mass
+        self.each, self.below, self.coarse, self.total = each.reshape(-1), below.reshape(-1), below[8::8], upto[-1]
 
     def predict(self) -> None:
         """Places, ids and spikes of the two context predictions."""
         if self.step and self.step % REFRESH == 0:
             self._refresh()
-        mixed = (self.last * 40503 + self.before * 30011) & 0xFFFFFFF
-        self.at = [self.row + (self.last * 40503 >> 5) % SLOTS, self.row + (mixed >> 5) % SLOTS]
-        self.guess, self.spike, self.state = [], [], []
+        one = self.last * 40503
+        two = (one + self.before * 30011) & 0xFFFFFFF
+        self.at = [self.row + (one >> 5) % SLOTS, self.row + (two >> 5) % SLOTS]
+        self.known, spikes = [], []
         for k in range(2):
-            guess, sure = self.tables[k][self.at[k]].astype(np.int64), self.sure[k][self.at[k]].astype(np.int64)
+            entry = self.tables[k].take(self.at[k]).astype(np.int64)
+            sure = entry & 3
             state = self.sure_row + sure
-            spike = np.minimum(self.total * self.right[k][state] // self.wrong[k][state], HEAVIEST)
-            self.guess.append(guess)
-            self.state.append(state)
-            self.spike.append(np.where(sure > 0, spike, 0))
-        self.sum = self.total + self.spike[0] + self.spike[1]
+            right, wrong = self.right[k].take(state), self.wrong[k].take(state)
+            # the same floating-point operations give the same bits when decoding
+            spike = np.minimum(self.total * (right / wrong), HEAVIEST).astype(np.int64) * (sure > 0)
+            self.known.append((entry, entry >> 2, sure, state, right, wrong))
+            spikes.append(spike)
+        agree = self.known[0][1] == self.known[1][1]
+        self.first = spikes[0] + spikes[1] * agree
+        self.second = spikes[1] * ~agree
+        self.front = self.first + self.second
+        self.sum = self.total + self.front
 
     def order0(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(mass, mass below) of ids in the order-0 distribution."""
-        k = self.class_of[ids]
-        place = self.class_row + k
-        each = self.each[place]
-        return each, self.below[place] + (ids - self.starts[k]) * each
+        k = self.class_of.take(ids)
+        place = k * self.n + self.lanes
+        each = self.each.take(place)
+        return each, self.below.take(place) + (ids - self.starts.take(k)) * each
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(mass, mass below) of ids in the mixture."""
+        """(mass, mass below) of ids in the whole range."""
         mass, low = self.order0(ids)
-        for guess, spike in zip(self.guess, self.spike):
-            mass = mass + spike * (guess == ids)
-            low = low + spike * (guess < ids)
-        return mass, low
+        one = (self.known[0][1] == ids) & (self.first > 0)
+        two = (self.known[1][1] == ids) & (self.second > 0) & ~one
+        return np.where(one, self.first, np.where(two, self.second, mass)), np.where(one, 0, np.where(two, self.first, low + self.front))
 
-    def find(self, v: np.ndarray) -> np.ndarray:
-        """The ids whose interval holds ``v``."""
-        first = self.guess[0] <= self.guess[1]
-        a, b = np.where(first, self.guess[0], self.guess[1]), np.where(first, self.guess[1], self.guess[0])
-        sa, sb = np.where(first, self.spike[0], self.spike[1]), np.where(first, self.spike[1], self.spike[0])
-        same = a == b
-        sa, sb = np.where(same, sa + sb, sa), np.where(same, 0, sb)
-        a0, b0 = np.maximum(a, 0), np.maximum(b, 0)
-        ma, la = self.order0(a0)
-        mb, lb = self.order0(b0)
-        before_a = v < la
-        on_a = ~before_a & (v < la + ma + sa) & (sa > 0)
-        u = np.where(before_a, v, v - sa)
-        before_b = u < lb
-        on_b = ~before_a & ~on_a & ~before_b & (u < lb + mb + sb) & (sb > 0)
-        u = np.where(before_a | before_b, u, u - sb)
-        u = np.where(on_a | on_b, 0, u)
-        k = (self.coarse <= u[:, None]).sum(axis=1) * 8
-        fine = self.below[(self.class_row + k)[:, None] + np.arange(8)]
-        k += (fine <= u[:, None]).sum(axis=1) - 1
-        place = self.class_row + k
-        ids = self.starts[k] + (u - self.below[place]) // self.each[place]
-        return np.where(on_a, a, np.where(on_b, b, ids))
+    def find(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, mass, mass below): whose interval holds ``v``."""
+        u = np.maximum(v - self.front, 0)
+        k = (self.coarse <= u).sum(axis=0) * 8
+        fine = self.below.take((k + np.arange(8)[:, None]) * self.n + self.lanes)
+        k += (fine <= u).sum(axis=0) - 1
+        place = k * self.n + self.lanes
+        each, start = self.each.take(place), self.below.take(place)
+        within = (u - start) // each
+        one, two = v < self.first, v < self.front
+        ids = np.where(one, self.known[0][1], np.where(two, self.known[1][1], self.starts.take(k) + within))
+        mass = np.where(one, self.first, np.where(two, self.second, each))
+        return ids, mass, np.where(one, 0, np.where(two, self.first, start + within * each + self.front))
 
     def update(self, ids: np.ndarray) -> None:
         """Learn the ids that came."""
-        self.counts.reshape(-1)[self.class_row + self.class_of[ids]] += 24
-        for k in range(2):
-            at, state = self.at[k], self.state[k]
-            hit = self.guess[k] == ids
-            self.right[k][state] += 2 * hit
-            self.wrong[k][state] += 2 * ~hit
-            sure = self.sure[k][at]
-            drop = ~hit & (sure <= 1)
-            self.sure[k][at] = np.where(hit, np.minimum(sure + 1, 3), np.where(drop, 1, sure - 1))
-            self.tables[k][at] = np.where(drop, ids, self.guess[k])
+        self.counts.reshape(-1)[self.class_of.take(ids) * self.n + self.lanes] += 24
+        fresh = ids * 4 + 1
+        for k, (entry, guess, sure, state, right, wrong) in enumerate(self.known):
+            hit = guess == ids
+            self.right[k][state] = right + 2.0 * hit
+            self.wrong[k][state] = wrong + 2.0 * ~hit
+            kept = entry + (hit & (sure < 3)) - (~hit & (sure > 1))
+            self.tables[k][self.at[k]] = np.where(~hit & (sure <= 1), fresh, kept)
         self.before, self.last = self.last, ids
         self.step += 1
 
 
-def _renormalise(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(lanes that put out their top word, new low, new span)."""
-    end = low + (span - np.uint64(1))
-    same = (low ^ end) >> _HALF == 0
-    narrow = ~same & (span <= _ONES)
-    span = np.where(narrow, (_ONES + np.uint64(1)) - (low & _ONES), span)
-    out = same | narrow
-    return out, np.where(out, low << _HALF, low), np.where(out, np.minimum(span, _ONES) << _HALF, span)
+def _settled(low: np.ndarray, span: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(lanes, top words) that go out, round by round, until every lane's range is wide again; changes both arrays."""
+    lanes = np.flatnonzero(span <= _WIDE)
+    while len(lanes):
+        own, wide = low[lanes], span[lanes]
+        same = (own ^ (own + (wide - np.uint64(1)))) >> _HALF == 0
+        narrow = ~same & (wide <= _ONES)
+        wide = np.where(narrow, _WIDE - (own & _ONES), wide)
+        out = same | narrow
+        lanes, own, wide = lanes[out], own[out], wide[out]
+        low[lanes] = own << _HALF
+        span[lanes] = np.minimum(wide, _ONES) << _HALF
+        yield lanes, own >> _HALF
+        lanes = lanes[span[lanes] <= _WIDE]
 
 
 def encode_blocks(rows: np.ndarray, vocabulary: int) -> list[np.ndarray]:
@@ -175,14 +177,9 @@ def encode_blocks(rows: np.ndarray, vocabulary: int) -> list[np.ndarray]:
         unit = span // model.sum.astype(np.uint64)
         low = low + unit * below.astype(np.uint64)
         span = unit * mass.astype(np.uint64)
-        for _ in range(2):
-            out, after, wider = _renormalise(low, span)
-            lanes_out = np.flatnonzero(out)
-            if not len(lanes_out):
-                break
-            words[lanes_out, used[lanes_out]] = (low[lanes_out] >> _HALF).astype(np.uint32)
-            used[lanes_out] += 1
-            low, span = after, wider
+        for out, top in _settled(low, span):
+            words[out, used[out]] = top
+            used[out] += 1
         model.update(ids)
     for _ in range(2):
         words[model.lanes, used] = (low >> _HALF).astype(np.uint32)
@@ -205,20 +202,14 @@ def decode_blocks(words: list[np.ndarray], length: int, vocabulary: int) -> np.n
         model.predict()
         unit = span // model.sum.astype(np.uint64)
         v = np.minimum(((code - low) // unit).astype(np.int64), model.sum - 1)
-        ids = model.find(v)
+        ids, mass, below = model.find(v)
         if ids.min() < 0 or ids.max() >= len(model.class_of):
             raise ValueError("a block is damaged")
-        mass, below = model.interval(ids)
         low = low + unit * below.astype(np.uint64)
         span = unit * mass.astype(np.uint64)
-        for _ in range(2):
-            put, after, wider = _renormalise(low, span)
-            if not put.any():
-                break
-            following = table[model.lanes, np.minimum(used, table.shape[1] - 1)]
-            code = np.where(put, code << _HALF | following, code)
-            used += put
-            low, span = after, wider
+        for put, _ in _settled(low, span):
+            code[put] = code[put] << _HALF | table[put, np.minimum(used[put], table.shape[1] - 1)]
+            used[put] += 1
         model.update(ids)
         out[t] = ids
     return out.T
