@@ -97,6 +97,23 @@ owned AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc_words LEFT JOIN hit USING (doc_id) LEFT JOIN owned USING (doc_id)
+""",
+    "op10_minhash_near_dedup": r"""
+WITH RECURSIVE word_lists AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM word_lists WHERE len(w) > 0)),
+sets AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS k FROM shingles GROUP BY doc_id),
+classes AS (SELECT k, min(doc_id) AS rep, any_value(n) AS n FROM sets GROUP BY k),
+own AS (SELECT rep, g FROM shingles JOIN classes ON rep = doc_id),
+common AS (SELECT a.rep AS a, b.rep AS b, count(*) AS c FROM own a JOIN own b ON a.g = b.g AND a.rep < b.rep GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN classes x ON x.rep = a JOIN classes y ON y.rep = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT rep AS node, rep AS least FROM classes UNION SELECT e.b, r.least FROM reached r JOIN edges e ON e.a = r.node WHERE r.least < e.b),
+components AS (SELECT node, min(least) AS component_id FROM reached GROUP BY node)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id, coalesce(c.component_id, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN sets s ON s.doc_id = d.doc_id LEFT JOIN classes t ON t.k = s.k LEFT JOIN components c ON c.node = t.rep
 """,
     "op7_warc_revisits": r"""
 WITH base AS (
