@@ -11,6 +11,12 @@ the longest lists, the one with the most exact copies, the one with the least do
 stands before its copies), and one by a hash, another on each level. Entries of long lists so add a
 bounded number of candidates each: a group of thousands of near copies stays linear in its size.
 
+What these suggest is closed to components first. A pair that no short list holds has all its
+collisions in long lists, so both its entries have at least ``MATCHES`` coordinates there. Among those
+entries every two of different components that share two neighbouring coordinates are compared by
+their whole signatures, in blocks of at most about ``CHUNK`` entries of a list; 33 collisions always
+contain such two. Entries of one component are not compared again, so a large group costs no squares.
+
 The collisions of each candidate are counted over whole signatures; at least ``MATCHES`` must agree (a
 pair of similarity 0.75 falls below that about three times in a million). The rest are confirmed on
 full shingle sets, and confirmed links are closed to components.
@@ -27,6 +33,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -39,6 +46,8 @@ SHINGLE = 5
 K = 64
 MATCHES = 32
 SHORT = 32
+#: entries of a long list that meet in one block
+CHUNK = 2_000
 #: numbers of consecutive coordinates that make a key, level by level
 DEPTHS = (1, 2, 4, 8)
 SIMILARITY = 75
@@ -136,8 +145,11 @@ def _every_two(lists: DataFrame) -> DataFrame:
     return lists.where(F.size("m") > 1).select(F.expr(two).alias("p")).select("p.a", "p.b")
 
 
-def candidates(classes: DataFrame, short: int = SHORT) -> DataFrame:
-    """Distinct pairs (a < b) of representatives that short lists or the centres of long lists suggest."""
+def candidates(classes: DataFrame, short: int = SHORT) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a < b) of representatives that short lists or the centres of long lists suggest.
+
+    Also (rep, sig) of the entries that may have further links, with MATCHES coordinates in long lists.
+    """
     postings = _postings(classes)
     several = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = materialize(postings.join(several.hint("merge"), "key"), "postings")
@@ -147,6 +159,7 @@ def candidates(classes: DataFrame, short: int = SHORT) -> DataFrame:
     # ranks of an entry as a centre: 23 bits of weight or of copies, then a hash that settles ties
     rank = lambda x: F.shiftleft(F.least(x.cast("long"), F.lit((1 << 23) - 1)), 40) + F.shiftrightunsigned(F.xxhash64("rep"), 24)
     entries = skipped.join(classes.select("rep", "copies", "sig").hint("merge"), "rep").withColumns({"strong": rank(F.col("weight") * 1024), "copied": rank(F.col("copies"))})
+    entries = materialize(entries, "long-entries")
     rows = materialize(_deeper(entries), "long-lists")
     for level in range(len(DEPTHS)):
         key = f"k{level}"
@@ -163,7 +176,79 @@ def candidates(classes: DataFrame, short: int = SHORT) -> DataFrame:
         star = centres.select("rep", F.explode("centres").alias("c"))
         pairs = pairs.unionByName(star.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")))
         rows = rows.drop("n", "centres", key)
-    return pairs.where("a < b").distinct()
+    return pairs.where("a < b").distinct(), entries.where(F.bit_count("places") >= MATCHES).select("rep", "sig")
+
+
+def _matching(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of two tables of signatures that agree in at least MATCHES coordinates."""
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    for i in range(0, len(left), 512):
+        for j in range(0, len(right), 512):
+            one, two = left[i : i + 512], right[j : j + 512]
+            count = np.zeros((len(one), len(two)), np.uint8)
+            for k in range(K):
+                count += one[:, k, None] == two[None, :, k]
+            a, b = np.nonzero(count >= MATCHES)
+            found.append((a + i, b + j))
+    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+
+
+def _across(frame: pd.DataFrame) -> pd.DataFrame:
+    """Matching pairs (a < b) of different components in a block; a pair counts where it first shares a key."""
+    sigs = np.frombuffer(b"".join(frame["sig"]), np.uint32).reshape(-1, K)
+    reps, components, at = frame["rep"].to_numpy(), frame["component"].to_numpy(), int(frame["at"].iloc[0])
+    if frame["i"].iloc[0] != frame["j"].iloc[0]:
+        first = (frame["chunk"] == frame["i"]).to_numpy()
+        parts = [(np.flatnonzero(first), np.flatnonzero(~first))]
+    else:
+        names, sizes = np.unique(components, return_counts=True)
+        most = components == names[sizes.argmax()]
+        others = np.flatnonzero(~most)
+        parts = [(others, np.flatnonzero(most)), (others, others)]
+    out = []
+    for left, right in parts:
+        a, b = _matching(sigs[left], sigs[right])
+        a, b = left[a], right[b]
+        two = np.logical_and(*((sigs[a, k::2] == sigs[b, k::2]) for k in (0, 1)))
+        keep = (components[a] != components[b]) & (two.argmax(axis=1) == at)
+        out.append(np.stack((reps[a[keep]], reps[b[keep]]), axis=1))
+    pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
+    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def unmet(entries: DataFrame, components: DataFrame) -> DataFrame:
+    """The pairs of ``entries`` (rep, sig) from different components with at least MATCHES collisions."""
+    labels = components.select(F.col("node").alias("rep"), "component")
+    named = materialize(entries.join(labels.hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "unmet")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sigs = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, K).astype(np.uint64)
+            at = np.tile(np.arange(K // 2, dtype=np.int8), len(sigs))
+            keys = mix64(mix64(((sigs[:, ::2] << np.uint64(32)) | sigs[:, 1::2]).reshape(-1)) + at.astype(np.uint64)).view(np.int64)
+            index = pa.array(np.repeat(np.arange(len(sigs)), K // 2))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(at), batch.column(0).take(index), batch.column(1).take(index)], names=["key", "at", "rep", "component"])
+
+    keyed = named.select("rep", "component", "sig").mapInArrow(run, "key long, at byte, rep long, component long")
+    shares = keyed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    totals = shares.groupBy("key").agg(F.count("*").alias("several"), F.sum(F.when(F.col("n") <= CHUNK, F.col("n")).otherwise(0)).alias("small")).where("several > 1")
+    # a component of more than CHUNK entries has chunks of its own, the others share some
+    large = F.col("n") > CHUNK
+    n_chunks = F.greatest(F.lit(1), F.ceil(F.when(large, F.col("n")).otherwise(F.col("small")) / CHUNK)).cast("int")
+    sized = materialize(shares.join(totals.hint("merge"), "key").select("key", "component", F.when(large, F.col("component")).alias("owner"), n_chunks.alias("n_chunks")), "unmet-sizes")
+    number = lambda x: F.pmod(F.xxhash64(x), "n_chunks").cast("int")
+    chunk = lambda part: F.xxhash64(F.col("owner").isNull(), "owner", part)
+    part = F.explode(F.when(F.col("owner").isNotNull(), F.sequence(F.lit(0), F.col("n_chunks") - 1)).otherwise(F.array(number("component"))))
+    chunks = sized.select("key", "owner", part.alias("part")).select("key", "owner", chunk("part").alias("chunk")).distinct()
+    both = chunks.toDF("key", "owner", "i").hint("merge").join(chunks.toDF("key", "other", "j"), "key")
+    blocks = both.where("i <= j and not (owner is not null and owner <=> other)")
+    sides = blocks.select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("chunk"))
+    placed = keyed.join(sized.hint("merge"), ["key", "component"]).withColumn("part", F.when(F.col("owner").isNotNull(), number("rep")).otherwise(number("component")))
+    met = placed.withColumn("chunk", chunk("part")).join(sides.hint("merge"), ["key", "chunk"])
+    filled = met.select("key", "i", "j", "chunk", "at", "rep", "component").join(named.select("rep", "sig").hint("merge"), "rep")
+    return filled.groupBy("key", "i", "j").applyInPandas(_across, "a long, b long")
 
 
 def count_matches(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -210,16 +295,28 @@ def find_groups(docs: DataFrame) -> DataFrame:
     sigs = materialize(signatures(docs), "signatures")
     usable = sigs.where("doc_id is not null and n_shingles > 0")
     classes = materialize(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "classes")
-    pairs = materialize(count_matches(candidates(classes), classes), "candidates")
-    wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+    suggested, entries = candidates(classes)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     # rows may repeat a doc_id with different texts: the text is taken from the row of the class itself
-    texts = ids.join(wanted.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id").select(F.col("doc_id").alias("rep"), "text")
-    links = confirm(pairs, texts)
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+        return confirm(pairs, ids.join(wanted.hint("merge"), "doc_id").select(F.col("doc_id").alias("rep"), "text"))
+
+    links = confirmed(materialize(count_matches(suggested, classes), "candidates"))
     member = usable.join(classes.select("set_key", "rep"), "set_key").select("doc_id", "rep")
     several = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a != z")
     same = member.join(several, "doc_id").select("a", F.col("rep").alias("b"))
     components = connected_components(links.unionByName(same))
+    further = materialize(unmet(entries, components), "unmet-pairs")
+    if not further.isEmpty():
+        name = lambda side: components.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
+        ends = confirmed(further).join(name("a"), "a", "left").join(name("b"), "b", "left")
+        joined = connected_components(ends.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")))
+        # a new name for each old component, and for entries that had none
+        old = components.join(joined.select(F.col("node").alias("component"), F.col("component").alias("name")), "component", "left")
+        alone = joined.join(components.select("node"), "node", "left_anti")
+        components = old.select("node", F.coalesce("name", "component").alias("component")).unionByName(alone)
     found = (
         sigs.join(classes.select("set_key", "rep"), "set_key", "left")
         .join(components.select(F.col("node").alias("rep"), "component"), "rep", "left")

@@ -2,6 +2,7 @@
 
 import random
 import re
+from functools import partial
 from itertools import combinations
 
 from conftest import DATA, compare
@@ -56,6 +57,16 @@ def test_against_all_pairs(spark):
     assert len(lost) == 2 and all(r["component_id"] is None for r in lost)
 
 
+def test_near_copies_that_only_share_common_passages(spark, monkeypatch):
+    rng, base = random.Random(1), " ".join(f"b{j}" for j in range(150))
+    passages = [" ".join(f"p{k}x{j}" for j in range(16)) for k in range(30)]
+    rows = [(k, " ".join([base] + [passages[p] for p in sorted(rng.sample(range(30), 5))])) for k in range(500)]
+    monkeypatch.setattr(near_dedup, "candidates", partial(near_dedup.candidates, short=2))  # 500 texts stand for many more
+    for chunk in (near_dedup.CHUNK, 20):
+        monkeypatch.setattr(near_dedup, "CHUNK", chunk)
+        assert sorted(tuple(r) for r in near_dedup.find_groups(table(spark, rows)).collect()) == expected(rows)
+
+
 def test_one_of_each_group_stays(spark):
     rows = odd_rows()
     docs = with_clashes(table(spark, rows))
