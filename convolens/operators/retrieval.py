@@ -7,6 +7,7 @@ table, so that queries join it by token instead of scanning texts.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,6 +87,27 @@ def cosine_batch(vectors: DataFrame, queries: DataFrame, k: int, parts: int = 64
     return best.select("query_id", "vec_id", "score")
 
 
+def cosine_batches(vectors: DataFrame, queries: DataFrame, k: int, parts: int = 64) -> DataFrame:
+    """``cosine_batch`` for any number of queries: dealt by a hash into blocks that each fit one batch.
+
+    Rows of one query_id are ranked together again after the blocks.
+    """
+    blocks = 1
+    same = Window.partitionBy("query_id", "query").orderBy("query_id")
+    rows = queries.select("query_id", "query", F.row_number().over(same).alias("_copy"))  # equal rows are dealt apart
+    while True:
+        dealt = rows.withColumn("_block", F.pmod(F.xxhash64("query_id", "query", "_copy"), F.lit(blocks)))
+        most = dealt.groupBy("_block").count().agg(F.max("count")).first()[0] or 0
+        if most <= MAX_QUERIES:
+            break
+        blocks = max(blocks + 1, blocks * most // MAX_QUERIES)
+    if blocks == 1:
+        return cosine_batch(vectors, queries, k, parts)
+    every = reduce(DataFrame.unionByName, [cosine_batch(vectors, dealt.where(F.col("_block") == b), k, parts) for b in range(blocks)])
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return every.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")
+
+
 def rerank(scored: DataFrame, rating: Column, least: float, k: int) -> DataFrame:
     """The k best by a rating from 0 to 10 (clamped) that is at least ``least``; ties to the smaller doc_id."""
     clamped = F.least(F.greatest(rating.cast("double"), F.lit(0.0)), F.lit(10.0))

@@ -292,7 +292,7 @@ def bm25_batch(spark, sf_dir):
   row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, v.vec_id) AS n FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0) WHERE n <= 5""")
 def cosine_batch(spark, sf_dir):
     vectors = _t(spark, sf_dir, "embeddings")
-    return _rounded(retrieval.cosine_batch(vectors, vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 5))
+    return _rounded(retrieval.cosine_batches(vectors, vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 5))
 
 
 @query("SELECT doc_id, score FROM (SELECT doc_id, least(greatest(CAST(n_chars % 14 - 2 AS DOUBLE), 0), 10) AS score FROM documents) WHERE score >= 7 ORDER BY score DESC, doc_id LIMIT 20")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from convolens.functions import arithmetic, text
 from convolens.operators import breakdown, lookups, retrieval, transcripts, voice_events
+from convolens.plans import extras
 
 
 def rows(df, *order):
@@ -58,6 +59,24 @@ def test_batches_of_queries_are_bounded(spark, monkeypatch):
         retrieval.cosine_batch(df, queries, 1)
 
 
+def test_more_queries_than_one_batch_go_in_blocks(spark, monkeypatch):
+    df = spark.createDataFrame([(k, [1.0, float(k % 7), float(k % 5)]) for k in range(40)], "vec_id int, embedding array<double>")
+    queries = df.selectExpr("vec_id as query_id", "embedding as query")
+    wanted = rows(retrieval.cosine_batch(df, queries, 3), "query_id", "vec_id")
+    monkeypatch.setattr(retrieval, "MAX_QUERIES", 9)
+    assert rows(retrieval.cosine_batches(df, queries, 3), "query_id", "vec_id") == wanted and len(wanted) == 120
+    repeated = queries.unionByName(queries.where("query_id < 3")).withColumn("query_id", F.lit(7))
+    monkeypatch.setattr(retrieval, "MAX_QUERIES", 50)
+    wanted = rows(retrieval.cosine_batch(df, repeated, 5), "vec_id")
+    monkeypatch.setattr(retrieval, "MAX_QUERIES", 9)
+    assert rows(retrieval.cosine_batches(df, repeated, 5), "vec_id") == wanted
+    # the registered query itself, past the bound: it raised before
+    monkeypatch.setattr(retrieval, "MAX_QUERIES", 1)
+    vectors = spark.createDataFrame([(k * 100, [1.0, float(k)]) for k in range(4)], "vec_id int, embedding array<double>")
+    monkeypatch.setattr(extras, "_t", lambda *_: vectors)
+    assert extras.cosine_batch(spark, "").count() == 16
+
+
 def test_titles_come_before_ids(spark):
     docs = spark.createDataFrame([(1, "2"), (2, "x"), (3, "x")], "id int, title string")
     asked = spark.createDataFrame([("2",), ("x",), ("3",), ("none",), (None,)], "request string")
