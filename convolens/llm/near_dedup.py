@@ -1,31 +1,32 @@
 """MinHash near-dedup by a signature-coordinate inverted join.
 
 Equal shingle sets are one class with one representative, its smallest doc_id, so that copies never
-meet as pairs. A class has a signature of ``K`` minima and is posted under each coordinate-value pair.
-Lists of one entry are dropped. From a short list (up to ``SHORT`` entries) every two entries are
-candidates. Longer lists are skipped and merged more deeply: their entries are posted again under two
-and more consecutive coordinates, level by level, until the lists are short. That splits lists
-whose entries only share a passage, and lists of near copies by what their edits left. On every level
-an entry of a long list is also a candidate with the central entries of its list: the one that is in
-the longest lists, the one with the most exact copies, the one with the least doc_id (an original
-stands before its copies), and one by a hash, another on each level. Entries of long lists so add a
-bounded number of candidates each: a group of thousands of near copies stays linear in its size.
-
-What these suggest is closed to components first. A pair that no short list holds has all its
-collisions in long lists, so both its entries have at least ``MATCHES`` coordinates there. Among those
-entries every two of different components that share two neighbouring coordinates are compared by
-their whole signatures, in blocks of at most about ``CHUNK`` entries of a list; 33 collisions always
-contain such two. Entries of one component are not compared again, so a large group costs no squares.
-
-The collisions of each candidate are counted over whole signatures; at least ``MATCHES`` must agree (a
-pair of similarity 0.75 falls below that about three times in a million). The rest are confirmed on
-full shingle sets, and confirmed links are closed to components.
+meet as pairs. A class has a signature of ``K`` minima. Links are found in four steps; each leaves out
+pairs that are already in one component, so that a large group costs no squares:
+
+1. Stars: classes are posted under runs of BAND coordinates and meet the centres of their lists. That
+   joins large groups, in proportion to their size.
+2. Short lists: classes are posted under each coordinate-value pair, and lists of one entry or of one
+   component are dropped. A list of up to ``SHORT`` entries gives its pairs of different components.
+   Longer lists are skipped: a pair that shares no short list has all its collisions in long lists, so
+   that both its entries have at least ``MATCHES`` coordinates there.
+3. Rare shingles: among those entries, pairs that share a shingle of at most ``RARE`` of them. Linked sets
+   that share none have three quarters of their shingles among the common ones.
+4. Blocks: those meet under runs of BLOCK coordinates and are compared exactly, in blocks of two chunks that
+   return only a spanning forest of their links. This step alone grows with the square of a
+   crowd: of texts that are made of the same common passages and are yet no near copies.
+
+The collisions of the pairs of steps 1 to 3 are counted over whole signatures; at least ``MATCHES`` must agree,
+and those that do are confirmed on full shingle sets. So every link is exact, and what can be lost is a pair
+of similarity 0.75 with fewer than 32 of 64 collisions (three in a million) or, in step 4, with no equal run
+of three coordinates (one in a hundred thousand). No list is cut short.
 
 Shingles: distinct runs of five words ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased; fewer words are one
 shingle. Defined cases: a null or empty text, or one of white space, has no shingle and is alone. A
 row with a null doc_id is linked with nothing, has a null component and counts as kept by
 ``keep_one``. Rows that repeat a doc_id are one node of the graph, each with its own shingle count.
-Extra columns of any name are carried along by ``keep_one``.
+A very long text is hashed whole, its signature in portions; an empty table gives no rows. Extra columns
+of any name are carried along by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -45,11 +46,12 @@ from convolens.llm.graph import connected_components
 SHINGLE = 5
 K = 64
 MATCHES = 32
-SHORT = 32
-#: entries of a long list that meet in one block
-CHUNK = 2_000
-#: numbers of consecutive coordinates that make a key, level by level
-DEPTHS = (1, 2, 4, 8)
+#: Longest list of a coordinate that gives all its pairs, and most sets that hold a rare shingle.
+SHORT, RARE = 32, 16
+#: Consecutive coordinates under which entries meet the centres of their lists, and the last entries in blocks.
+BAND, BLOCK = 4, 3
+#: Entries of a chunk; two make a block.
+CHUNK = 1_000
 SIMILARITY = 75
 _SEEDS = mix64(np.arange(1, K + 1, dtype=np.uint64))
 _ODD = mix64(np.arange(1001, K + 1001, dtype=np.uint64)) | np.uint64(1)
@@ -100,155 +102,175 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig binary")
 
+def _keys(sigs: np.ndarray, width: int) -> np.ndarray:
+    """One 64-bit key for each run of ``width`` coordinates; it names the place of the run and its values."""
+    runs = K // width
+    value = np.broadcast_to(np.arange(1, runs + 1, dtype=np.uint64), (len(sigs), runs))
+    for k in range(width):
+        value = mix64(value * np.uint64(0x9E3779B97F4A7C15) + sigs[:, k : runs * width : width])
+    return value.view(np.int64)
 
-def _postings(classes: DataFrame) -> DataFrame:
-    """(key, at, rep): a row for each coordinate; the key names the coordinate and its value."""
+
+def _postings(entries: DataFrame, width: int) -> DataFrame:
+    """(key, rep, component) of (rep, component, sig): a row for each run of ``width`` coordinates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, K).astype(np.int64)
-            at = np.tile(np.arange(K, dtype=np.int8), len(sigs))
-            reps = np.repeat(batch.column(0).to_numpy(), K)
-            yield pa.RecordBatch.from_arrays([pa.array(sigs.reshape(-1) * K + at), pa.array(at), pa.array(reps)], names=["key", "at", "rep"])
+            sigs = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, K).astype(np.uint64)
+            keys = _keys(sigs, width)
+            index = pa.array(np.repeat(np.arange(len(sigs)), keys.shape[1]))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), batch.column(0).take(index), batch.column(1).take(index)], names=["key", "rep", "component"])
 
-    return classes.select("rep", "sig").mapInArrow(run, "key long, at byte, rep long")
+    return entries.select("rep", "component", "sig").mapInArrow(run, "key long, rep long, component long")
 
 
-def _deeper(entries: DataFrame) -> DataFrame:
-    """(rep, strong, copied, k0, k1, ...) of (rep, strong, copied, places, sig), for each place (bit) of an entry.
+def stars(classes: DataFrame) -> DataFrame:
+    """Pairs (a < b) of every class with the centres of its lists under BAND coordinates.
 
-    The keys k0, k1, ... are of so many coordinates from the place on as ``DEPTHS`` says.
+    A list's centres are its least entry (an original stands before its copies) and its entry of the
+    least hash. They only join large groups early: what they miss is found by ``candidates``.
     """
+    postings = _postings(classes.withColumn("component", F.col("rep")), BAND).select("key", "rep")
+    centre = F.array(F.min("rep"), F.min_by("rep", F.xxhash64("rep"))).alias("centres")
+    lists = postings.groupBy("key").agg(F.count("*").alias("n"), centre).where("n > 1").drop("n")
+    met = postings.join(lists.hint("merge"), "key").select("rep", F.explode("centres").alias("c")).where("rep != c")
+    return met.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            places = batch.column(3).to_numpy().view(np.uint64)
-            row, at = np.nonzero((places[:, None] >> np.arange(K, dtype=np.uint64)) & np.uint64(1))
-            sigs = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint32).reshape(-1, K).astype(np.uint64)
-            value, keys = at.astype(np.uint64), {}
-            for depth in range(DEPTHS[-1]):
-                value = mix64(value * np.uint64(0x9E3779B97F4A7C15) + sigs[row, (at + depth) % K])
-                keys[depth + 1] = value
-            index = pa.array(row)
-            yield pa.RecordBatch.from_arrays([*(c.take(index) for c in batch.columns[:3]), *(pa.array(keys[d].view(np.int64)) for d in DEPTHS)], names=["rep", "strong", "copied", *(f"k{j}" for j in range(len(DEPTHS)))])
 
-    return entries.select("rep", "strong", "copied", "places", "sig").mapInArrow(run, "rep long, strong long, copied long, " + ", ".join(f"k{j} long" for j in range(len(DEPTHS))))
+def candidates(entries: DataFrame, short: int = SHORT) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of different components from short lists, and the (rep) of entries that may have others.
 
+    Of (rep, component, sig). A pair that no short list holds has its collisions in long lists alone, so
+    that both its entries have at least MATCHES coordinates there.
+    """
+    postings = _postings(entries, 1)
+    several = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialize(postings.join(several.hint("merge"), "key"), "postings")
+    mixed = shared.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least != most")
+    lists = shared.join(mixed.select("key").hint("merge"), "key")
+    pairs = across(lists.where(F.col("n") <= short))
+    long = lists.where(F.col("n") > short).groupBy("rep").agg(F.count("*").alias("n")).where(F.col("n") >= MATCHES)
+    return pairs, long.select("rep")
 
-def _every_two(lists: DataFrame) -> DataFrame:
-    """All pairs of each list of at most SHORT entries."""
-    two = "explode(flatten(transform(sequence(0, size(m) - 2), i -> transform(slice(m, i + 2, size(m)), b -> named_struct('a', m[i], 'b', b)))))"
-    return lists.where(F.size("m") > 1).select(F.expr(two).alias("p")).select("p.a", "p.b")
 
+def across(lists: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b) of entries of a list (key, rep, component) that are of different components."""
+    gathered = lists.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rep", "component"))).alias("m"))
+    two = "explode(flatten(transform(sequence(0, size(m) - 2), i -> transform(filter(slice(m, i + 2, size(m)), e -> e.component != m[i].component), e -> named_struct('a', m[i].rep, 'b', e.rep)))))"
+    return gathered.where(F.size("m") > 1).select(F.expr(two).alias("p")).select("p.a", "p.b").where("a < b").distinct()
 
-def candidates(classes: DataFrame, short: int = SHORT) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs (a < b) of representatives that short lists or the centres of long lists suggest.
 
-    Also (rep, sig) of the entries that may have further links, with MATCHES coordinates in long lists.
-    """
-    postings = _postings(classes)
-    several = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialize(postings.join(several.hint("merge"), "key"), "postings")
-    pairs = _every_two(shared.where(F.col("n") <= short).groupBy("key").agg(F.array_sort(F.collect_list("rep")).alias("m")))
-    bit = F.expr("shiftleft(1L, cast(at as int))")
-    skipped = shared.where(F.col("n") > short).groupBy("rep").agg(F.bit_or(bit).alias("places"), F.sum(F.log2("n")).alias("weight"))
-    # ranks of an entry as a centre: 23 bits of weight or of copies, then a hash that settles ties
-    rank = lambda x: F.shiftleft(F.least(x.cast("long"), F.lit((1 << 23) - 1)), 40) + F.shiftrightunsigned(F.xxhash64("rep"), 24)
-    entries = skipped.join(classes.select("rep", "copies", "sig").hint("merge"), "rep").withColumns({"strong": rank(F.col("weight") * 1024), "copied": rank(F.col("copies"))})
-    entries = materialize(entries, "long-entries")
-    rows = materialize(_deeper(entries), "long-lists")
-    for level in range(len(DEPTHS)):
-        key = f"k{level}"
-        lists = rows.groupBy(key).agg(
-            F.count("*").alias("n"),
-            F.array(F.max_by("rep", "strong"), F.max_by("rep", "copied"), F.min("rep"), F.max_by("rep", F.xxhash64(F.lit(level), "rep"))).alias("centres"),
-        )
-        placed = materialize(rows.join(lists.where("n > 1").hint("merge"), key), "long-lists")
-        if level:
-            pairs = pairs.unionByName(_every_two(placed.where(F.col("n") <= short).groupBy(key).agg(F.array_sort(F.collect_list("rep")).alias("m"))))
-        rows = placed.where(F.col("n") > short)
-        # an entry meets the same centres in many of its lists: they are gathered before they become pairs
-        centres = rows.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_set("centres"))).alias("centres"))
-        star = centres.select("rep", F.explode("centres").alias("c"))
-        pairs = pairs.unionByName(star.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")))
-        rows = rows.drop("n", "centres", key)
-    return pairs.where("a < b").distinct(), entries.where(F.bit_count("places") >= MATCHES).select("rep", "sig")
-
-
-def _matching(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of two tables of signatures that agree in at least MATCHES coordinates."""
-    found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
-    for i in range(0, len(left), 512):
-        for j in range(0, len(right), 512):
-            one, two = left[i : i + 512], right[j : j + 512]
-            count = np.zeros((len(one), len(two)), np.uint8)
-            for k in range(K):
-                count += one[:, k, None] == two[None, :, k]
-            a, b = np.nonzero(count >= MATCHES)
-            found.append((a + i, b + j))
-    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
-
-
-def _across(frame: pd.DataFrame) -> pd.DataFrame:
-    """Matching pairs (a < b) of different components in a block; a pair counts where it first shares a key."""
-    sigs = np.frombuffer(b"".join(frame["sig"]), np.uint32).reshape(-1, K)
-    reps, components, at = frame["rep"].to_numpy(), frame["component"].to_numpy(), int(frame["at"].iloc[0])
-    if frame["i"].iloc[0] != frame["j"].iloc[0]:
-        first = (frame["chunk"] == frame["i"]).to_numpy()
-        parts = [(np.flatnonzero(first), np.flatnonzero(~first))]
-    else:
-        names, sizes = np.unique(components, return_counts=True)
-        most = components == names[sizes.argmax()]
-        others = np.flatnonzero(~most)
-        parts = [(others, np.flatnonzero(most)), (others, others)]
-    out = []
-    for left, right in parts:
-        a, b = _matching(sigs[left], sigs[right])
-        a, b = left[a], right[b]
-        two = np.logical_and(*((sigs[a, k::2] == sigs[b, k::2]) for k in (0, 1)))
-        keep = (components[a] != components[b]) & (two.argmax(axis=1) == at)
-        out.append(np.stack((reps[a[keep]], reps[b[keep]]), axis=1))
-    pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-
-def unmet(entries: DataFrame, components: DataFrame) -> DataFrame:
-    """The pairs of ``entries`` (rep, sig) from different components with at least MATCHES collisions."""
-    labels = components.select(F.col("node").alias("rep"), "component")
-    named = materialize(entries.join(labels.hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "unmet")
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """(rep, component, n, row, words) of (rep, component, text): the sorted shingle hashes as bytes; ``row`` names the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingler()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sigs = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, K).astype(np.uint64)
-            at = np.tile(np.arange(K // 2, dtype=np.int8), len(sigs))
-            keys = mix64(mix64(((sigs[:, ::2] << np.uint64(32)) | sigs[:, 1::2]).reshape(-1)) + at.astype(np.uint64)).view(np.int64)
-            index = pa.array(np.repeat(np.arange(len(sigs)), K // 2))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(at), batch.column(0).take(index), batch.column(1).take(index)], names=["key", "at", "rep", "component"])
+            sets = [shingles(t) for t in batch.column(2).to_pylist()]
+            rows = [xxhash.xxh3_64_intdigest(s.tobytes()) >> 1 for s in sets]
+            arrays = [*batch.columns[:2], pa.array([len(s) for s in sets], pa.int64()), pa.array(rows, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["rep", "component", "n", "row", "words"])
+
+    return texts.select("rep", "component", "text").mapInArrow(run, "rep long, component long, n long, row long, words binary").dropDuplicates(["rep", "row"])
+
+
+def rare_pairs(sets: DataFrame, rare: int = RARE) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of different components that share a rare shingle, and the sets that may be linked without one.
 
-    keyed = named.select("rep", "component", "sig").mapInArrow(run, "key long, at byte, rep long, component long")
+    A shingle is rare if at most ``rare`` of the sets hold it. Linked sets of a and b shingles share at
+    least 3/7 (a + b), which is at least 3/4 of the larger: sets that share no rare shingle can only be
+    linked if both have 3/4 of their shingles among those that are not rare.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [np.frombuffer(w, np.int64) for w in part.column(3).to_pylist()]
+                index = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+                keys = np.concatenate([np.empty(0, np.int64), *sets])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *(c.take(index) for c in part.columns[:3])], names=["key", "rep", "component", "row"])
+
+    rows = sets.select("rep", "component", "row", "words").mapInArrow(run, "key long, rep long, component long, row long")
+    held = rows.groupBy("key").agg(F.count("*").alias("held")).where(F.col("held") <= rare)
+    low = materialize(rows.join(held.hint("merge"), "key"), "rare-shingles")
+    counted = low.groupBy("rep", "row").agg(F.count("*").alias("low"))
+    common = sets.join(counted.hint("merge"), ["rep", "row"], "left").where(4 * (F.col("n") - F.coalesce("low", F.lit(0))) >= 3 * F.col("n"))
+    return across(low.where("held > 1")), common.drop("low")
+
+
+def links_of_block(sets: list[np.ndarray], components: np.ndarray, first: np.ndarray | None, similarity: int = SIMILARITY) -> list[tuple[int, int]]:
+    """A spanning forest (row, row) of the links between different components of a block.
+
+    ``first`` tells the two sides of a block apart, of which only links from one to the other are sought.
+    Intersections are counted exactly, by products of 0/1 matrices over the shingles that two rows share.
+    """
+    sizes = np.array([len(s) for s in sets])
+    rows = np.repeat(np.arange(len(sets)), sizes)
+    _, columns, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = counts > 1
+    number = np.cumsum(shared) - 1
+    keep = shared[columns]
+    rows, columns = rows[keep], number[columns[keep]]
+    order = np.argsort(columns, kind="stable")
+    rows, columns = rows[order], columns[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(shared.sum()), 2048):
+        low, high = np.searchsorted(columns, (at, at + 2048))
+        part = np.zeros((len(sets), 2048), np.float32)
+        part[rows[low:high], columns[low:high] - at] = 1
+        both += part @ part.T
+    linked = 100 * both >= similarity * (sizes[:, None] + sizes[None, :] - both)
+    linked &= components[:, None] != components[None, :]
+    if first is not None:
+        linked &= first[:, None] != first[None, :]
+    out, waiting = [], np.ones(len(sets), bool)
+    for root in range(len(sets)):
+        frontier = [root] if waiting[root] else []
+        waiting[root] = False
+        while frontier:
+            at = frontier.pop()
+            fresh = np.flatnonzero(linked[at] & waiting)
+            waiting[fresh] = False
+            out.extend((at, k) for k in fresh.tolist())
+            frontier.extend(fresh.tolist())
+    return out
+
+
+def block_links(sets: DataFrame, signatures: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """The links (a, b) between different components among ``sets``, found in blocks of at most about two chunks.
+
+    Entries meet under BLOCK consecutive coordinates; the entries of such a key are dealt into chunks, a
+    component of more than ``chunk`` entries into chunks of its own, and every two chunks that can hold
+    different components are a block. A block returns a spanning forest, never its pairs.
+    """
+    keyed = _postings(signatures.select("rep", "sig").join(sets.select("rep", "component").distinct().hint("merge"), "rep"), BLOCK)
     shares = keyed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    totals = shares.groupBy("key").agg(F.count("*").alias("several"), F.sum(F.when(F.col("n") <= CHUNK, F.col("n")).otherwise(0)).alias("small")).where("several > 1")
-    # a component of more than CHUNK entries has chunks of its own, the others share some
-    large = F.col("n") > CHUNK
-    n_chunks = F.greatest(F.lit(1), F.ceil(F.when(large, F.col("n")).otherwise(F.col("small")) / CHUNK)).cast("int")
-    sized = materialize(shares.join(totals.hint("merge"), "key").select("key", "component", F.when(large, F.col("component")).alias("owner"), n_chunks.alias("n_chunks")), "unmet-sizes")
+    small = F.sum(F.when(F.col("n") <= chunk, F.col("n")).otherwise(0))
+    totals = shares.groupBy("key").agg(F.count("*").alias("several"), small.alias("small")).where("several > 1")
+    large = F.col("n") > chunk
+    n_chunks = F.greatest(F.lit(1), F.ceil(F.when(large, F.col("n")).otherwise(F.col("small")) / chunk)).cast("int")
+    sized = materialize(shares.join(totals.hint("merge"), "key").select("key", "component", F.when(large, F.col("component")).alias("owner"), n_chunks.alias("n_chunks")), "block-sizes")
     number = lambda x: F.pmod(F.xxhash64(x), "n_chunks").cast("int")
-    chunk = lambda part: F.xxhash64(F.col("owner").isNull(), "owner", part)
+    name = lambda part: F.xxhash64(F.col("owner").isNull(), "owner", part)
     part = F.explode(F.when(F.col("owner").isNotNull(), F.sequence(F.lit(0), F.col("n_chunks") - 1)).otherwise(F.array(number("component"))))
-    chunks = sized.select("key", "owner", part.alias("part")).select("key", "owner", chunk("part").alias("chunk")).distinct()
+    chunks = sized.select("key", "owner", "n_chunks", "component", part.alias("part")).select("key", "owner", name("part").alias("chunk")).distinct()
     both = chunks.toDF("key", "owner", "i").hint("merge").join(chunks.toDF("key", "other", "j"), "key")
     blocks = both.where("i <= j and not (owner is not null and owner <=> other)")
     sides = blocks.select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("chunk"))
     placed = keyed.join(sized.hint("merge"), ["key", "component"]).withColumn("part", F.when(F.col("owner").isNotNull(), number("rep")).otherwise(number("component")))
-    met = placed.withColumn("chunk", chunk("part")).join(sides.hint("merge"), ["key", "chunk"])
-    filled = met.select("key", "i", "j", "chunk", "at", "rep", "component").join(named.select("rep", "sig").hint("merge"), "rep")
-    return filled.groupBy("key", "i", "j").applyInPandas(_across, "a long, b long")
+    met = placed.withColumn("chunk", name("part")).join(sides.hint("merge"), ["key", "chunk"]).select("key", "i", "j", "chunk", "rep", "component")
+    filled = met.join(sets.select("rep", "words").hint("merge"), "rep")
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        reps, found = frame["rep"].to_numpy(), [np.frombuffer(w, np.int64) for w in frame["words"]]
+        first = (frame["chunk"] == frame["i"]).to_numpy() if frame["i"].iloc[0] != frame["j"].iloc[0] else None
+        links = np.array(links_of_block(found, frame["component"].to_numpy(), first), np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": reps[links[:, 0]], "b": reps[links[:, 1]]})
+
+    return filled.groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
 
 
 def count_matches(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -290,36 +312,51 @@ def confirm(pairs: DataFrame, texts: DataFrame, similarity: int = SIMILARITY) ->
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def find_groups(docs: DataFrame) -> DataFrame:
+def _joined(components: DataFrame, links: DataFrame) -> DataFrame:
+    """``components`` (node, component) after further links between their nodes or new ones."""
+    name = lambda side: components.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
+    ends = links.join(name("a").hint("merge"), "a", "left").join(name("b").hint("merge"), "b", "left")
+    joined = connected_components(ends.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")))
+    # a new name for each old component, and for entries that had none
+    old = components.join(joined.select(F.col("node").alias("component"), F.col("component").alias("name")).hint("merge"), "component", "left")
+    alone = joined.join(components.select("node").hint("merge"), "node", "left_anti")
+    return materialize(old.select("node", F.coalesce("name", "component").alias("component")).unionByName(alone), "components")
+
+
+def find_groups(docs: DataFrame, short: int = SHORT, rare: int = RARE, chunk: int = CHUNK) -> DataFrame:
     """One row per document row: doc_id, n_shingles, component_id, kept."""
     sigs = materialize(signatures(docs), "signatures")
     usable = sigs.where("doc_id is not null and n_shingles > 0")
-    classes = materialize(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "classes")
-    suggested, entries = candidates(classes)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    # rows may repeat a doc_id with different texts: the text is taken from the row of the class itself
+    classes = materialize(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
+    ids = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where("doc_id is not null")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        return confirm(pairs, ids.join(wanted.hint("merge"), "doc_id").select(F.col("doc_id").alias("rep"), "text"))
+        counted = materialize(count_matches(pairs, classes), "candidates")
+        wanted = counted.select(F.col("a").alias("rep")).unionByName(counted.select(F.col("b").alias("rep"))).distinct()
+        # rows that repeat a doc_id are one node, so that a link of either of their texts is its link
+        return confirm(counted, ids.join(wanted.hint("merge"), "rep")).distinct()
+
+    def named(entries: DataFrame) -> DataFrame:
+        labels = components.select(F.col("node").alias("rep"), "component").hint("merge")
+        return entries.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
-    links = confirmed(materialize(count_matches(suggested, classes), "candidates"))
-    member = usable.join(classes.select("set_key", "rep"), "set_key").select("doc_id", "rep")
+    member = usable.join(classes.select("set_key", "rep").hint("merge"), "set_key").select("doc_id", "rep")
     several = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a != z")
-    same = member.join(several, "doc_id").select("a", F.col("rep").alias("b"))
-    components = connected_components(links.unionByName(same))
-    further = materialize(unmet(entries, components), "unmet-pairs")
-    if not further.isEmpty():
-        name = lambda side: components.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
-        ends = confirmed(further).join(name("a"), "a", "left").join(name("b"), "b", "left")
-        joined = connected_components(ends.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")))
-        # a new name for each old component, and for entries that had none
-        old = components.join(joined.select(F.col("node").alias("component"), F.col("component").alias("name")), "component", "left")
-        alone = joined.join(components.select("node"), "node", "left_anti")
-        components = old.select("node", F.coalesce("name", "component").alias("component")).unionByName(alone)
+    same = member.join(several.hint("merge"), "doc_id").select("a", F.col("rep").alias("b"))
+    components = connected_components(confirmed(stars(classes)).unionByName(same))
+    pairs, crowded = candidates(materialize(named(classes), "entries"), short)
+    sets = materialize(shingle_sets(named(ids.join(crowded.hint("merge"), "rep"))), "crowded-sets")
+    further, common = rare_pairs(sets, rare)
+    links = materialize(confirmed(pairs.unionByName(further).distinct()), "links")
+    if not links.isEmpty():
+        components = _joined(components, links)
+    common = materialize(named(common.drop("component")), "common-sets")
+    links = materialize(block_links(common, classes, chunk), "links")
+    if not links.isEmpty():
+        components = _joined(components, links)
     found = (
-        sigs.join(classes.select("set_key", "rep"), "set_key", "left")
-        .join(components.select(F.col("node").alias("rep"), "component"), "rep", "left")
+        sigs.join(classes.select("set_key", "rep").hint("merge"), "set_key", "left")
+        .join(components.select(F.col("node").alias("rep"), "component").hint("merge"), "rep", "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
     )
     return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))

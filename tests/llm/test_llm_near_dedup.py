@@ -2,9 +2,9 @@
 
 import random
 import re
-from functools import partial
 from itertools import combinations
 
+import numpy as np
 from conftest import DATA, compare
 from llm_cases import odd_rows, prose, table, with_clashes
 
@@ -57,14 +57,29 @@ def test_against_all_pairs(spark):
     assert len(lost) == 2 and all(r["component_id"] is None for r in lost)
 
 
-def test_near_copies_that_only_share_common_passages(spark, monkeypatch):
+def test_near_copies_that_only_share_common_passages(spark):
     rng, base = random.Random(1), " ".join(f"b{j}" for j in range(150))
     passages = [" ".join(f"p{k}x{j}" for j in range(16)) for k in range(30)]
     rows = [(k, " ".join([base] + [passages[p] for p in sorted(rng.sample(range(30), 5))])) for k in range(500)]
-    monkeypatch.setattr(near_dedup, "candidates", partial(near_dedup.candidates, short=2))  # 500 texts stand for many more
-    for chunk in (near_dedup.CHUNK, 20):
-        monkeypatch.setattr(near_dedup, "CHUNK", chunk)
-        assert sorted(tuple(r) for r in near_dedup.find_groups(table(spark, rows)).collect()) == expected(rows)
+    for chunk in (near_dedup.CHUNK, 20):  # 500 texts and lists of 2 stand for many more
+        got = near_dedup.find_groups(table(spark, rows), short=2, rare=2, chunk=chunk)
+        assert sorted(tuple(r) for r in got.collect()) == expected(rows)
+
+
+def test_pairs_among_pages_of_one_template(spark):
+    """600 pairs of similarity 0.762 among 1,200 pages that are 0.728 alike: each pair is found, and no other."""
+    template = " ".join(f"t{j}" for j in range(304))
+    own = lambda name, n: " ".join(f"{name}w{j}" for j in range(n))
+    rows = [(k, f"{template} {own(f'pair{k // 2}', 8)} {own(f'page{k}', 48)}") for k in range(1200)]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.find_groups(table(spark, rows)).collect()}
+    assert got == {k: k // 2 * 2 for k in range(1200)}
+
+
+def test_a_block_returns_a_forest():
+    sets = [np.arange(at, at + 100) for at in (0, 1, 2, 3, 500, 501, 900)]
+    links = near_dedup.links_of_block(sets, np.array([0, 0, 1, 2, 3, 4, 5]), None)
+    assert len(links) == 4 and {frozenset(x) for x in links} >= {frozenset((4, 5))}
+    assert near_dedup.links_of_block(sets, np.arange(7), np.array([1, 1, 1, 1, 1, 1, 0], bool)) == []
 
 
 def test_one_of_each_group_stays(spark):
