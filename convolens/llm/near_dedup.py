@@ -39,6 +39,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from convolens.llm.common import materialize, mix64, other_columns, polynomial, row_columns
 from convolens.llm.graph import connected_components
@@ -112,18 +113,19 @@ def _keys(sigs: np.ndarray, width: int) -> np.ndarray:
 
 
 def _postings(entries: DataFrame, width: int) -> DataFrame:
-    """(key, rep, component) of (rep, component, sig): a row for each run of ``width`` coordinates."""
+    """(key, other columns) of ``entries`` with a column sig: a row for each run of ``width`` coordinates."""
+    others = [f for f in entries.schema.fields if f.name != "sig"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sigs = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, K).astype(np.uint64)
+            sigs = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint32).reshape(-1, K).astype(np.uint64)
             keys = _keys(sigs, width)
             index = pa.array(np.repeat(np.arange(len(sigs)), keys.shape[1]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), batch.column(0).take(index), batch.column(1).take(index)], names=["key", "rep", "component"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), *(c.take(index) for c in batch.columns[1:])], names=["key", *batch.schema.names[1:]])
 
-    return entries.select("rep", "component", "sig").mapInArrow(run, "key long, rep long, component long")
+    return entries.select("sig", *(f.name for f in others)).mapInArrow(run, StructType([StructField("key", LongType()), *others]))
 
 
 def stars(classes: DataFrame) -> DataFrame:
@@ -132,7 +134,7 @@ def stars(classes: DataFrame) -> DataFrame:
     A list's centres are its least entry (an original stands before its copies) and its entry of the
     least hash. They only join large groups early: what they miss is found by ``candidates``.
     """
-    postings = _postings(classes.withColumn("component", F.col("rep")), BAND).select("key", "rep")
+    postings = _postings(classes.select("rep", "sig"), BAND)
     centre = F.array(F.min("rep"), F.min_by("rep", F.xxhash64("rep"))).alias("centres")
     lists = postings.groupBy("key").agg(F.count("*").alias("n"), centre).where("n > 1").drop("n")
     met = postings.join(lists.hint("merge"), "key").select("rep", F.explode("centres").alias("c")).where("rep != c")
@@ -180,8 +182,8 @@ def rare_pairs(sets: DataFrame, rare: int = RARE) -> tuple[DataFrame, DataFrame]
     """Pairs (a, b) of different components that share a rare shingle, and the sets that may be linked without one.
 
     A shingle is rare if at most ``rare`` of the sets hold it. Linked sets of a and b shingles share at
-    least 3/7 (a + b), which is at least 3/4 of the larger: sets that share no rare shingle can only be
-    linked if both have 3/4 of their shingles among those that are not rare.
+    least 3/7 (a + b), which is at least 3/4 of the larger and 6/7 of the smaller: sets that share no rare
+    shingle can only be linked if so much of them is not rare. ``full`` tells the sets of which 6/7 are not.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,8 +199,8 @@ def rare_pairs(sets: DataFrame, rare: int = RARE) -> tuple[DataFrame, DataFrame]
     held = rows.groupBy("key").agg(F.count("*").alias("held")).where(F.col("held") <= rare)
     low = materialize(rows.join(held.hint("merge"), "key"), "rare-shingles")
     counted = low.groupBy("rep", "row").agg(F.count("*").alias("low"))
-    common = sets.join(counted.hint("merge"), ["rep", "row"], "left").where(4 * (F.col("n") - F.coalesce("low", F.lit(0))) >= 3 * F.col("n"))
-    return across(low.where("held > 1")), common.drop("low")
+    common = sets.join(counted.hint("merge"), ["rep", "row"], "left").withColumn("common", F.col("n") - F.coalesce("low", F.lit(0)))
+    return across(low.where("held > 1")), common.where("4 * common >= 3 * n").withColumn("full", F.expr("7 * common >= 6 * n")).drop("low", "common")
 
 
 def links_of_block(sets: list[np.ndarray], components: np.ndarray, first: np.ndarray | None, similarity: int = SIMILARITY) -> list[tuple[int, int]]:
@@ -242,14 +244,16 @@ def links_of_block(sets: list[np.ndarray], components: np.ndarray, first: np.nda
 def block_links(sets: DataFrame, signatures: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """The links (a, b) between different components among ``sets``, found in blocks of at most about two chunks.
 
-    Entries meet under BLOCK consecutive coordinates; the entries of such a key are dealt into chunks, a
-    component of more than ``chunk`` entries into chunks of its own, and every two chunks that can hold
-    different components are a block. A block returns a spanning forest, never its pairs.
+    Entries meet under BLOCK consecutive coordinates, if any of them is full (see ``rare_pairs``); the entries of
+    such a key are dealt into chunks, a component of more than ``chunk`` entries into chunks of its own, and
+    every two chunks that can hold different components are a block. A block returns a spanning forest, never
+    its pairs.
     """
-    keyed = _postings(signatures.select("rep", "sig").join(sets.select("rep", "component").distinct().hint("merge"), "rep"), BLOCK)
-    shares = keyed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    marked = sets.groupBy("rep", "component").agg(F.max("full").alias("full"))
+    keyed = _postings(signatures.select("rep", "sig").join(marked.hint("merge"), "rep"), BLOCK)
+    shares = keyed.groupBy("key", "component").agg(F.count("*").alias("n"), F.max("full").alias("full"))
     small = F.sum(F.when(F.col("n") <= chunk, F.col("n")).otherwise(0))
-    totals = shares.groupBy("key").agg(F.count("*").alias("several"), small.alias("small")).where("several > 1")
+    totals = shares.groupBy("key").agg(F.count("*").alias("several"), small.alias("small"), F.max("full").alias("any")).where("several > 1 and any").drop("any")
     large = F.col("n") > chunk
     n_chunks = F.greatest(F.lit(1), F.ceil(F.when(large, F.col("n")).otherwise(F.col("small")) / chunk)).cast("int")
     sized = materialize(shares.join(totals.hint("merge"), "key").select("key", "component", F.when(large, F.col("component")).alias("owner"), n_chunks.alias("n_chunks")), "block-sizes")
