@@ -20,10 +20,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder that all executors share.
 
     ``spark.checkpoint.dir`` is read from the session. A folder of our own is set only where it is
-    unset, which is the case in tests on one machine.
+    unset and all tasks run on this machine; a cluster without it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_OWN, None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="convolens-")
         spark.conf.set(_OWN, root)
     return f"{root.rstrip('/')}/convolens/{name}-{uuid.uuid4().hex}"
@@ -40,6 +42,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` wrote and that nothing will read any more."""
+    files = df.inputFiles()
+    if files:
+        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of a data folder."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -22,9 +22,9 @@ Texts are scored as lower-cased (A-Z) bytes with an end symbol; the start is fiv
 Documents whose crc32(doc_id as text) mod 5 is 1 are held out. Words are known by 64-bit hashes: two of a
 billion words share one with a chance of about 3 %, and then pool their counts.
 
-Defined cases: a null text is empty: only its end is scored. A null doc_id is a training document. Rows
-that repeat a doc_id each count and get a row. Without training documents every byte has probability
-1/256 and the base score is 0. Extra columns are not carried.
+Defined cases: a null text is empty: only its end is scored. A very long text is scored whole, alone
+in a portion. A null doc_id is a training document. Rows that repeat a doc_id each count and get a row. Without training documents every byte has probability
+1/256 and the base score is 0. An empty table gives no rows. Extra columns of any name are not carried.
 """
 
 from __future__ import annotations
@@ -41,12 +41,16 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convolens.llm.common import materialize, parallelism
+from convolens.llm.common import discard, materialize, parallelism
 
 DEPTH = 5
 #: Bytes of text in a block, and those worked on at a time.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 24_000_000
 STEP_BYTES = 2_000_000
+#: A small table has fewer blocks than cores rather than blocks below this: each block lists its runs anew.
+LEAST_BLOCK_BYTES = 4_000_000
+#: Values of runs travel as whole numbers of this part of a decimal digit.
+PRECISION = 1e-7
 #: Distinct runs in a bucket of depth-3 contexts.
 BUCKET_RUNS = 200_000
 FOLDS, HELD_OUT = 5, 1
@@ -280,7 +284,10 @@ def run_values(runs: DataFrame) -> DataFrame:
         keys = frame["key"].to_numpy()
         return pd.DataFrame({"key": keys, "value": DeepLevels(keys, frame["n"].to_numpy()).score(above)})
 
-    return placed.groupBy("bucket").cogroup(top.groupBy("bucket")).applyInPandas(score, "key long, value double")
+    values = materialize(placed.groupBy("bucket").cogroup(top.groupBy("bucket")).applyInPandas(score, "key long, value double"), "run-values")
+    discard(third)
+    discard(second)
+    return values
 
 
 # --- scores ------------------------------------------------------------------------------------
@@ -291,7 +298,7 @@ def block_scores(docs: pa.Table, values: pa.Table, train_tokens: int, vocabulary
     word = values.column("word").to_numpy()
     keys, numbers = values.column("key").to_numpy(), values.column("value").to_numpy()
     order = np.argsort(keys[~word])
-    runs, run_value = keys[~word][order], numbers[~word][order]
+    runs, run_value = keys[~word][order], numbers[~word][order] * PRECISION
     known = dict(zip(keys[word].tolist(), numbers[word].tolist()))
     base = math.log10(train_tokens + 0.5 * (vocabulary + 1))
     rows, cache = [], {}
@@ -319,21 +326,25 @@ def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFram
     """One row per document row with the columns of SCORES."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(parallelism(spark), -(-size // block_bytes))
+    blocks = max(1, min(parallelism(spark), size // LEAST_BLOCK_BYTES), -(-size // block_bytes))
     rows = dealt(docs, blocks)
     counts = materialize(rows.groupBy("block").applyInArrow(block_counts, "block int, word boolean, key long, n long"), "block-counts")
     words = counts.where("word").groupBy("key").agg(F.sum("n").alias("n"))
     words = materialize(words, "words")
     train_tokens, vocabulary = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
     runs = materialize(counts.where("not word").groupBy("key").agg(F.sum("n").alias("n")), "runs")
-    run_value = materialize(run_values(runs), "run-values")
+    run_value = run_values(runs)
+    discard(runs)
     asked = counts.select("block", "word", "key")
     values = (
-        asked.where("not word").join(run_value.hint("merge"), "key").select("block", "word", "key", "value")
-        .unionByName(asked.where("word").join(words.select("key", F.col("n").cast("double").alias("value")).hint("merge"), "key").select("block", "word", "key", "value"))
+        asked.where("not word").join(run_value.hint("merge"), "key").select("block", "word", "key", F.round(F.col("value") / PRECISION).cast("long").alias("value"))
+        .unionByName(asked.where("word").join(words.select("key", F.col("n").alias("value")).hint("merge"), "key").select("block", "word", "key", "value"))
     )
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         return block_scores(left, right, train_tokens, vocabulary)
 
-    return rows.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(score, SCORES)
+    scores = materialize(rows.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(score, SCORES), "scores")
+    for done in (counts, words, run_value):
+        discard(done)
+    return scores

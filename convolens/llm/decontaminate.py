@@ -8,7 +8,8 @@ after the words themselves compare equal.
 The hash set is broadcast only while it holds at most ``max_windows`` windows. A larger benchmark is
 split into blocks by item, each block is scanned in a pass of its own, and the passes are combined.
 
-Defined cases: a null or empty text has no words and is not contaminated. An item without words
+Defined cases: a null or empty text has no words and is not contaminated. A very long text is scanned
+whole. An empty table of documents gives no rows, one of items no hits. An empty id is listed like any other. An item without words
 has no window. Repeated items count once per distinct item_id; rows that repeat one item_id form one
 item whose windows are the union. Items with a null id still mark words but are not listed. Repeated
 document rows each get their own result row. Extra columns are carried along by
@@ -18,6 +19,7 @@ document rows each get their own result row. Extra columns are carried along by
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +32,8 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 from convolens.llm.common import mix64, other_columns, polynomial, row_columns
 
 WINDOW = 10
-#: A window costs about 150 bytes on an executor, so one broadcast stays below about 300 MB.
-MAX_WINDOWS = 2_000_000
+#: Windows of one broadcast. A window costs about 210 bytes in a worker, and 510 while its set is built.
+MAX_WINDOWS = 1_000_000
 #: words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ of a text that has no capital A-Z, as UTF-8 bytes
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -66,7 +68,7 @@ class WindowSet:
             numbers = np.array([[self.vocabulary[w] for w in key] for key, _ in entries], np.int64)
             hashes = self._hash_rows(numbers)
             order = np.argsort(hashes, kind="stable")
-            self.widths[width] = (hashes[order], numbers[order], [sorted(filter(None, entries[k][1])) for k in order])
+            self.widths[width] = (hashes[order], numbers[order], [sorted(owner for owner in entries[k][1] if owner is not None) for k in order])
 
     def _hash_rows(self, numbers: np.ndarray) -> np.ndarray:
         out = np.zeros(len(numbers), np.uint64)
@@ -98,16 +100,27 @@ class WindowSet:
         return np.cumsum(hit)[:-1] > 0, found
 
 
+_BUILT: dict[str, WindowSet] = {}
+
+
+def _window_set(name: str, window: int, shared) -> WindowSet:
+    """The windows of a broadcast; a Python worker builds them once and keeps them for its next tasks."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = WindowSet(shared.value, window)
+    return _BUILT[name]
+
+
 def _scan(docs: DataFrame, items: list, window: int) -> DataFrame:
     """``docs`` with the four columns of HIT_FIELDS for one block of items."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(items)
+    shared, token = spark.sparkContext.broadcast(items), uuid.uuid4().hex
     schema = StructType(list(docs.schema.fields))
     for name, kind in HIT_FIELDS.items():
         schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = WindowSet(shared.value, window)
+        windows = _window_set(token, window, shared)
         for batch in batches:
             n_words, n_hit, hits, found_items = [], [], [], []
             for text in batch.column("text").to_pylist():
@@ -134,7 +147,8 @@ def item_blocks(items: DataFrame, window: int, max_windows: int) -> list[list]:
     n_blocks = int(-(-total // max_windows)) or 1
     if n_blocks == 1:
         return [[tuple(r) for r in sized.collect()]]
-    block = F.pmod(F.xxhash64("item_id"), F.lit(2 * n_blocks))
+    # items without an id are dealt by their text
+    block = F.pmod(F.xxhash64("item_id", F.when(F.col("item_id").isNull(), F.col("text"))), F.lit(2 * n_blocks))
     return ([tuple(r) for r in sized.where(block == k).collect()] for k in range(2 * n_blocks))
 
 

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
+from convolens.llm import tokens
 from convolens.llm.common import ASCII_SPACE, materialize, other_columns, parallelism, row_columns
 
 MIN_KEY = 10
@@ -43,6 +44,7 @@ def hash_lines(docs: DataFrame, min_key: int = MIN_KEY) -> DataFrame:
     """The distinct (doc_id, line hash) pairs of each row, keys too short left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.release()
         for batch in batches:
             ids, hashes = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from convolens.llm import tokens
 from convolens.llm.common import materialize, mix64, other_columns, polynomial, row_columns
 from convolens.llm.graph import connected_components
 
@@ -91,6 +92,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_key (128 bits that name the shingle set) and sig of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.release()
         shingles = Shingler()
         for batch in batches:
             counts, keys, sigs = [], [], []

@@ -14,9 +14,9 @@ Hosts are ``source`` and paths ``lang`` below it in the documents table; both ar
 
 Defined cases: a null or empty text has the features of a text without words. A null host or path is
 the group ''. A missing host or path column makes one group. Labels with a null are left out, labels
-that repeat a doc_id count once (as low quality or toxic if any says so). Where the sample lacks one
-of the two classes, the evidence is the smoothed rate alone. Repeated documents each get a row. Extra
-columns of any name are carried by ``keep_good``.
+that repeat a doc_id count once (as low quality or toxic if any says so). A very long text counts whole. Where the sample lacks one
+of the two classes, the evidence is the smoothed rate alone. Repeated documents each get a row. An empty
+table of documents or labels gives no rows, or the smoothed rate as evidence. Extra columns of any name are carried by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -33,10 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from convolens.llm import tokens
 from convolens.llm.common import materialize, other_columns, row_columns
 
 SAMPLE = 20_000
-LEXICON = 20_000
 #: A feature enters the lexicon with so many toxic documents and so large a log likelihood ratio.
 LEAST_DOCUMENTS, LEAST_RATIO = 3, 10.0
 THRESHOLD = 0.5
@@ -154,7 +154,8 @@ def toxic_lexicon(labelled: DataFrame, total: int, toxic: int) -> dict[str, floa
     ratio = F.col("k") * F.log(rate / base) + (F.col("n") - F.col("k")) * F.log((1 - rate) / (1 - base))
     counted = labelled.select("text", "toxic").mapInArrow(count, "feature string, n long, k long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     marking = counted.where(F.col("k") >= LEAST_DOCUMENTS).withColumn("rate", rate).withColumn("ratio", ratio).where((F.col("rate") > 3 * base) & (F.col("ratio") > LEAST_RATIO))
-    rows = marking.orderBy(F.desc("ratio"), "feature").limit(LEXICON).collect()
+    # so many marks can the bounded sample give: three of its toxic documents each
+    rows = marking.collect()
     return {r["feature"]: math.log(r["rate"] / (1 - r["rate"])) - math.log(base / (1 - base)) for r in rows}
 
 
@@ -187,6 +188,7 @@ def with_evidence(rows: DataFrame, model: Model) -> DataFrame:
     at = rows.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.release()
         for batch in batches:
             p = shared.value.evidence(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, "evidence"])
@@ -224,19 +226,23 @@ def _groups(docs: DataFrame, host: str, path: str) -> tuple:
     return tuple(F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("") for c in (host, path))
 
 
-def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """(_row, text, evidence, host, path, host_rate, path_rate, posterior, kept) of every row of ``docs``."""
+def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", sample: int = SAMPLE, threshold: float = THRESHOLD, texts: bool = True) -> DataFrame:
+    """(_row, text, evidence, host, path, host_rate, path_rate, posterior, kept) of every row of ``docs``.
+
+    Without ``texts`` the column text is null. The evidence is computed once and written.
+    """
     model = fit(docs, labels, sample)
     host_column, path_column = _groups(docs, host, path)
     rows = docs.select(other_columns(docs), "text", host_column.alias("host"), path_column.alias("path"))
-    rates, overall = posteriors(with_evidence(rows.drop("_row"), model).select("host", "path", F.col("evidence").alias("p")))
-    rates = materialize(rates, "rates")
     judged = with_evidence(rows, model)
+    judged = materialize(judged if texts else judged.withColumn("text", F.lit(None).cast("string")), "evidence")
+    rates, overall = posteriors(judged.select("host", "path", F.col("evidence").alias("p")))
+    rates = materialize(rates, "rates")
     if rates.count() <= MAX_BROADCAST_PATHS:
         joined = judged.join(F.broadcast(rates), ["host", "path"], "left")
     else:
         salted = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = judged.withColumn("salt", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int")).join(salted, ["host", "path", "salt"], "left")
+        joined = judged.withColumn("salt", F.pmod(F.xxhash64("_row", "evidence"), F.lit(SALTS)).cast("int")).join(salted, ["host", "path", "salt"], "left")
     p = F.least(F.greatest("evidence", F.lit(1e-6)), F.lit(1 - 1e-6))
     logit = lambda x: F.log(x / (1 - x))
     posterior = 1 / (1 + F.exp(logit(F.lit(overall)) - logit(p) - logit(F.col("path_rate"))))
@@ -246,7 +252,7 @@ def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
 def report(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
     """One row per document row: doc_id, host, path, evidence, host_rate, path_rate, posterior, kept."""
     names = [c for c in ("doc_id", "text", "source", "lang") if c in docs.columns]
-    return judge(docs.select(*names), labels, **parameters).select("_row.doc_id", "host", "path", "evidence", "host_rate", "path_rate", "posterior", "kept")
+    return judge(docs.select(*names), labels, texts=False, **parameters).select("_row.doc_id", "host", "path", "evidence", "host_rate", "path_rate", "posterior", "kept")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:

@@ -69,3 +69,8 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """The encoder of a Python worker; it outlives tasks, with its cache."""
     return Encoder(path)
+
+
+def release() -> None:
+    """Free a worker's encoder, for tasks of other stages that run in it later."""
+    encoder.cache_clear()

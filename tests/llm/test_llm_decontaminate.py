@@ -73,3 +73,10 @@ def test_empty_tables(spark):
 
 def test_query_against_sql(spark, duck):
     compare(QUERIES["op9_decontamination"](spark, DATA), duck, ORACLE_SQL["op9_decontamination"])
+
+
+def test_an_empty_id_is_listed_and_a_null_one_is_not(spark):
+    text = " ".join(f"v{k}" for k in range(12))
+    items = spark.createDataFrame([("", text), ("a", text), (None, text)], "item_id string, text string")
+    row = decontaminate.find_contamination(table(spark, [(1, text)]), items, max_windows=2).first()
+    assert row["n_items"] == 2 and row["items"] == ["", "a"]
