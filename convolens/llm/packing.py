@@ -3,12 +3,14 @@
 Documents become token ids plus an end id. Only a document longer than a sequence is cut, into whole
 sequences; its first piece holds the remainder. The pieces (without their ids) are dealt by hash into
 groups of about ``GROUP`` pieces, so that no group grows with the data or with one source. Each group
-is packed on its own: best fit in descending length, then local search. The search takes the
+is packed on its own: best fit in the order of doc_id, pieces below a quarter sequence last, then local search. The search takes the
 emptiest sequence and moves its pieces, swaps one of them for a shorter one elsewhere, or two of them
-for one, always so that the sum of squared fills rises, until the sequence is empty or nothing helps.
-A group can lose at most part of one sequence against packing all groups together.
+for one, always so that the sum of squared fills rises, until the sequence is empty or nothing helps; then
+the next one, until every underfull sequence has been tried. A group still above its lower bound has its
+emptiest sequences fitted anew by descending length, more and more of them, and the search goes on.
+A group that reaches its bound leaves at most part of one sequence open.
 
-Defined cases: a null or empty text is the end id alone. Rows that repeat a doc_id, null included,
+Defined cases: a null or empty text is the end id alone. A very long text is cut into pieces of a sequence. Rows that repeat a doc_id, null included,
 are packed as documents of their own under the same id. An empty table gives no pieces. Extra
 columns are not carried.
 """
@@ -30,8 +32,6 @@ from convolens.llm.common import materialize
 LENGTH = 2048
 END = 0
 GROUP = 20_000
-#: Sequences that the local search tries to empty, per group, without success before it stops.
-PATIENCE = 24
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -67,12 +67,11 @@ def pieces(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None)
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
-    """Bins of item numbers: each item, longest first, goes to the fullest bin that it fits."""
+    """Bins of item numbers: each item, in the order given, goes to the fullest bin that it fits."""
     bins: list[list[int]] = []
     by_free: dict[int, list[int]] = {}
     free_sizes = 0  # bit f is set if a bin has f free
-    for item in np.argsort(-lengths, kind="stable").tolist():
-        need = int(lengths[item])
+    for item, need in enumerate(lengths.tolist()):
         fitting = free_sizes >> need
         if fitting:
             free = need + (fitting & -fitting).bit_length() - 1
@@ -94,75 +93,110 @@ class LocalSearch:
     """Empties underfull bins by moves and swaps that raise the sum of squared fills."""
 
     def __init__(self, lengths: np.ndarray, bins: list[list[int]], capacity: int):
-        self.lengths, self.capacity = lengths.astype(np.int64), capacity
+        self.lengths, self.capacity, self.steps = lengths.astype(np.int64), capacity, 0
         self.home = np.empty(len(lengths), np.int64)
         for k, items in enumerate(bins):
             self.home[items] = k
         self.fill = np.bincount(self.home, self.lengths, len(bins)).astype(np.int64)
 
-    def _open(self, donor: int) -> np.ndarray:
-        """Free room of every bin that may receive, -1 for others."""
-        room = np.where((self.fill > 0) & (self.fill >= self.fill[donor]), self.capacity - self.fill, -1)
-        room[donor] = -1
-        return room
-
     def _put(self, item: int, to: int) -> None:
         n = self.lengths[item]
         self.fill[self.home[item]] -= n
         self.fill[to] += n
         self.home[item] = to
 
-    def _step(self, donor: int) -> bool:
-        """One improving move of the donor's items; False if there is none."""
-        room = self._open(donor)
-        own = np.flatnonzero(self.home == donor)
-        own = own[np.argsort(-self.lengths[own], kind="stable")]
-        for item in own.tolist():  # move: the tightest bin that takes it
-            fits = np.where(room >= self.lengths[item], room, self.capacity + 1)
-            to = int(fits.argmin())
-            if fits[to] <= self.capacity:
-                self._put(item, to)
-                return True
-        theirs = room[self.home]
-        offers = [(item,) for item in own.tolist()] + [(a, b) for i, a in enumerate(own[:12].tolist()) for b in own[i + 1 : 12].tolist()]
-        best, choice = 0, None
-        for given in offers:  # one for one, two for one: the largest gain that fits
-            gain = int(self.lengths[list(given)].sum()) - self.lengths
-            gain = np.where((theirs >= 0) & (gain <= theirs), gain, 0)
-            taken = int(gain.argmax())
-            if gain[taken] > best:
-                best, choice = gain[taken], (given, taken)
-        if choice is None:
+    def _offers(self, own: np.ndarray) -> tuple[np.ndarray, list[tuple[int, ...]]]:
+        """The sums of one and of two of the items ``own``, ascending, and the items of each; equal lengths count once."""
+        sums: dict[int, tuple[int, ...]] = {}
+        few: list[int] = []  # no length more than twice, and so at most about two roots of the capacity
+        for item, n in zip(own.tolist(), self.lengths[own].tolist()):
+            if sums.get(n, ())[1:] != () or n not in sums:
+                sums[n] = (item,)
+                few.append(item)
+            elif sum(self.lengths[x] == n for x in few) < 2:
+                few.append(item)
+        for i, one in enumerate(few):
+            for two in few[i + 1 :]:
+                sums.setdefault(int(self.lengths[one] + self.lengths[two]), (one, two))
+        ordered = sorted(sums)
+        return np.array(ordered), [sums[n] for n in ordered]
+
+    def _step(self, donor: int, pool: np.ndarray) -> bool:
+        """One improving move of the donor's items; False if there is none. ``pool``: the items of underfull bins."""
+        homes, lengths = self.home[pool], self.lengths[pool]
+        fills = self.fill[homes]
+        room = np.where((fills >= self.fill[donor]) & (homes != donor), self.capacity - fills, -1)
+        own = pool[homes == donor]
+        fits = own[self.lengths[own] <= room.max()]
+        if len(fits):  # move: the longest item that any bin takes, to the tightest one
+            item = int(fits[self.lengths[fits].argmax()])
+            self._put(item, int(homes[np.where(room >= self.lengths[item], room, self.capacity + 1).argmin()]))
+            return True
+        theirs, room = pool[room > 0], room[room > 0]
+        if not len(theirs):
             return False
-        given, taken = choice
-        to = int(self.home[taken])
-        self._put(taken, donor)
-        for item in given:
+        # one for one, two for one: for each item that may be taken, the largest sum that fits in its place
+        sums, offered = self._offers(own)
+        taken = self.lengths[theirs]
+        at = np.searchsorted(sums, taken + room, "right") - 1
+        gain = np.where(at >= 0, sums[np.maximum(at, 0)] - taken, 0)
+        best = int(gain.argmax())
+        if gain[best] <= 0:
+            return False
+        to = int(self.home[theirs[best]])
+        self._put(int(theirs[best]), donor)
+        for item in offered[at[best]]:
             self._put(item, to)
         return True
 
-    def run(self, patience: int) -> list[list[int]]:
-        least = -(-int(self.lengths.sum()) // self.capacity)
-        tried: set[int] = set()
-        while (self.fill > 0).sum() > least and len(tried) < patience:
-            usable = np.where(self.fill > 0, self.fill, self.capacity + 1)
-            usable[list(tried)] = self.capacity + 1
+    def _search(self, least: int) -> None:
+        """Moves and swaps until the bound is met or every underfull bin has failed since the last one was emptied."""
+        tried = np.zeros(len(self.fill), bool)
+        while (self.fill > 0).sum() > least:
+            usable = np.where((self.fill > 0) & ~tried, self.fill, self.capacity)
             donor = int(usable.argmin())
             if usable[donor] >= self.capacity:
-                break
-            while self.fill[donor] and self._step(donor):
-                pass
-            if self.fill[donor]:
-                tried.add(donor)
+                return
+            pool = np.flatnonzero(self.fill[self.home] < self.capacity)
+            while self.fill[donor] and self._step(donor, pool):
+                self.steps += 1
+            tried[donor] = self.fill[donor] > 0
+            if not self.fill[donor]:
+                tried[:] = False
+
+    def _refit(self) -> bool:
+        """Empty a bin by fitting the emptiest bins anew, the longest item first; twice as many each time, up to all."""
+        order = np.argsort(np.where(self.fill > 0, self.fill, self.capacity + 1), kind="stable")[: int((self.fill > 0).sum())]
+        n = max(2, int((self.fill[order] < self.capacity).sum()))
+        while True:
+            own = np.flatnonzero(np.isin(self.home, order[:n]))
+            own = own[np.argsort(-self.lengths[own], kind="stable")]
+            bins = best_fit(self.lengths[own], self.capacity)
+            if len(bins) < min(n, len(order)):
+                for to, items in zip(order.tolist(), bins):
+                    self.home[own[items]] = to
+                self.fill = np.bincount(self.home, self.lengths, len(self.fill)).astype(np.int64)
+                return True
+            if n >= len(order):
+                return False
+            n *= 2
+
+    def run(self) -> list[list[int]]:
+        """Bins of item numbers, when the bound is met or neither the search nor fitting anew saves a bin."""
+        least = -(-int(self.lengths.sum()) // self.capacity)
+        self._search(least)
+        while (self.fill > 0).sum() > least and self._refit():
+            self._search(least)
         out: list[list[int]] = [[] for _ in self.fill]
         for item, where in enumerate(self.home.tolist()):
             out[where].append(item)
         return [items for items in out if items]
 
 
-def pack_lengths(lengths: np.ndarray, capacity: int, patience: int = PATIENCE) -> list[list[int]]:
-    """Bins of item numbers for one group."""
-    return LocalSearch(lengths, best_fit(lengths, capacity), capacity).run(patience)
+def pack_lengths(lengths: np.ndarray, capacity: int) -> list[list[int]]:
+    """Bins of item numbers for one group: best fit in the order given, short items last, then the search."""
+    order = np.argsort(4 * lengths < capacity, kind="stable")
+    return [order[items].tolist() for items in LocalSearch(lengths[order], best_fit(lengths[order], capacity), capacity).run()]
 
 
 def pack(docs: DataFrame, length: int = LENGTH, group: int = GROUP, tokenizer: str | None = None) -> DataFrame:
@@ -172,6 +206,7 @@ def pack(docs: DataFrame, length: int = LENGTH, group: int = GROUP, tokenizer: s
     dealt = cuts.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32"), F.lit(groups)))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["doc_id", "piece", "ids_crc32"], ignore_index=True)
         lengths = frame["length"].to_numpy()
         sequence, offset = np.empty(len(frame), np.int64), np.empty(len(frame), np.int64)
         for number, items in enumerate(pack_lengths(lengths, length)):

@@ -68,12 +68,24 @@ def test_packings_are_whole_and_never_worse():
     rng = random.Random(7)
     for _ in range(60):
         lengths = np.array([rng.randint(1, 40) for _ in range(rng.randint(1, 80))])
-        plain, found = packing.best_fit(lengths, 40), packing.pack_lengths(lengths, 40)
-        assert len(found) <= len(plain)
+        found = packing.pack_lengths(lengths, 40)
+        assert len(found) <= min(len(packing.best_fit(x, 40)) for x in (lengths, np.sort(lengths)[::-1]))
         assert sorted(i for b in found for i in b) == list(range(len(lengths)))
         assert all(lengths[b].sum() <= 40 for b in found)
 
 
+def test_the_search_takes_documents_to_the_bound(spark):
+    """On the documents of sf0.01: moves and swaps save sequences, down to what the number of ids demands."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = packing.pack(docs).collect()
+    lengths = np.array([r["length"] for r in sorted(rows, key=lambda r: (r["doc_id"], r["piece"]))])
+    bound = -(-int(lengths.sum()) // packing.LENGTH)
+    plain = packing.best_fit(lengths, packing.LENGTH)
+    search = packing.LocalSearch(lengths, plain, packing.LENGTH)
+    assert len(search.run()) < len(plain) and search.steps > 0
+    assert len({r["sequence_id"] for r in rows}) <= bound + 1
+
+
 def test_encoder_equals_the_library():
     encode = tokens.encoder(tokens.default_path())
     texts = [t or "" for _, t in odd_rows()] + [prose(9, 400), "a b  c　", " lead", "trail  ", "x" * 5000, "tab\t\tend\r\n\r\n", "it's we'll 123 4a5 <|endoftext|> z", "\x1c\x1d a \x85 b", "é ​ zero", "!!! ??? ...", "日本語 テキスト", "\n" * 300 + "a"]
