@@ -1,17 +1,19 @@
 """Adaptive context-mixing range coder for token ids, in independently reset, checksummed blocks.
 
-An id's probability comes from three predictions: the id that followed the last two ids (order 2), the
-id that followed the last one (order 1), and an order-0 distribution over classes of ids. The two
-context predictions get the front of the coder's range, each a spike whose width follows how often it
-was right lately at its confidence (one spike, if they agree); order 0 gets the rest, and its class
-counts follow the block's ids. Each id is one step of a carry-less range coder with
-64-bit bounds that puts out 32-bit words.
-
-Every block starts from the same fixed state, so blocks are coded side by side: a step codes one id
+An id's probability is mixed from three predictions: the id that followed the last two ids (order 2), the
+id that followed the last one (order 1), and an order-0 distribution over all ids. The two context
+predictions get the front of the coder's range, each a share whose width follows how often it was
+right lately at its confidence (one share, if they agree); order 0 gets the rest. A chunk begins with
+what its blocks start from, its ``Prior``: the ids' frequencies in the chunk, and the followers that its ids
+and pairs of ids have most often. A block adapts from there: classes of ids by what came, followers by its
+own. Each id is one step of a carry-less range coder with 64-bit bounds that puts out 32-bit words.
+
+Every block starts from the same state, so blocks are coded side by side: a step codes one id
 of every block of a chunk, on arrays. A chunk holds whole documents and is self-contained:
 
     magic, version, block length, vocabulary size, number of documents, of ids and of blocks
     doc_ids as int64 (a null is the least int64), document lengths in ids as uint64
+    length of the packed prior, and the prior
     per block: number of 32-bit words, crc32 of its ids
     the words of all blocks, in order
 
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 
 MAGIC = b"CVID"
-VERSION = 2
+VERSION = 3
 HEADER = struct.Struct("<4sBIIQQQ")
 #: Most blocks that are coded side by side, and the least length of a block (the last may be shorter).
 LANES = 1024
@@ -35,49 +37,99 @@ LEAST_BLOCK = 1024
 NULL_ID = -(2**63)
 CLASSES = 64
 #: Slots of a block's order-1 and order-2 tables.
-SLOTS = 256
-#: Order-0 probabilities are recomputed after so many ids, on a scale of 2**18.
-REFRESH = 32
-SCALE = 1 << 18
-#: Heaviest spike of a context prediction, against an order-0 total of about SCALE.
-HEAVIEST = 1 << 26
+SLOTS = 1024
+#: Order-0 probabilities are recomputed after so many ids, on a scale of 2**25.
+REFRESH = 64
+SCALE = 1 << 25
+#: Heaviest share of a context prediction, against an order-0 total of about SCALE.
+HEAVIEST = 1 << 30
+#: What a class counts for at the start of a block, and what an id adds.
+CLASS_START, CLASS_STEP = 150, 24
+#: Contexts of two ids are known by their hash to so many slots; followers are kept from so many occurrences on.
+PAIR_SLOTS = 1 << 13
+LEAST_FOLLOWED = 16
 _ONES = np.uint64(0xFFFFFFFF)
 _WIDE = np.uint64(1 << 32)
 _HALF = np.uint64(32)
 
 
-def class_starts(vocabulary: int) -> np.ndarray:
-    """First id of every class: widths grow with the id, as ids are about ranked by frequency."""
-    k = np.arange(CLASSES + 1) / CLASSES
-    starts = np.floor(200 * ((vocabulary / 200 + 1) ** k - 1)).astype(np.int64)
-    starts = np.maximum(starts, np.arange(CLASSES + 1))
-    starts[-1] = max(vocabulary, CLASSES)
-    return starts
+def _followers(contexts: np.ndarray, ids: np.ndarray, size: int, vocabulary: int) -> np.ndarray:
+    """For every context below ``size``, 4 * id + confidence of the id that follows it most often, or -4."""
+    out = np.full(size, -4, np.int32)
+    if not len(ids):
+        return out
+    pairs, counts = np.unique(contexts * vocabulary + ids, return_counts=True)
+    context = pairs // vocabulary
+    total = np.bincount(context, counts, size)
+    order = np.lexsort((counts, context))
+    last = order[np.flatnonzero(np.concatenate((context[order][1:] != context[order][:-1], [True])))]
+    last = last[counts[last] >= LEAST_FOLLOWED]
+    share = counts[last] / total[context[last]]
+    good = share >= 0.1
+    out[context[last][good]] = (pairs[last] % vocabulary * 4 + 1 + (share > 0.35) + (share > 0.7))[good]
+    return out
+
+
+def _pair_slot(before: np.ndarray, last: np.ndarray) -> np.ndarray:
+    return ((last * 40503 + before * 30011) >> 3) & (PAIR_SLOTS - 1)
+
+
+class Prior:
+    """What the blocks of a chunk start from, of plain arrays that a chunk carries."""
+
+    def __init__(self, levels: np.ndarray, follows: np.ndarray, follows_two: np.ndarray):
+        self.levels, self.primed = levels, (follows, follows_two)
+        # level b > 0 stands for 2 ** ((b - 1) / 8) occurrences; a quarter of them is weight enough
+        self.weight = np.where(levels > 0, np.ceil(2.0 ** ((levels.astype(np.float64) - 1) / 8) / 4), 0).astype(np.int64)
+        self.upto = np.concatenate(([0], np.cumsum(self.weight)))
+        bounds = np.searchsorted(self.upto, self.upto[-1] * np.arange(1, CLASSES) // CLASSES, "left")
+        self.starts = np.concatenate(([0], np.minimum(bounds, len(levels)), [len(levels)]))
+        self.class_weight = self.upto[self.starts[1:]] - self.upto[self.starts[:-1]]
+        self.class_of = np.repeat(np.arange(CLASSES), np.diff(self.starts))
+
+    @classmethod
+    def of(cls, ids: np.ndarray, vocabulary: int) -> Prior:
+        ids = ids.astype(np.int64)
+        counts = np.bincount(ids, minlength=vocabulary)
+        levels = np.where(counts > 0, np.rint(8 * np.log2(np.maximum(counts, 1))) + 1, 0).astype(np.uint8)
+        slots = _pair_slot(ids[:-2], ids[1:-1])
+        return cls(levels, _followers(ids[:-1], ids[1:], vocabulary, vocabulary), _followers(slots, ids[2:], PAIR_SLOTS, vocabulary))
+
+    def packed(self) -> bytes:
+        return zlib.compress(b"".join([self.levels.tobytes(), *(x.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes() for x in self.primed)]), 6)
+
+    @classmethod
+    def unpacked(cls, data: bytes, vocabulary: int) -> Prior:
+        try:
+            raw = np.frombuffer(zlib.decompress(data), np.uint8)
+        except zlib.error as error:
+            raise ValueError("a chunk's prior is damaged") from error
+        if len(raw) != 5 * vocabulary + 4 * PAIR_SLOTS:
+            raise ValueError("a chunk's prior is damaged")
+        parts = np.split(raw, (vocabulary, 5 * vocabulary))
+        return cls(parts[0], *(np.ascontiguousarray(x.reshape(4, -1).T).view("<i4").reshape(-1) for x in parts[1:]))
 
 
 class Model:
     """The predictions for one id of every lane, and their update."""
 
-    def __init__(self, lanes: int, vocabulary: int):
-        self.lanes = np.arange(lanes)
-        self.starts = class_starts(vocabulary)
-        self.widths = np.diff(self.starts)
-        self.class_of = np.repeat(np.arange(CLASSES), self.widths)
+    def __init__(self, lanes: int, prior: Prior):
+        self.lanes, self.prior = np.arange(lanes), prior
         self.n = lanes
-        self.counts = np.full((CLASSES, lanes), 24, np.int64)
+        self.counts = np.full((CLASSES, lanes), CLASS_START, np.int64)
         # a slot holds 4 * id + confidence (0: nothing yet); small tables stay in a core's cache
         self.tables = [np.full(lanes * SLOTS, -4, np.int32) for _ in range(2)]
-        self.right = [np.tile(np.array([0.0, 2, 8, 32]), (lanes, 1)).reshape(-1) for _ in range(2)]
-        self.wrong = [np.tile(np.array([1.0, 8, 4, 2]), (lanes, 1)).reshape(-1) for _ in range(2)]
+        self.right = [np.tile(np.array([0.0, 8, 16, 32]), (lanes, 1)).reshape(-1) for _ in range(2)]
+        self.wrong = [np.tile(np.array([1.0, 16, 8, 2]), (lanes, 1)).reshape(-1) for _ in range(2)]
         self.row, self.sure_row = self.lanes * SLOTS, self.lanes * 4
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.step = 0
         self._refresh()
 
     def _refresh(self) -> None:
-        widths = self.widths[:, None]
-        each = np.maximum(1, (self.counts * (SCALE / self.counts.sum(axis=0)) / widths).astype(np.int64))
-        mass = each * widths
+        weight = self.prior.class_weight[:, None]
+        each = np.maximum(1, (self.counts * (SCALE / self.counts.sum(axis=0)) / np.maximum(1, weight)).astype(np.int64))
+        mass = each * weight
         upto = np.cumsum(mass, axis=0)
         below = upto - mass
         self.each, self.below, self.coarse, self.total = each.reshape(-1), below.reshape(-1), below[8::8], upto[-1]
@@ -89,9 +141,11 @@ class Model:
         one = self.last * 40503
         two = (one + self.before * 30011) & 0xFFFFFFF
         self.at = [self.row + (one >> 5) % SLOTS, self.row + (two >> 5) % SLOTS]
+        primed = (self.last, _pair_slot(self.before, self.last))
         self.known, spikes = [], []
         for k in range(2):
-            entry = self.tables[k].take(self.at[k]).astype(np.int64)
+            entry = self.tables[k].take(self.at[k])
+            entry = np.where(entry < 0, self.prior.primed[k].take(primed[k]), entry).astype(np.int64)
             sure = entry & 3
             state = self.sure_row + sure
             right, wrong = self.right[k].take(state), self.wrong[k].take(state)
@@ -107,10 +161,11 @@ class Model:
 
     def order0(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(mass, mass below) of ids in the order-0 distribution."""
-        k = self.class_of.take(ids)
+        prior = self.prior
+        k = prior.class_of.take(ids)
         place = k * self.n + self.lanes
         each = self.each.take(place)
-        return each, self.below.take(place) + (ids - self.starts.take(k)) * each
+        return each * prior.weight.take(ids), self.below.take(place) + (prior.upto.take(ids) - prior.upto.take(prior.starts.take(k))) * each
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(mass, mass below) of ids in the whole range."""
@@ -127,15 +182,17 @@ class Model:
         k += (fine <= u).sum(axis=0) - 1
         place = k * self.n + self.lanes
         each, start = self.each.take(place), self.below.take(place)
-        within = (u - start) // each
+        upto = self.prior.upto
+        base = upto.take(self.prior.starts.take(k))
+        found = np.minimum(np.searchsorted(upto, base + (u - start) // each, "right") - 1, len(self.prior.weight) - 1)
         one, two = v < self.first, v < self.front
-        ids = np.where(one, self.known[0][1], np.where(two, self.known[1][1], self.starts.take(k) + within))
-        mass = np.where(one, self.first, np.where(two, self.second, each))
-        return ids, mass, np.where(one, 0, np.where(two, self.first, start + within * each + self.front))
+        ids = np.where(one, self.known[0][1], np.where(two, self.known[1][1], found))
+        mass = np.where(one, self.first, np.where(two, self.second, self.prior.weight.take(found) * each))
+        return ids, mass, np.where(one, 0, np.where(two, self.first, start + (upto.take(found) - base) * each + self.front))
 
     def update(self, ids: np.ndarray) -> None:
         """Learn the ids that came."""
-        self.counts.reshape(-1)[self.class_of.take(ids) * self.n + self.lanes] += 24
+        self.counts.reshape(-1)[self.prior.class_of.take(ids) * self.n + self.lanes] += CLASS_STEP
         fresh = ids * 4 + 1
         for k, (entry, guess, sure, state, right, wrong) in enumerate(self.known):
             hit = guess == ids
@@ -163,10 +220,10 @@ def _settled(low: np.ndarray, span: np.ndarray) -> Iterator[tuple[np.ndarray, np
         lanes = lanes[span[lanes] <= _WIDE]
 
 
-def encode_blocks(rows: np.ndarray, vocabulary: int) -> list[np.ndarray]:
+def encode_blocks(rows: np.ndarray, prior: Prior) -> list[np.ndarray]:
     """The words of every block; ``rows`` has a block's ids in each row."""
     lanes, length = rows.shape
-    model = Model(lanes, vocabulary)
+    model = Model(lanes, prior)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
     words, used = np.zeros((lanes, length + 3), np.uint32), np.zeros(lanes, np.int64)
     columns = np.ascontiguousarray(rows.T).astype(np.int64)
@@ -188,10 +245,10 @@ def encode_blocks(rows: np.ndarray, vocabulary: int) -> list[np.ndarray]:
     return [words[k, : used[k]] for k in range(lanes)]
 
 
-def decode_blocks(words: list[np.ndarray], length: int, vocabulary: int) -> np.ndarray:
+def decode_blocks(words: list[np.ndarray], length: int, prior: Prior) -> np.ndarray:
     """The rows that ``encode_blocks`` was given."""
     lanes = len(words)
-    model = Model(lanes, vocabulary)
+    model = Model(lanes, prior)
     table = np.zeros((lanes, max(map(len, words)) + 3), np.uint64)
     for k, own in enumerate(words):
         table[k, : len(own)] = own
@@ -203,7 +260,7 @@ def decode_blocks(words: list[np.ndarray], length: int, vocabulary: int) -> np.n
         unit = span // model.sum.astype(np.uint64)
         v = np.minimum(((code - low) // unit).astype(np.int64), model.sum - 1)
         ids, mass, below = model.find(v)
-        if ids.min() < 0 or ids.max() >= len(model.class_of):
+        if ids.min() < 0 or ids.max() >= len(prior.weight):
             raise ValueError("a block is damaged")
         low = low + unit * below.astype(np.uint64)
         span = unit * mass.astype(np.uint64)
@@ -226,11 +283,13 @@ def pack_chunk(doc_ids: list[int | None], documents: list[bytes]) -> bytes:
     lengths = np.array([len(d) // 4 for d in documents], "<u8").tobytes()
     if not len(ids):
         return head + names + lengths
-    padded = np.zeros(n_blocks * block, np.uint32)
+    padded = np.full(n_blocks * block, ids[-1], np.uint32)
     padded[: len(ids)] = ids
-    words = encode_blocks(padded.reshape(n_blocks, block), vocabulary)
+    prior = Prior.of(ids, vocabulary)
+    packed = prior.packed()
+    words = encode_blocks(padded.reshape(n_blocks, block), prior)
     index = np.array([(len(w), zlib.crc32(ids[k * block : (k + 1) * block])) for k, w in enumerate(words)], "<u4").tobytes()
-    return b"".join([head, names, lengths, index, *(w.astype("<u4").tobytes() for w in words)])
+    return b"".join([head, names, lengths, struct.pack("<I", len(packed)), packed, index, *(w.astype("<u4").tobytes() for w in words)])
 
 
 def unpack_chunk(data: bytes) -> tuple[list[int | None], list[bytes]]:
@@ -246,11 +305,14 @@ def unpack_chunk(data: bytes) -> tuple[list[int | None], list[bytes]]:
         raise ValueError("a chunk's document lengths do not add up")
     ids = np.empty(0, np.uint32)
     if n_ids:
+        size = struct.unpack_from("<I", data, at)[0]
+        prior = Prior.unpacked(data[at + 4 : at + 4 + size], vocabulary)
+        at += 4 + size
         index = np.frombuffer(data, "<u4", 2 * n_blocks, at).reshape(-1, 2)
         at += 8 * n_blocks
         ends = np.cumsum(index[:, 0], dtype=np.int64)
         words = np.frombuffer(data, "<u4", int(ends[-1]), at)
-        rows = decode_blocks(np.split(words, ends[:-1]), block, vocabulary)
+        rows = decode_blocks(np.split(words, ends[:-1]), block, prior)
         ids = rows.reshape(-1)[:n_ids].astype("<u4")
         for k in range(n_blocks):
             if zlib.crc32(ids[k * block : (k + 1) * block]) != index[k, 1]:

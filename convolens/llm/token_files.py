@@ -5,7 +5,7 @@ ascending order. A file is Parquet whose rows are chunks (see ``idcoder``): ``pa
 ``n_docs``, ``n_ids`` and the binary ``payload``; each chunk can be read alone. Spark's writer commits
 the files, so a lost executor leaves no partial file behind.
 
-Defined cases: a null or empty text is the end id alone. A null doc_id comes first, as null. Rows that
+Defined cases: a null or empty text is the end id alone. A very long text stays in one chunk, which grows by it. A null doc_id comes first, as null. Rows that
 repeat a doc_id follow one another in the order of their texts (nulls first). An empty table writes
 no chunk. Extra columns are not kept.
 """

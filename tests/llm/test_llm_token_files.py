@@ -4,7 +4,9 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
+import zstandard
 from llm_cases import odd_rows, prose, table, with_clashes
 
 from convolens.llm import idcoder, token_files, tokens
@@ -49,9 +51,15 @@ def test_chunks_round_trip():
     assert idcoder.unpack_chunk(idcoder.pack_chunk([], [])) == ([], [])
 
 
-def test_coder_saves_space():
-    ids = np.concatenate([library_ids(prose(1, 20_000, vocabulary=200))])
-    assert len(idcoder.pack_chunk([1], [ids.tobytes()])) < 1.2 * len(ids)
+def test_coder_beats_general_compression_and_order_0_on_documents():
+    """Token ids of documents take fewer bits than their order-0 entropy, and than zstd makes of them."""
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    documents = [x + np.array([2], "<u4").tobytes() for x in tokens.encoder(tokens.default_path())(texts)]
+    ids = np.frombuffer(b"".join(documents), "<u4")
+    share = np.unique(ids, return_counts=True)[1] / len(ids)
+    entropy = -(share * np.log2(share)).sum()
+    bits = 8 * len(idcoder.pack_chunk(list(range(len(documents))), documents)) / len(ids)
+    assert bits < entropy < 8 * len(zstandard.ZstdCompressor(level=3).compress(ids.tobytes())) / len(ids)
 
 
 def test_damage_is_seen():
