@@ -20,7 +20,7 @@ DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 _SPACE = "\t-\r \x85\xa0  -     　"
 _PIECE = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 #: Pieces kept between texts (about 250 bytes each), and the longest piece that is kept.
-CACHED_PIECES = 600_000
+CACHED_PIECES = 450_000
 CACHED_LENGTH = 64
 
 
