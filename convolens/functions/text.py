@@ -5,13 +5,18 @@ from __future__ import annotations
 import ast
 import re
 
-from pyspark.sql import Column
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
+#: fixed value: the characters that split words, Unicode white space and the four separators before it
+_WHITE = r"[\x09-\x0d\x1c-\x20\x85\p{Z}]+"
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased tokens between runs of white space."""
-    return F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
+    return F.filter(F.split(F.lower(text), _WHITE), lambda x: x != "")
 
 
 def said(message: Column, information: Column) -> Column:
@@ -20,8 +25,8 @@ def said(message: Column, information: Column) -> Column:
 
 
 def call_format(name: Column, arguments: Column) -> Column:
-    """``name(k=v, ...)`` of a name and a map of texts, keys sorted."""
-    parts = F.transform(F.array_sort(F.map_entries(arguments)), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("None"))))
+    """``name(k=v, ...)`` of a name and a map of texts, in the order of the arguments."""
+    parts = F.transform(F.map_entries(arguments), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("None"))))
     return F.concat(name, F.lit("("), F.array_join(parts, ", "), F.lit(")"))
 
 
@@ -41,11 +46,12 @@ def deterministic_id(prefix: str, *seeds: Column) -> Column:
 
 
 def valid_pattern(pattern: str) -> str:
-    """A regular expression, or the quoted text where it is not one."""
+    """A regular expression of the engine that will run it, or the quoted text where it is not one."""
+    jvm = SparkSession.active()._jvm
     try:
-        re.compile(pattern)
+        jvm.java.util.regex.Pattern.compile(pattern)
         return pattern
-    except re.error:
+    except IllegalArgumentException:
         return re.escape(pattern)
 
 
@@ -69,3 +75,45 @@ def fenced_json(text: Column) -> Column:
     """The JSON text inside a fenced block, or the whole text without a fence."""
     inner = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
     return F.when(inner != "", F.trim(inner)).otherwise(F.trim(text))
+
+
+def same_name(left: Column, right: Column) -> Column:
+    """Whether two names or addresses are equal in any case."""
+    return F.lower(left) == F.lower(right)
+
+
+def safe_filename(name: Column, longest: int = 255) -> Column:
+    """A name with everything but letters, digits, ``.``, ``_`` and ``-`` replaced by ``_``, cut to ``longest``."""
+    return F.substring(F.regexp_replace(name, r"[^A-Za-z0-9._-]", "_"), 1, longest)
+
+
+def task_intent(task_id: Column) -> Column:
+    """The intent in brackets at the start of a task id such as ``[mobile_data_issue]a|b[PERSONA:None]``."""
+    return F.nullif(F.regexp_extract(task_id, r"^\[([a-zA-Z_]+)\]", 1), F.lit(""))
+
+
+def task_persona(task_id: Column) -> Column:
+    """The persona after ``PERSONA:`` in a task id."""
+    return F.nullif(F.regexp_extract(task_id, r"\[PERSONA:([a-zA-Z0-9_]+)\]", 1), F.lit(""))
+
+
+def task_issues(task_id: Column) -> Column:
+    """How many issues, separated by bars, a task id lists."""
+    return F.size(F.split(task_id, r"\|"))
+
+
+def not_nan(number: Column) -> Column:
+    """The number, null where it is not a number."""
+    return F.when(~F.isnan(number), number)
+
+
+def same_output(left: Column, right: Column) -> Column:
+    """Whether two tool outputs are equal as JSON, or as texts where either is no JSON."""
+    one, two = F.try_parse_json(left), F.try_parse_json(right)
+    parsed = one.isNotNull() & two.isNotNull()
+    return F.when(parsed, F.to_json(one) == F.to_json(two)).otherwise(left == right)
+
+
+def arrival_date(date: Column, arrival: Column) -> Column:
+    """The day of arrival: the day after ``date`` where the arrival time ends in ``+1``."""
+    return F.when(F.endswith(arrival, F.lit("+1")), F.date_add(F.to_date(date), 1)).otherwise(F.to_date(date))

@@ -51,17 +51,21 @@ def overlaps(left: DataFrame, right: DataFrame, group: str, width: int) -> DataF
     """Pairs of rows (id, start, end) of one group whose half-open intervals overlap; a null end is open.
 
     Intervals are spread over the time cells of ``width`` that they touch, and a pair is formed in the
-    cell of its later start, so that a group with many intervals is split by time.
+    cell of its later start, so that a group with many intervals is split by time. An open interval is not
+    spread: it meets, by group, the intervals that end after its start, and those it overlaps are its result.
     """
-    top = 1 << 40
-    cells = lambda df, side: df.select(group, F.col("id").alias(f"{side}_id"), F.col("start").alias(f"{side}_start"), F.coalesce("end", F.lit(top)).alias(f"{side}_end"))
-    a, b = cells(left, "left"), cells(right, "right")
-    reach = F.col("_reach")
-    bound = left.select("start").unionByName(right.select("start")).agg(F.floor(F.max("start") / width).alias("_reach"))
-    spread = lambda df, side: df.crossJoin(F.broadcast(bound)).withColumn("_cell", F.explode(F.sequence(F.floor(F.col(f"{side}_start") / width), F.greatest(F.floor(F.col(f"{side}_start") / width), F.least(F.floor((F.col(f"{side}_end") - 1) / width), reach))))).drop("_reach")
-    pairs = spread(a, "left").join(spread(b, "right"), [group, "_cell"])
-    later = F.greatest("left_start", "right_start")
-    return pairs.where((F.col("left_start") < F.col("right_end")) & (F.col("right_start") < F.col("left_end")) & (F.floor(later / width) == F.col("_cell"))).select(group, "left_id", "right_id", later.alias("start"), F.least("left_end", "right_end").alias("end"))
+    side = lambda df, name: df.select(group, *[F.col(c).alias(f"{name}_{c}") for c in ("id", "start", "end")])
+    a, b = side(left, "left"), side(right, "right")
+    later, ends = F.greatest("left_start", "right_start"), F.least("left_end", "right_end")
+    last = lambda name: F.floor((F.col(f"{name}_end") - 1) / width)
+    first = lambda name: F.floor(F.col(f"{name}_start") / width)
+    spread = lambda df, name: df.where(f"{name}_end is not null").withColumn("_cell", F.explode(F.sequence(first(name), F.greatest(first(name), last(name)))))
+    meet = (F.col("left_start") < F.coalesce("right_end", F.lit(1 << 62))) & (F.col("right_start") < F.coalesce("left_end", F.lit(1 << 62)))
+    closed = spread(a, "left").join(spread(b, "right"), [group, "_cell"]).where(meet & (F.floor(later / width) == F.col("_cell"))).drop("_cell")
+    open_left = a.where("left_end is null").join(b, group).where(meet)
+    open_right = a.where("left_end is not null").join(b.where("right_end is null"), group).where(meet)
+    every = closed.unionByName(open_left).unionByName(open_right)
+    return every.select(group, "left_id", "right_id", later.alias("start"), F.coalesce(ends, F.lit(1 << 40)).alias("end"))
 
 
 def merged(rows: DataFrame, group: str, start: str, end: str, gap: int) -> DataFrame:

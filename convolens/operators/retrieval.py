@@ -1,7 +1,7 @@
 """Document retrieval: grep, BM25 and cosine scores, fusion by the greatest score, and top-k.
 
-Documents have ``doc_id`` and ``text``. Ties go to the smaller doc_id. BM25 keeps its postings as a
-table, so that queries join it by token instead of scanning texts.
+Documents have ``doc_id`` and ``text``. Ties go to the smaller doc_id. BM25 weighs all tokens
+once and makes postings of the asked ones.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,29 +28,34 @@ def grep(docs: DataFrame, pattern: str, ignore_case: bool = True) -> DataFrame:
 
 @dataclass
 class Bm25Index:
-    """Postings (token, doc_id, tf), document lengths and token weights of a corpus."""
+    """Token lists (doc_id, length, tokens), token weights and the mean length of a corpus.
 
-    postings: DataFrame
-    lengths: DataFrame
+    The weights, a row for each distinct token, are kept on the executors' disks. Postings are made of
+    the asked tokens only, in one pass over the token lists, so that no shuffle carries whole texts.
+    """
+
+    split: DataFrame
     weights: DataFrame
     mean_length: float
 
     @classmethod
     def build(cls, docs: DataFrame) -> Bm25Index:
-        split = docs.select("doc_id", tokens(F.col("text")).alias("tokens"))
-        lengths = split.select("doc_id", F.size("tokens").alias("length"))
-        postings = split.select("doc_id", F.explode("tokens").alias("token")).groupBy("token", "doc_id").agg(F.count("*").alias("tf"))
-        n, mean = lengths.agg(F.count("*"), F.avg("length")).first()
-        counts = postings.groupBy("token").agg(F.count("*").alias("df"))
-        raw = counts.select("token", (F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+        split = docs.select("doc_id", tokens(F.col("text")).alias("tokens")).select("doc_id", F.size("tokens").alias("length"), "tokens")
+        n, mean = split.agg(F.count("*"), F.avg("length")).first()
+        counts = split.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+        raw = counts.select("token", (F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf")).persist(StorageLevel.DISK_ONLY)
         floor = EPSILON * (raw.agg(F.avg("idf")).first()[0] or 0.0)
-        weights = raw.select("token", F.when(F.col("idf") < 0, floor).otherwise(F.col("idf")).alias("idf"))
-        return cls(postings, lengths, weights, mean or 0.0)
+        return cls(split, raw.select("token", F.when(F.col("idf") < 0, floor).otherwise(F.col("idf")).alias("idf")), mean or 0.0)
+
+    def postings(self, asked: DataFrame) -> DataFrame:
+        """(doc_id, length, token, tf) of the tokens in ``asked`` (token)."""
+        rows = self.split.select("doc_id", "length", F.explode("tokens").alias("token")).join(asked, "token", "left_semi")
+        return rows.groupBy("doc_id", "length", "token").agg(F.count("*").alias("tf"))
 
     def search(self, queries: DataFrame) -> DataFrame:
         """(query_id, doc_id, score) of documents that share a token with a query (query_id, query)."""
         asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-        found = asked.join(self.weights, "token").join(self.postings, "token").join(self.lengths, "doc_id")
+        found = self.postings(asked.select("token").distinct()).join(asked.join(self.weights, "token"), "token")
         norm = K1 * (1 - B + B * F.col("length") / self.mean_length)
         part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
         return found.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))

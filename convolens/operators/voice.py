@@ -16,14 +16,17 @@ from convolens.operators.intervals import first_silent_within, islands, next_at_
 
 @dataclass(frozen=True)
 class VoiceConfig:
-    """Length of a tick and the windows, in seconds."""
+    """Length of a tick and the windows, in seconds; a window has the whole ticks that fit in it."""
 
     tick_seconds: float = 0.2
     yield_seconds: float = 2.0
     no_yield_seconds: float = 2.0
+    backchannel_seconds: float = 1.0
+    vocal_tic_seconds: float = 1.0
+    non_directed_seconds: float = 1.0
 
     def ticks(self, seconds: float) -> int:
-        return round(seconds / self.tick_seconds)
+        return int(seconds / self.tick_seconds + 1e-9)
 
 
 def drop_final_tick(ticks: DataFrame, group: str = "simulation_id") -> DataFrame:
@@ -46,9 +49,12 @@ def transitions(ticks: DataFrame, group: str = "simulation_id", config: VoiceCon
     """User segments that end in agent silence, as response (with latency) or no_response.
 
     The next agent start decides against the next user start; a tie is a response. A segment that
-    neither follows is dropped.
+    neither follows is dropped, and so is one that is a backchannel, if ``ticks`` has a column ``backchannel``.
     """
     user, agent = segments(ticks, "user", group), segments(ticks, "agent", group)
+    if "backchannel" in ticks.columns:
+        aside = ticks.where("backchannel").select(group, F.col("tick").alias("start_tick"))
+        user = user.join(aside, [group, "start_tick"], "left_anti")
     turns = user.where(~F.col("other_speaks_at_end"))
     order = Window.partitionBy(group).orderBy("start_tick")
     turns = turns.withColumn("next_user", F.lead("start_tick").over(order))

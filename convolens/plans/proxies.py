@@ -472,7 +472,7 @@ def spread_by_segment(spark, sf_dir):
 
 @query("SELECT user_id, event_id, concat('act(k=', json_extract_string(props, '$.k'), ', type=', event_type, ')') AS call, concat('call_', substring(sha256(concat(user_id, '_', event_id)), 1, 16)) AS call_id FROM events")
 def functional_calls(spark, sf_dir):
-    arguments = F.create_map(F.lit("type"), F.col("event_type"), F.lit("k"), F.get_json_object("props", "$.k"))
+    arguments = F.create_map(F.lit("k"), F.get_json_object("props", "$.k"), F.lit("type"), F.col("event_type"))
     return _t(spark, sf_dir, "events").select("user_id", "event_id", text.call_format(F.lit("act"), arguments).alias("call"), text.deterministic_id("call_", F.col("user_id").cast("string"), F.col("event_id").cast("string")).alias("call_id"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convolens.sources import schemas
@@ -62,21 +62,46 @@ def build_index(simulations: DataFrame) -> DataFrame:
     return simulations.select("id", "task_id", "trial", F.col("reward_info.reward").alias("reward"), "termination_reason", "agent_cost", "duration")
 
 
+def task_counts(tasks: DataFrame) -> DataFrame:
+    """Per task its numbers of actions by requestor, of assertions and of information to be said.
+
+    An action without a requestor is the agent's. A task whose one action is a transfer has -1 actions.
+    """
+    actions = F.coalesce("evaluation_criteria.actions", F.array().cast(tasks.schema["evaluation_criteria"].dataType["actions"].dataType))
+    by = lambda who: F.size(F.filter(actions, lambda x: F.coalesce(x["requestor"], F.lit("assistant")) == who))
+    size = lambda c: F.when(F.col(f"evaluation_criteria.{c}").isNull(), 0).otherwise(F.size(f"evaluation_criteria.{c}"))
+    transfer = (F.size(actions) == 1) & F.contains(F.lower(F.get(actions, F.lit(0))["name"]), F.lit("transfer"))
+    return tasks.select(
+        F.col("id").alias("task_id"),
+        by("assistant").alias("num_agent_actions"),
+        by("user").alias("num_user_actions"),
+        F.when(transfer, -1).otherwise(by("assistant") + by("user")).alias("num_actions"),
+        size("env_assertions").alias("num_env_assertions"),
+        size("nl_assertions").alias("num_nl_assertions"),
+        size("communicate_info").alias("num_communicate"),
+    )
+
+
+def info_columns(info: DataFrame) -> DataFrame:
+    """One row of the run's settings, named as in a flat table of simulations."""
+    plain = [F.col(c).alias(f"info_{c}") for c in ("git_commit", "seed", "num_trials", "max_steps", "max_errors")]
+    sides = [F.col(f"{side}_info.{c}").alias(f"info_{side}_{c}") for side in ("user", "agent") for c in ("implementation", "llm", "llm_args")]
+    return info.select(*plain, F.col("environment_info.domain_name").alias("info_domain"), *sides)
+
+
 def flatten(run: Run, strict: bool = True) -> DataFrame:
-    """One row per simulation with its reward, costs and task counts.
+    """One row per simulation with its reward, costs, task counts and the run's settings.
 
     With ``strict`` a simulation whose task is missing raises; else its task columns are null. A task
     without criteria counts 0 actions.
     """
-    actions = F.coalesce(F.size("evaluation_criteria.actions"), F.lit(0))
-    size = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c))
-    tasks = run.tasks.select(F.col("id").alias("task_id"), F.greatest(actions, F.lit(0)).alias("num_actions"), size("evaluation_criteria.communicate_info").alias("num_communicate"), F.lit(True).alias("_known"))
-    rows = run.simulations.join(tasks, "task_id", "left")
+    rows = run.simulations.join(task_counts(run.tasks).withColumn("_known", F.lit(True)), "task_id", "left")
     if strict and (bad := rows.where("_known is null").select("task_id").first()):
         raise KeyError(bad["task_id"])
-    return rows.select(
-        F.col("id").alias("simulation_id"), "task_id", "trial", "seed", "duration", "termination_reason", "agent_cost", "user_cost", F.col("reward_info.reward").alias("reward"), "reward_info", "num_actions", "num_communicate", F.size(F.coalesce("messages", F.array().cast(run.simulations.schema["messages"].dataType))).alias("num_messages")
-    )
+    said = F.size(F.coalesce("messages", F.array().cast(run.simulations.schema["messages"].dataType))).alias("num_messages")
+    counts = [c for c in rows.columns if c.startswith("num_")]
+    flat = rows.select(F.col("id").alias("simulation_id"), "task_id", "trial", "seed", "duration", "termination_reason", "agent_cost", "user_cost", F.col("reward_info.reward").alias("reward"), "reward_info", *counts, said)
+    return flat.crossJoin(F.broadcast(info_columns(run.info).limit(1)))  # one row of settings
 
 
 def messages(simulations: DataFrame) -> DataFrame:
@@ -97,14 +122,70 @@ def ticks(simulations: DataFrame) -> DataFrame:
     return rows.select("simulation_id", F.col("t.tick_id").alias("tick"), speech("user"), speech("agent"))
 
 
+def _document(run: Run, index: DataFrame, simulations: DataFrame | None) -> DataFrame:
+    """A run file as one row. Without simulations it has metadata alone; with them it is one document by its format."""
+    lists = {"tasks": run.tasks, "simulation_index": index} | ({} if simulations is None else {"simulations": simulations})
+    out = run.info.select("timestamp", F.struct(*[F.col(c) for c in run.info.columns if c != "timestamp"]).alias("info")).limit(1)
+    for name, rows in lists.items():
+        out = out.crossJoin(rows.agg(F.collect_list(F.struct("*")).alias(name)))  # one row each
+    return out
+
+
 def write_run(run: Run, path: str, layout: str = "json") -> None:
-    """Write a run as JSON lines: metadata, and simulations partitioned over files."""
-    top = run.info.select(F.struct("*").alias("info"))
-    top.write.mode("overwrite").json(f"{path}/info")
-    run.tasks.write.mode("overwrite").json(f"{path}/tasks")
-    build_index(run.simulations).write.mode("overwrite").json(f"{path}/simulation_index")
-    rows = run.simulations
-    (rows.repartition("id") if layout == "dir" else rows).write.mode("overwrite").json(f"{path}/simulations")
+    """Write a run as ``read_run`` reads it, in either layout; ``path`` becomes a folder of Spark's files.
+
+    In the layout ``dir`` each simulation is a file of its own, written in parallel, beside results.json.
+    """
+    index = build_index(run.simulations)
+    if layout == "json":
+        _document(run, index, run.simulations).coalesce(1).write.mode("errorifexists").json(path)
+        return
+    root = path.rstrip("/")
+    run.simulations.write.mode("errorifexists").option("maxRecordsPerFile", 1).json(f"{root}/simulations")
+    _document(run, index, None).coalesce(1).write.mode("errorifexists").json(f"{root}/results.json")
+
+
+def write_metadata(run: Run, path: str) -> None:
+    """Replace the info and the tasks of a run of layout ``dir``; the index on disk stays as it is."""
+    spark, root = run.tasks.sparkSession, path.rstrip("/")
+    stored = _json(spark, f"{root}/results.json", schemas.run_schema()).select(F.explode("simulation_index").alias("i")).select("i.*")
+    fresh, old = f"{root}/results.json.new", f"{root}/results.json"
+    _document(run, stored, None).coalesce(1).write.mode("overwrite").json(fresh)
+    jvm = spark._jvm.org.apache.hadoop.fs.Path
+    files = jvm(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(jvm(old), True)
+    files.rename(jvm(fresh), jvm(old))
+
+
+def convert_run(spark: SparkSession, source: str, target: str, layout: str) -> None:
+    """Write a run again in the other layout; the source stays as a backup."""
+    write_run(read_run(spark, source, "dir" if layout == "json" else "json"), target, layout)
+
+
+def task_set(spark: SparkSession, path: str, split: str | None = None, splits: str | None = None) -> DataFrame:
+    """The tasks of a JSON file; of one named split of the file ``splits`` (name to list of task ids), in its order."""
+    tasks = _json(spark, path, schemas.struct(schemas.TASK))
+    if split is None:
+        return tasks
+    named = _json(spark, splits, "`" + split + "` ARRAY<STRING>").select(F.posexplode(F.col(f"`{split}`")).alias("_at", "id"))
+    return tasks.join(named, "id").orderBy("_at").drop("_at").select(*tasks.columns)
+
+
+def file_list(spark: SparkSession, paths: list[str], suffix: str = "") -> DataFrame:
+    """(path): the files below the given files, folders and globs, once each, that end in ``suffix``."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select("path")
+    return rows.where(F.endswith("path", F.lit(suffix))).distinct()
+
+
+def log_lines(spark: SparkSession, path: str, pattern: str, names: list[str]) -> DataFrame:
+    """One row per line of log files that matches ``pattern``, its groups as columns, and the file."""
+    lines = spark.read.text(path).withColumn("file", F.col("_metadata.file_path")).where(F.col("value").rlike(pattern))
+    return lines.select("file", *[F.regexp_extract("value", pattern, k + 1).alias(name) for k, name in enumerate(names)])
+
+
+def named_parameters(path: Column, names: list[str]) -> list[Column]:
+    """``key=value`` or ``key-value`` parts of a file name as columns; null where a key is not there."""
+    return [F.nullif(F.regexp_extract(path, rf"(?:^|[/_]){name}[=-]([^_/]+?)(?:\.[a-z]+)?(?:[_/]|$)", 1), F.lit("")).alias(name) for name in names]
 
 
 def knowledge_base(spark: SparkSession, folder: str) -> DataFrame:

@@ -11,17 +11,17 @@ TICK = f"STRUCT<tick_id: INT, timestamp: STRING, agent_chunk: {CHUNK}, user_chun
 ACTION = "STRUCT<action_id: STRING, requestor: STRING, name: STRING, arguments: MAP<STRING, STRING>, compare_args: ARRAY<STRING>>"
 REWARD = (
     "STRUCT<reward: DOUBLE, reward_basis: ARRAY<STRING>, reward_breakdown: MAP<STRING, DOUBLE>, db_check: STRUCT<db_match: BOOLEAN, db_reward: DOUBLE>,"
-    " action_checks: ARRAY<STRUCT<action: STRUCT<name: STRING, requestor: STRING>, action_match: BOOLEAN, action_reward: DOUBLE, tool_type: STRING>>,"
+    " action_checks: ARRAY<STRUCT<action: STRUCT<name: STRING, requestor: STRING, arguments: MAP<STRING, STRING>>, action_match: BOOLEAN, action_reward: DOUBLE, tool_type: STRING>>,"
     " env_assertions: ARRAY<STRUCT<met: BOOLEAN, reward: DOUBLE>>, communicate_checks: ARRAY<STRUCT<info: STRING, met: BOOLEAN>>, nl_assertions: ARRAY<STRUCT<nl_assertion: STRING, met: BOOLEAN>>>"
 )
 ERROR = "STRUCT<source: STRING, severity: STRING, error_tags: ARRAY<STRING>, turn_idx: INT, tick_start: INT, tick_end: INT>"
 SIMULATION = (
     f"STRUCT<id: STRING, task_id: STRING, trial: INT, seed: INT, mode: STRING, start_time: STRING, end_time: STRING, duration: DOUBLE, termination_reason: STRING,"
-    f" agent_cost: DOUBLE, user_cost: DOUBLE, messages: ARRAY<{MESSAGE}>, ticks: ARRAY<{TICK}>, reward_info: {REWARD}, auth_classification: STRUCT<status: STRING>, review: STRUCT<errors: ARRAY<{ERROR}>>>"
+    f" agent_cost: DOUBLE, user_cost: DOUBLE, messages: ARRAY<{MESSAGE}>, ticks: ARRAY<{TICK}>, reward_info: {REWARD}, auth_classification: STRUCT<status: STRING>, info: STRUCT<had_unresponsive_period: BOOLEAN>, review: STRUCT<errors: ARRAY<{ERROR}>>>"
 )
-TASK = f"STRUCT<id: STRING, evaluation_criteria: STRUCT<actions: ARRAY<{ACTION}>, communicate_info: ARRAY<STRING>, nl_assertions: ARRAY<STRING>, reward_basis: ARRAY<STRING>>, required_documents: ARRAY<STRING>>"
+TASK = f"STRUCT<id: STRING, evaluation_criteria: STRUCT<actions: ARRAY<{ACTION}>, env_assertions: ARRAY<STRUCT<env_type: STRING, func_name: STRING, assert_value: BOOLEAN>>, communicate_info: ARRAY<STRING>, nl_assertions: ARRAY<STRING>, reward_basis: ARRAY<STRING>>, required_documents: ARRAY<STRING>>"
 INDEX = "STRUCT<id: STRING, task_id: STRING, trial: INT, reward: DOUBLE, termination_reason: STRING, agent_cost: DOUBLE, duration: DOUBLE>"
-INFO = "STRUCT<git_commit: STRING, num_trials: INT, max_steps: INT, seed: INT, agent_info: STRUCT<implementation: STRING, llm: STRING>, user_info: STRUCT<implementation: STRING, llm: STRING>, environment_info: STRUCT<domain_name: STRING>>"
+INFO = "STRUCT<git_commit: STRING, num_trials: INT, max_steps: INT, max_errors: INT, seed: INT, agent_info: STRUCT<implementation: STRING, llm: STRING, llm_args: MAP<STRING, STRING>>, user_info: STRUCT<implementation: STRING, llm: STRING, llm_args: MAP<STRING, STRING>>, environment_info: STRUCT<domain_name: STRING>>"
 
 
 def struct(ddl: str) -> StructType:

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from convolens.operators import dml, intervals, leaderboard, linearize, metrics, replay, retrieval, rewards, usage, voice, work
+from convolens.operators import dml, intervals, leaderboard, linearize, metrics, replay, retrieval, rewards, run_reports, usage, voice, work
 from convolens.sources import runs, schemas
 from convolens.streaming import events
 
@@ -194,3 +194,56 @@ def test_stream_equals_batch(spark, tmp_path):
     job.awaitTermination(120)
     batch = events.tumbling_counts(spark.read.parquet(str(tmp_path / "in")))
     assert rows(spark.table("counts"), "start") == rows(batch, "start")
+
+
+def test_written_runs_are_read_again(spark, tmp_path):
+    (tmp_path / "run.json").write_text(json.dumps(run_file([SIM, SIM | {"id": "s2"}])))
+    run = runs.read_run(spark, str(tmp_path / "run.json"))
+    runs.write_run(run, str(tmp_path / "again"), "json")
+    runs.convert_run(spark, str(tmp_path / "again"), str(tmp_path / "folder"), "dir")
+    for path, layout in (("again", "json"), ("folder", "dir")):
+        got = runs.read_run(spark, str(tmp_path / path), layout)
+        assert rows(got.simulations.select("id", "reward_info.reward", F.size("messages")), "id") == [("s1", 1.0, 1), ("s2", 1.0, 1)]
+        assert got.tasks.count() == 1 and got.index.count() == 2 and got.info.first()["num_trials"] == 2
+    changed = runs.read_run(spark, str(tmp_path / "folder"), "dir")
+    changed.info = changed.info.withColumn("num_trials", F.lit(7))
+    runs.write_metadata(changed, str(tmp_path / "folder"))
+    got = runs.read_run(spark, str(tmp_path / "folder"), "dir")
+    assert got.info.first()["num_trials"] == 7 and got.index.count() == 2 and got.simulations.count() == 2
+
+
+def test_transfer_only_tasks_and_settings(spark, tmp_path):
+    run = run_file([SIM])
+    run["tasks"] = [{"id": "t1", "evaluation_criteria": {"actions": [{"name": "Transfer_to_human_agents"}]}}]
+    (tmp_path / "run.json").write_text(json.dumps(run))
+    flat = runs.flatten(runs.read_run(spark, str(tmp_path / "run.json"))).first()
+    assert (flat["num_actions"], flat["num_agent_actions"], flat["info_domain"], flat["info_num_trials"]) == (-1, 1, "d", 2)
+
+
+def test_action_rows_merges_and_lists(spark, tmp_path):
+    check = {"action": {"name": "f", "requestor": "user", "arguments": {"b": "2", "a": "1"}}, "action_match": True}
+    (tmp_path / "run.json").write_text(json.dumps(run_file([SIM | {"reward_info": {"reward": 0.0, "action_checks": [check]}}, SIM | {"id": "s2", "reward_info": None}])))
+    run = runs.read_run(spark, str(tmp_path / "run.json"))
+    assert rows(run_reports.action_rows(run.simulations), "task_id") == [("t1", 0, "user", "f", "f(b=2, a=1)", True)]
+    assert "tool_calls" not in run_reports.without_message_fields(run.simulations, ["tool_calls"]).schema["messages"].dataType.elementType.names
+    df = spark.sql("select struct(1 as a, struct(2 as b, 3 as c) as d) as old, struct(cast(null as int) as a, struct(5 as b, cast(null as int) as c) as d) as new")
+    assert df.select(run_reports.merged_document(F.col("old"), F.col("new"), df.schema["old"].dataType).alias("m")).first()["m"].asDict(True) == {"a": 1, "d": {"b": 5, "c": 3}}
+    lists = spark.sql("select array('a', 'b', 'b') as x, array('b') as y, array('c') as z")
+    assert lists.select(run_reports.missing_ids(F.col("x"), F.col("y")), run_reports.disjoint(F.col("x"), F.col("z")), run_reports.covers_basis(F.col("y"), F.col("x"))).first()[:] == (["a"], True, True)
+
+
+def test_files_logs_and_names(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.log").write_text("12:01 WARN slow\n12:02 INFO fine\nnoise\n")
+    (tmp_path / "a" / "y.txt").write_text("z")
+    assert runs.file_list(spark, [str(tmp_path / "a"), str(tmp_path / "a" / "x.log")], ".log").count() == 1
+    assert [r[1:] for r in rows(runs.log_lines(spark, str(tmp_path / "a" / "x.log"), r"^(\S+) (WARN|INFO)", ["at", "level"]), "at")] == [("12:01", "WARN"), ("12:02", "INFO")]
+    df = spark.createDataFrame([("runs/model=gpt_trials=4.json",), ("runs/none.json",)], "p string")
+    assert df.select(*runs.named_parameters(F.col("p"), ["model", "trials"])).collect()[:] == [("gpt", "4"), (None, None)]
+
+
+def test_windows_are_whole_ticks_and_open_intervals_meet_later_ones(spark):
+    assert voice.VoiceConfig().ticks(0.35) == 1 and voice.VoiceConfig().ticks(0.6) == 3
+    left = spark.createDataFrame([(1, 1, 0, None), (1, 2, 5, 6)], "g int, id int, start long, end long")
+    right = spark.createDataFrame([(1, 7, 10**9, 10**9 + 5), (1, 8, 5, None)], "g int, id int, start long, end long")
+    assert rows(intervals.overlaps(left, right, "g", 10).select("left_id", "right_id"), "left_id", "right_id") == [(1, 7), (1, 8), (2, 8)]
