@@ -3,6 +3,7 @@
 import re
 
 from conftest import DATA
+from llm_cases import odd_rows, table, with_clashes
 from test_llm_near_dedup import expected as groups
 
 import __spark_entry__
@@ -33,3 +34,17 @@ def test_stages_one_by_one(spark):
     for r in pieces:
         fill[r["sequence_id"]] = fill.get(r["sequence_id"], 0) + r["length"]
     assert max(fill.values()) <= 2048 and len(fill) <= sum(fill.values()) / 2048 * 1.05 + 1
+
+
+def test_stages_take_nulls_ties_and_repeated_rows(spark):
+    """Odd rows with clashing columns go through every stage; an empty table comes out empty."""
+    labels = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    docs = with_clashes(labels.limit(60).unionByName(table(spark, odd_rows())))
+    for rows in (docs, docs.limit(0)):
+        kinds, at = rows.dtypes, rows
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            at = corpus_pipeline.materialize(stage(spark, at, DATA), "test-odd")
+            assert at.dtypes == kinds, name
+        left = at.count()
+        pieces = corpus_pipeline.STAGES[-1][1](spark, at, DATA)
+        assert pieces.where("piece = 0").count() == left and (left > 0) == (rows is docs)
