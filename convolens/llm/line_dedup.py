@@ -1,9 +1,9 @@
 """Line dedup: levelled sorted runs of line hashes, each new batch merge-anti-joined with them.
 
 Documents arrive in batches of ascending doc_id. A batch first hashes its lines (128 bits of the
-key), then looks the hashes up in the sorted runs that earlier batches left: a hash found there was
-first seen in an earlier document. What the runs do not hold is new, and becomes a run of its own on
-level 0. As soon as a level holds ``FANOUT`` runs, they are merged into one run on the next level, so
+key), then merges them with the sorted runs that earlier batches left: a hash found there was first
+seen in an earlier document. What the runs do not hold is new, and becomes a run of its own on
+level 0. Runs lie in sorted buckets, so that only the batch is shuffled and sorted. As soon as a level holds ``FANOUT`` runs, they are merged into one run on the next level, so
 that a batch meets a number of runs that is logarithmic in the number of batches.
 
 A line is dropped if its key was seen in a smaller doc_id, in an earlier batch or in its own. Only
@@ -18,6 +18,7 @@ Extra columns of any name are carried by ``dedup_lines``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
 from convolens.llm import tokens
-from convolens.llm.common import ASCII_SPACE, materialize, other_columns, parallelism, row_columns
+from convolens.llm.common import ASCII_SPACE, materialize, other_columns, parallelism, row_columns, scratch_path
 
 MIN_KEY = 10
 BATCHES = 4
@@ -57,22 +58,32 @@ def hash_lines(docs: DataFrame, min_key: int = MIN_KEY) -> DataFrame:
 
 
 class SortedRuns:
-    """Levels of runs; each run is a table (h, first_doc) in the shared folder, sorted by h."""
+    """Levels of runs; each run is a table (h, first_doc) in the shared folder, in buckets of h sorted by h.
+
+    A batch is shuffled and sorted once and then merged with one run after another, as they lie.
+    """
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT):
-        self.spark, self.fanout, self.levels = spark, fanout, [[]]
-
-    def seen(self) -> DataFrame | None:
-        """All runs as one table: a hash is in one run only."""
-        runs = [run for level in self.levels for run in level]
-        out = runs[0] if runs else None
-        for run in runs[1:]:
-            out = out.unionByName(run)
+        self.spark, self.fanout, self.buckets, self.levels = spark, fanout, parallelism(spark), [[]]
+
+    def runs(self) -> list[DataFrame]:
+        """All runs; a hash is in one of them only."""
+        return [run for level in self.levels for run in level]
+
+    def find(self, own: DataFrame) -> DataFrame:
+        """``own`` with ``seen``, the document of the run that holds h; null in the rows of the anti-join."""
+        out = own.withColumn("seen", F.lit(None).cast("long"))
+        for run in self.runs():
+            out = out.join(run.withColumnRenamed("first_doc", "_at").hint("merge"), "h", "left").withColumn("seen", F.coalesce("seen", "_at")).drop("_at")
         return out
 
-    def add(self, fresh: DataFrame) -> None:
-        """A new run on level 0, then compaction of every level that is full."""
-        self.levels[0].append(self._sorted(fresh, 0))
+    def add(self, own: DataFrame) -> DataFrame:
+        """Look up ``own`` (h, first_doc, ...); what no run holds is a new run on level 0, and full levels are merged.
+
+        Returns what ``find`` does, from the stored rows.
+        """
+        found = self._stored(self.find(own), 0)
+        self.levels[0].append(found.where("seen is null").select("h", "first_doc"))
         for k, level in enumerate(self.levels):
             if len(level) < self.fanout:
                 break
@@ -81,12 +92,24 @@ class SortedRuns:
                 merged = merged.unionByName(run)
             if k + 1 == len(self.levels):
                 self.levels.append([])
-            self.levels[k + 1].append(self._sorted(merged, k + 1))
+            self.levels[k + 1].append(self._stored(merged.repartition(self.buckets, "h"), k + 1))
             self.levels[k] = []
-
-    def _sorted(self, rows: DataFrame, level: int) -> DataFrame:
-        n = parallelism(self.spark)
-        return materialize(rows.select("h", "first_doc").repartition(n, "h").sortWithinPartitions("h"), f"lines-level{level}")
+        return found
+
+    def _stored(self, rows: DataFrame, level: int) -> DataFrame:
+        """``rows``, which are partitioned by h, as a table of sorted buckets; its files outlive its name."""
+        path = scratch_path(self.spark, f"lines-level{level}")
+        name = f"lines_{uuid.uuid4().hex}"
+        ordered = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+        before = self.spark.conf.get(ordered)
+        self.spark.conf.set(ordered, "true")  # a bucket is one file, so a scan of it is in order
+        try:
+            rows.write.bucketBy(self.buckets, "h").sortBy("h").option("path", path).saveAsTable(name)
+        finally:
+            self.spark.conf.set(ordered, before)
+        stored = self.spark.table(name)
+        self.spark.sql(f"DROP TABLE {name}")
+        return stored
 
 
 def batch_bounds(docs: DataFrame, batches: int) -> list[int]:
@@ -107,15 +130,10 @@ def dropped_lines(docs: DataFrame, min_key: int = MIN_KEY, batches: int = BATCHE
     runs, dropped = SortedRuns(spark, fanout), None
     for k in range(len(bounds) + 1):
         batch = lines.where(F.col("batch") == k).select("doc_id", "h")
-        own = batch.groupBy("h").agg(F.min("doc_id").alias("first_doc"))
-        seen = runs.seen()
-        fresh = own if seen is None else own.join(seen.hint("merge"), "h", "left_anti")
-        if k < len(bounds):
-            runs.add(fresh)
-            known = runs.seen()
-        else:
-            known = fresh if seen is None else seen.unionByName(fresh)
-        late = batch.join(known.hint("merge"), "h").where("doc_id > first_doc").select("doc_id", "h")
+        own = batch.groupBy("h").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"))
+        found = runs.add(own) if k < len(bounds) else runs.find(own)
+        repeated = found.where("seen is not null or n > 1").select("h", F.coalesce("seen", "first_doc").alias("first_doc"))
+        late = batch.join(repeated.hint("merge"), "h").where("doc_id > first_doc").select("doc_id", "h")
         dropped = late if dropped is None else dropped.unionByName(late)
     return dropped
 

@@ -5,6 +5,7 @@ import hashlib
 import pytest
 from conftest import DATA, compare
 from llm_cases import odd_rows, prose, table, with_clashes
+from pyspark.sql import functions as F
 
 from convolens.llm import line_dedup
 from convolens.llm.queries import ORACLE_SQL, QUERIES
@@ -57,12 +58,30 @@ def test_empty_table(spark):
     assert line_dedup.line_report(table(spark, [])).count() == 0
 
 
+def new_rows(spark, *keys):
+    return spark.createDataFrame([(bytes([k]), k) for k in keys], "h binary, first_doc long").repartition(4, "h")
+
+
 def test_runs_are_compacted(spark):
     runs = line_dedup.SortedRuns(spark, fanout=2)
     for k in range(4):
-        runs.add(spark.createDataFrame([(bytes([k]), k)], "h binary, first_doc long"))
+        assert [r["seen"] for r in runs.add(new_rows(spark, k)).collect()] == [None]
     assert [len(level) for level in runs.levels] == [0, 0, 1]
-    assert runs.seen().count() == 4
+    assert sorted(r["first_doc"] for run in runs.runs() for r in run.collect()) == [0, 1, 2, 3]
+    assert {r["first_doc"]: r["seen"] for r in runs.add(new_rows(spark, 2, 9)).collect()} == {2: 2, 9: None}
+
+
+def test_runs_are_merged_as_they_lie(spark):
+    runs = line_dedup.SortedRuns(spark, fanout=3)
+    for k in range(2):
+        runs.add(new_rows(spark, k))
+    spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+    own = new_rows(spark, 0, 1, 2).groupBy("h").agg(F.min("first_doc").alias("first_doc"))
+    plan = runs.find(own)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.legacy.bucketedTableScan.outputOrdering")
+    assert plan.count("SortMergeJoin") == 2
+    assert plan.count("Exchange") == 1  # the rows of the test itself
+    assert plan.count("Sort [") == 1
 
 
 def test_query_against_sql(spark, duck):
