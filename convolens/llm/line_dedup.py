@@ -6,8 +6,10 @@ seen in an earlier document. What the runs do not hold is new, and becomes a run
 level 0. Runs lie in sorted buckets, so that only the batch is shuffled and sorted. As soon as a level holds ``FANOUT`` runs, they are merged into one run on the next level, so
 that a batch meets a number of runs that is logarithmic in the number of batches.
 
-A line is dropped if its key was seen in a smaller doc_id, in an earlier batch or in its own. Only
-the dropped (doc_id, hash) pairs return to the documents, one list per document.
+A line is dropped if its key was seen in a smaller doc_id, in an earlier batch or in its own. Hashes
+with more rows in a batch than a bucket's share, of which there are fewer than buckets, are broadcast,
+so that a line that all documents hold does not meet in one task. Only the dropped (doc_id, hash)
+pairs return to the documents, one list per document.
 
 Key of a line: the line stripped of ``[\\x20\\x09-\\x0D]`` at both ends, A-Z lower-cased. Keys of fewer
 than ``MIN_KEY`` code points are never dropped. Defined cases: a null or empty text is one empty
@@ -127,15 +129,19 @@ def dropped_lines(docs: DataFrame, min_key: int = MIN_KEY, batches: int = BATCHE
     for bound in bounds:
         number = number + (F.col("doc_id") >= bound).cast("int")
     lines = materialize(hash_lines(docs, min_key).withColumn("batch", number), "line-hashes")
+    rows = {r["batch"]: r["count"] for r in lines.groupBy("batch").count().collect()}  # one row a batch
     runs, dropped = SortedRuns(spark, fanout), None
-    for k in range(len(bounds) + 1):
+    for k in sorted(rows):
         batch = lines.where(F.col("batch") == k).select("doc_id", "h")
         own = batch.groupBy("h").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"))
-        found = runs.add(own) if k < len(bounds) else runs.find(own)
-        repeated = found.where("seen is not null or n > 1").select("h", F.coalesce("seen", "first_doc").alias("first_doc"))
-        late = batch.join(repeated.hint("merge"), "h").where("doc_id > first_doc").select("doc_id", "h")
+        found = runs.add(own)
+        repeated = found.where("seen is not null or n > 1").select("h", F.coalesce("seen", "first_doc").alias("first_doc"), "n")
+        share = rows[k] / runs.buckets
+        common = repeated.where(F.col("n") > share).drop("n")  # fewer hashes than buckets, whatever the batch
+        rare = batch.join(F.broadcast(common), "h", "left_anti").join(repeated.where(F.col("n") <= share).drop("n").hint("merge"), "h")
+        late = batch.join(F.broadcast(common), "h").unionByName(rare).where("doc_id > first_doc").select("doc_id", "h")
         dropped = late if dropped is None else dropped.unionByName(late)
-    return dropped
+    return lines.select("doc_id", "h").limit(0) if dropped is None else dropped
 
 
 def cut_lines(docs: DataFrame, min_key: int = MIN_KEY, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:

@@ -58,6 +58,13 @@ def test_empty_table(spark):
     assert line_dedup.line_report(table(spark, [])).count() == 0
 
 
+def test_a_line_that_all_documents_hold(spark):
+    rows = [(k, f"a line that all hold\n{prose(k % 11, 5)}\na line that all hold") for k in range(50)]
+    wanted = [(d, n, g, hashlib.sha256(t.encode()).hexdigest()) for d, n, g, t in expected(rows)]
+    got = line_dedup.line_report(table(spark, rows), batches=3)
+    assert ordered(tuple(r) for r in got.collect()) == ordered(wanted)
+
+
 def new_rows(spark, *keys):
     return spark.createDataFrame([(bytes([k]), k) for k in keys], "h binary, first_doc long").repartition(4, "h")
 
