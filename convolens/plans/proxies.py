@@ -482,7 +482,34 @@ def linearize_simple(spark, sf_dir):
     return linearize.simple(ticks(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {TICKS}, e AS (SELECT simulation_id, tick, 1 AS priority, 'agent' AS speaker, event_id FROM ticks WHERE agent_speaks UNION ALL SELECT simulation_id, tick, 0, 'user', event_id FROM ticks WHERE user_speaks)
+SELECT simulation_id, row_number() OVER (PARTITION BY simulation_id ORDER BY tick, priority) - 1 AS position, tick, speaker, event_id FROM e""")
+def linearize_other_first(spark, sf_dir):
+    return linearize.simple(ticks(spark, sf_dir), own_first=False)
+
+
+@query(f"""WITH {TICKS}, b AS (SELECT *, max(CASE WHEN agent_speaks THEN tick END) OVER (PARTITION BY simulation_id ORDER BY tick) AS last,
+  max(CASE WHEN agent_speaks THEN tick END) OVER (PARTITION BY simulation_id ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM ticks),
+r AS (SELECT *, sum(CASE WHEN agent_speaks AND coalesce(tick - prior > 2, true) THEN 1 ELSE 0 END) OVER (PARTITION BY simulation_id ORDER BY tick) AS run FROM b),
+o AS (SELECT simulation_id, run, min(tick) AS begin FROM r WHERE agent_speaks AND user_speaks GROUP BY ALL),
+k AS (SELECT r.*, CASE WHEN tick >= begin AND tick - last < 2 THEN begin ELSE tick END AS put_at FROM r LEFT JOIN o USING (simulation_id, run)),
+e AS (SELECT simulation_id, tick, put_at, 1 AS priority, 'agent' AS speaker FROM k WHERE agent_speaks UNION ALL SELECT simulation_id, tick, put_at, 0, 'user' FROM k WHERE user_speaks)
+SELECT simulation_id, row_number() OVER (PARTITION BY simulation_id ORDER BY put_at, priority, tick) - 1 AS position, tick, speaker FROM e""")
+def linearize_overlap(spark, sf_dir):
+    return linearize.gathered(ticks(spark, sf_dir), patience=2)
+
+
+@query(f"""WITH {TICKS}, said AS (SELECT simulation_id, tick, 'agent' AS speaker FROM ticks WHERE agent_speaks UNION ALL SELECT simulation_id, tick, 'user' FROM ticks WHERE user_speaks),
+g AS (SELECT *, tick - row_number() OVER (PARTITION BY simulation_id, speaker ORDER BY tick) AS run FROM said),
+seg AS (SELECT simulation_id, speaker, run, min(tick) AS s, max(tick) AS e FROM g GROUP BY ALL),
+held AS (SELECT o.simulation_id, o.speaker, o.run, i.speaker AS inner_speaker, i.run AS inner_run, i.e FROM seg o JOIN seg i ON o.simulation_id = i.simulation_id AND o.speaker <> i.speaker AND i.s >= o.s AND i.e <= o.e
+  WHERE i.speaker = 'agent' OR i.s > o.s OR i.e < o.e),
+t AS (SELECT g.simulation_id, g.speaker, g.run, g.tick, min(h.e) FILTER (WHERE h.e >= g.tick) AS cut, max(h.e) AS last FROM g LEFT JOIN held h USING (simulation_id, speaker, run) GROUP BY ALL),
+k AS (SELECT t.*, CASE WHEN h.e IS NOT NULL THEN h.e WHEN cut IS NOT NULL THEN cut WHEN last IS NOT NULL THEN last + 1 ELSE seg.s END AS put_at,
+    CASE WHEN t.speaker = 'agent' THEN 1 WHEN h.e IS NOT NULL OR (cut IS NULL AND last IS NOT NULL) THEN 3 ELSE 0 END AS priority
+  FROM t JOIN seg USING (simulation_id, speaker, run) LEFT JOIN held h ON h.simulation_id = t.simulation_id AND h.inner_speaker = t.speaker AND h.inner_run = t.run),
+p AS (SELECT simulation_id, speaker, put_at, priority, min(tick) AS start_tick, max(tick) + 1 AS end_tick FROM k GROUP BY ALL)
+SELECT simulation_id, row_number() OVER (PARTITION BY simulation_id ORDER BY put_at, priority) - 1 AS position, speaker, start_tick, end_tick FROM p""")
 def linearize_containment(spark, sf_dir):
     return linearize.containment(ticks(spark, sf_dir))
 

@@ -77,9 +77,94 @@ def test_overlap_with_open_ends(spark):
     assert rows(intervals.overlaps(left, right, "g", 4).select("left_id", "right_id", "start"), "left_id", "right_id") == [(1, 7, 9), (2, 9, 60)]
 
 
-def test_containment_splits_the_outer_segment():
-    assert linearize.split_contained([("agent", 0, 10), ("user", 3, 5)]) == [("agent", 0, 5), ("user", 3, 5), ("agent", 5, 10)]
-    assert linearize.split_contained([("agent", 0, 3), ("user", 2, 6)]) == [("agent", 0, 3), ("user", 2, 6)]
+def random_ticks(spark, n=40, length=60):
+    import random
+
+    draw = random.Random(7)
+    flags = [[(draw.random() < 0.6, draw.random() < 0.5) for _ in range(length)] for _ in range(n)]
+    df = spark.createDataFrame([(k, t, a, u) for k, ticks in enumerate(flags) for t, (a, u) in enumerate(ticks)], "simulation_id long, tick long, agent_speaks boolean, user_speaks boolean")
+    return flags, df
+
+
+def runs_of(said, patience):
+    out = []
+    for t in said:
+        if out and t - out[-1][-1] <= patience:
+            out[-1].append(t)
+        else:
+            out.append([t])
+    return out
+
+
+def contained_order(flags, patience):
+    """The pieces of one simulation, segment by segment."""
+    own, other = (runs_of([t for t, f in enumerate(flags) if f[side]], patience) for side in (0, 1))
+
+    def split(outer, inner, before, put, rest):
+        done, out = outer[0] - 1, []
+        for part in sorted(inner, key=lambda p: p[-1]):
+            out.append((part[-1], before, [t for t in outer if done < t <= part[-1]]))
+            out.append((part[-1], put, part))
+            done = part[-1]
+        return out + [(done + 1, rest, [t for t in outer if t > done])]
+
+    lies = lambda i, o: o[0] <= i[0] and i[-1] <= o[-1]
+    pieces, used = [], []
+    for o in other:
+        if inner := [i for i in own if lies(i, o)]:
+            pieces += [(at, p, ts, "user" if p != 1 else "agent") for at, p, ts in split(o, inner, 0, 1, 3)]
+            used += [("u", o[0])] + [("a", i[0]) for i in inner]
+    for o in own:
+        inner = [i for i in other if lies(i, o) and (i[0], i[-1]) != (o[0], o[-1])]
+        if inner and ("a", o[0]) not in used:
+            pieces += [(at, p, ts, "user" if p == 3 else "agent") for at, p, ts in split(o, inner, 1, 3, 1)]
+            used += [("a", o[0])] + [("u", i[0]) for i in inner]
+    pieces += [(o[0], 1, o, "agent") for o in own if ("a", o[0]) not in used] + [(o[0], 0, o, "user") for o in other if ("u", o[0]) not in used]
+    return [(who, ts[0], ts[-1] + 1) for _, _, ts, who in sorted((p for p in pieces if p[2]), key=lambda p: p[:2])]
+
+
+@pytest.mark.parametrize("patience", [1, 3])
+def test_containment_against_segment_by_segment(spark, patience):
+    flags, df = random_ticks(spark)
+    got = {}
+    for r in linearize.containment(df, patience=patience).orderBy("simulation_id", "position").collect():
+        got.setdefault(r["simulation_id"], []).append((r["speaker"], r["start_tick"], r["end_tick"]))
+    assert got == {k: contained_order(f, patience) for k, f in enumerate(flags)}
+
+
+def test_containment_with_silences_and_calls(spark):
+    calls = spark.createDataFrame([(1, 3)], "simulation_id long, tick long")
+    got = linearize.containment(tick_rows(spark, ("a", 2), ("s", 4), ("u", 2)), silent=3, calls=calls).orderBy("position").collect()
+    assert [(r["speaker"], r["start_tick"], r["end_tick"]) for r in got] == [("agent", 0, 2), ("system", 2, 6), ("tool", 3, 4), ("user", 6, 8)]
+
+
+def gathered_order(flags, patience):
+    """The utterances of one simulation, tick after tick."""
+    out, t = [], 0
+    while t < len(flags):
+        if all(flags[t]):
+            heard, said, quiet = [], [], 0
+            while t < len(flags):
+                quiet = 0 if flags[t][0] else quiet + 1
+                if quiet >= patience:
+                    break
+                heard += [(t, "user")] * flags[t][1]
+                said += [(t, "agent")] * flags[t][0]
+                t += 1
+            out += heard + said
+        else:
+            out += [(t, "user")] * flags[t][1] + [(t, "agent")] * flags[t][0]
+            t += 1
+    return out
+
+
+@pytest.mark.parametrize("patience", [1, 3])
+def test_overlaps_are_gathered(spark, patience):
+    flags, df = random_ticks(spark)
+    got = {}
+    for r in linearize.gathered(df, patience=patience).orderBy("simulation_id", "position").collect():
+        got.setdefault(r["simulation_id"], []).append((r["tick"], r["speaker"]))
+    assert got == {k: gathered_order(f, patience) for k, f in enumerate(flags)}
 
 
 def test_bm25_fills_with_zero_and_breaks_ties_by_id(spark):
