@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -54,22 +55,27 @@ def item_transcripts(events: DataFrame, keys: list[str], start: Column, stop: Co
 def utterance_groups(chunks: DataFrame, group: str = "simulation_id") -> DataFrame:
     """(group, pos, part): consecutive chunks whose ids overlap those gathered so far are one part.
 
-    Sequential by nature: one simulation at a time, which is bounded by its length.
+    Sequential by nature: a simulation's rows stream through a task in order, and only the ids gathered
+    for the current part are held.
     """
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("pos")
-        gathered, part, parts = set(), 0, []
-        for ids in frame["ids"]:
-            own = set(ids) if ids is not None else set()
-            if gathered and not gathered & own:
-                part, gathered = part + 1, set()
-            gathered |= own
-            parts.append(part)
-        return pd.DataFrame({group: frame[group], "pos": frame["pos"], "part": parts})
-
     kinds = dict(chunks.dtypes)
-    return chunks.select(group, "pos", "ids").groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, pos {kinds['pos']}, part long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, gathered, part = object(), set(), 0
+        for batch in batches:
+            parts = []
+            for key, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                own = set(ids or ())
+                if key != now:
+                    now, gathered, part = key, set(), 0
+                elif gathered and not gathered & own:
+                    part, gathered = part + 1, set()
+                gathered |= own
+                parts.append(part)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.int64())], names=[group, "pos", "part"])
+
+    ordered = chunks.select(group, "pos", "ids").repartition(group).sortWithinPartitions(group, "pos")
+    return ordered.mapInArrow(run, f"{group} {kinds[group]}, pos {kinds['pos']}, part long")
 
 
 def cut_lengths(length: int, weights: list[int]) -> list[int]:

@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Most items of a selection set that is broadcast.
+MAX_SET = 100_000
+
+
 def work_units(tasks: DataFrame, trials: int, seed: int, done: DataFrame) -> DataFrame:
     """(task_id, trial, seed) that ``done`` lacks; each trial's seed is derived from the run's."""
     units = tasks.select("task_id", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial")).withColumn("seed", F.lit(seed) + F.col("trial"))
@@ -17,8 +21,12 @@ def work_units(tasks: DataFrame, trials: int, seed: int, done: DataFrame) -> Dat
 def composed(sets: list[DataFrame]) -> DataFrame:
     """All choices of one or no item from each small selection set (column ``item``), with their size.
 
-    The product is what a task generator asks for; its size is that of the sets' sizes plus one.
+    The product is what a task generator asks for; its size is that of the sets' sizes plus one. Sets are
+    broadcast one by one; one of more than ``MAX_SET`` items is an error.
     """
+    for s in sets[1:]:
+        if s.limit(MAX_SET + 1).count() > MAX_SET:
+            raise ValueError(f"a selection set has more than {MAX_SET} items")
     parts = [s.select(F.array("item").alias(f"_c{k}")).unionByName(s.sparkSession.createDataFrame([([],)], f"_c{k} array<string>")) for k, s in enumerate(sets)]
     product = functools.reduce(lambda a, b: a.crossJoin(F.broadcast(b)), parts)
     items = F.flatten(F.array(*[f"_c{k}" for k in range(len(parts))]))

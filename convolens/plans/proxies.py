@@ -521,6 +521,14 @@ def state_replay(spark, sf_dir):
     return replay.replay_sets(calls)
 
 
+@query(f"""WITH {TICKS}, c AS (SELECT simulation_id, event_type AS key, value, tick FROM ticks WHERE event_type <> 'view'),
+e AS (SELECT simulation_id, key, arg_max(value, tick) AS value FROM c GROUP BY ALL), f AS (SELECT simulation_id, key, arg_max(value, tick) AS value FROM c WHERE tick % 7 <> 3 GROUP BY ALL)
+SELECT e.simulation_id, bool_and(f.key IS NOT NULL AND e.value IS NOT DISTINCT FROM f.value) AS db_match FROM e LEFT JOIN f ON e.simulation_id = f.simulation_id AND e.key = f.key GROUP BY 1""")
+def state_match(spark, sf_dir):
+    calls = ticks(spark, sf_dir).select("simulation_id", F.col("tick").alias("pos"), F.when(F.col("event_type") == "view", "look").otherwise("set").alias("name"), F.col("event_type").alias("key"), "value")
+    return replay.same_state(replay.replay_sets(calls), replay.replay_sets(calls.where("pos % 7 <> 3")))
+
+
 # --- streaming definitions, as batches ---------------------------------------------------------
 
 

@@ -23,8 +23,8 @@ def test_calculator_column(spark):
 
 
 def test_utterance_groups(spark):
-    df = spark.createDataFrame([(1, 0, ["a"]), (1, 1, ["a", "b"]), (1, 2, ["b"]), (1, 3, ["c"]), (1, 4, None), (1, 5, ["c"]), (2, 0, [])], "simulation_id long, pos int, ids array<string>")
-    assert rows(transcripts.utterance_groups(df), "simulation_id", "pos") == [(1, 0, 0), (1, 1, 0), (1, 2, 0), (1, 3, 1), (1, 4, 2), (1, 5, 2), (2, 0, 0)]
+    df = spark.createDataFrame([(1, 0, ["a"]), (1, 1, ["a", "b"]), (1, 2, ["b"]), (1, 3, ["c"]), (1, 4, None), (1, 5, ["c"]), (2, 0, []), (None, 0, ["a"]), (None, 1, ["b"])], "simulation_id long, pos int, ids array<string>")
+    assert rows(transcripts.utterance_groups(df), "simulation_id", "pos") == [(None, 0, 0), (None, 1, 1), (1, 0, 0), (1, 1, 0), (1, 2, 0), (1, 3, 1), (1, 4, 2), (1, 5, 2), (2, 0, 0)]
 
 
 def test_slices_cover_the_text(spark):
