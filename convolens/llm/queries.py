@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from convolens.llm import context_tree, decontaminate, fingerprint, html_text, line_dedup, near_dedup, packing, quality, token_files, warc
+from convolens.llm import context_tree, decontaminate, fill_middle, fingerprint, html_text, line_dedup, near_dedup, packing, prefix_trie, quality, token_files, toxicity, warc
 from convolens.llm.common import table
 
 
@@ -66,7 +66,22 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.find_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_context_tree_scores, op3_fingerprints, op4_line_dedup, op5_best_fit_packing, op6_quality_classifier, op7_warc_revisits, op8_token_files, op9_decontamination, op10_minhash_near_dedup, pipeline)}
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of the whole documents table."""
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole documents table with a middle moved to the end."""
+    return fill_middle.report(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of the whole conversations table."""
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_context_tree_scores, op3_fingerprints, op4_line_dedup, op5_best_fit_packing, op6_quality_classifier, op7_warc_revisits, op8_token_files, op9_decontamination, op10_minhash_near_dedup, op11_toxicity, op12_fill_in_middle, op13_prefix_trie, pipeline)}
 
 ORACLE_SQL = {
     "op4_line_dedup": r"""
@@ -148,5 +163,42 @@ SELECT record_id, url, canonical_url, time, status,
     'age: 0' || chr(10) || 'cache-control: max-age=120' || chr(10) || 'content-length: ' || size || chr(10) || 'content-type: text/html' || chr(10)
     || CASE WHEN day IS NULL THEN '' ELSE 'date: ' || day || chr(10) END || 'etag: ' || coalesce(ve, re) || chr(10) || 'last-modified: ' || rm END AS headers
 FROM judged
+""",
+    "op12_fill_in_middle": r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w, sha256(concat('1:', CAST(doc_id AS VARCHAR))) AS s FROM documents),
+drawn AS (
+  SELECT *, CAST(len(w) AS BIGINT) AS n, CAST(concat('0x', s[1:8]) AS BIGINT) AS h1, CAST(concat('0x', s[9:16]) AS BIGINT) AS h2,
+    CAST(concat('0x', s[17:24]) AS BIGINT) AS h3, CAST(concat('0x', s[25:32]) AS BIGINT) AS h4 FROM cut),
+parts AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+texts AS (SELECT doc_id, n, form, text, array_to_string(w[1:a], '') AS p, array_to_string(w[a + 1:b], '') AS m, array_to_string(w[b + 1:], '') AS s FROM parts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN concat('<P>', p, '<S>', s, '<M>', m) ELSE concat('<S>', s, '<P>', p, '<M>', m) END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM texts
+""",
+    "op13_prefix_trie": r"""
+WITH turns AS (
+  SELECT conv_id, turn, md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS k, strlen(coalesce(text, '')) AS b FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({'k': k, 'b': b} ORDER BY turn NULLS FIRST, k) AS l FROM turns GROUP BY conv_id),
+heads AS (
+  SELECT conv_id, l, xor(list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+    lambda acc, byte: list_reduce(range(8), lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, xor(acc, byte)), CAST(4294967295 AS BIGINT)), 4294967295) % 9 AS h FROM own),
+rebuilt AS (
+  SELECT c.conv_id, list_concat(CASE WHEN c.h = 0 OR g.l IS NULL THEN [] ELSE g.l[1:c.h] END, c.l[c.h + 1:]) AS s FROM heads c LEFT JOIN own g ON g.conv_id = c.conv_id - c.conv_id % 5),
+paths AS (SELECT conv_id, len(s) AS n, list_transform(s, lambda x: x.k) AS ks, list_transform(s, lambda x: x.b) AS bs FROM rebuilt),
+prefixes AS (SELECT conv_id, n, d, ks[1:d] AS p, CASE WHEN d > 0 THEN bs[d] ELSE 0 END AS b FROM (SELECT *, unnest(range(0, n + 1)) AS d FROM paths)),
+nodes AS (
+  SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(b) AS b, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = d) AS ends FROM prefixes GROUP BY p, d),
+children AS (SELECT p[1:d - 1] AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+full_nodes AS (SELECT n.*, coalesce(c.n_children, 0) AS n_children FROM nodes n LEFT JOIN children c ON c.p = n.p),
+below AS (
+  SELECT p[1:a] AS p, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * b) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM full_nodes) GROUP BY 1)
+SELECT v.conv_id, CAST(v.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens,
+  sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM full_nodes v JOIN below w ON w.p = v.p LEFT JOIN full_nodes u ON v.d > 0 AND u.p = v.p[1:v.d - 1]
 """,
 }
