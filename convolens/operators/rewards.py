@@ -4,27 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import VariantType
 
 from convolens.functions.text import canonical, said
+from convolens.functions.variants import argument_map
 
 
 def arguments_match(gold: Column, predicted: Column, compared: Column) -> Column:
     """Whether the arguments agree on the compared keys; null ``compared`` means the call's own keys.
 
-    Both are maps of texts. Keys are looked up on both sides, a missing one as null. No keys always match.
+    Both are maps of texts. A key must be on both sides with one value, or on neither. No keys always match.
     """
     keys = F.coalesce(compared, F.map_keys(predicted))
-    value = lambda side, key: F.element_at(side, key)
-    return F.forall(keys, lambda key: value(gold, key).eqNullSafe(value(predicted, key)))
+    same = lambda key: (F.map_contains_key(gold, key) == F.map_contains_key(predicted, key)) & F.try_element_at(gold, key).eqNullSafe(F.try_element_at(predicted, key))
+    return F.forall(keys, same)
+
+
+def _argument_texts(rows: DataFrame) -> DataFrame:
+    """``rows`` with arguments as maps of texts: typed ones (VARIANT) as the texts that equal values share."""
+    return rows.withColumn("arguments", argument_map(F.col("arguments"))) if isinstance(rows.schema["arguments"].dataType, VariantType) else rows
 
 
 def match_actions(gold: DataFrame, calls: DataFrame) -> DataFrame:
     """Gold actions (simulation_id, action_id, name, arguments, compare_args) with ``matched``.
 
-    A mark join: an action is matched if any call of its simulation has its name and arguments.
+    A mark join: an action is matched if any call of its simulation has its name and arguments. Arguments
+    are VARIANT objects, compared by typed values, or maps of texts. Calls that no action names go first.
     """
-    made = calls.select("simulation_id", "name", F.col("arguments").alias("_made"), canonical(F.col("arguments")).alias("_key")).dropDuplicates(["simulation_id", "name", "_key"])
-    joined = gold.join(made, ["simulation_id", "name"], "left")
+    named = gold.select("simulation_id", "name").distinct()
+    asked = _argument_texts(calls.select("simulation_id", "name", "arguments").join(named, ["simulation_id", "name"], "left_semi"))
+    made = asked.select("simulation_id", "name", F.col("arguments").alias("_made"), canonical(F.col("arguments")).alias("_key")).dropDuplicates(["simulation_id", "name", "_key"])
+    joined = _argument_texts(gold).join(made, ["simulation_id", "name"], "left")
     hit = F.col("_key").isNotNull() & arguments_match(F.col("arguments"), F.col("_made"), F.col("compare_args"))
     return joined.groupBy("simulation_id", "action_id", "name").agg(F.bool_or(F.coalesce(hit, F.lit(False))).alias("matched"))
 
@@ -35,10 +45,16 @@ def action_reward(matches: DataFrame) -> DataFrame:
 
 
 def match_information(information: DataFrame, messages: DataFrame) -> DataFrame:
-    """(simulation_id, info, met): whether any assistant message of the simulation says it."""
-    spoken = messages.where("role = 'assistant'").groupBy("simulation_id").agg(F.collect_list("content").alias("_said"))
-    met = F.exists("_said", lambda m: said(m, F.col("info")))
-    return information.join(spoken, "simulation_id", "left").select("simulation_id", "info", F.coalesce(met, F.lit(False)).alias("met"))
+    """(simulation_id, info, met): whether any assistant message of the simulation says it.
+
+    Messages meet the information one by one, so that a simulation's messages are never one list.
+    """
+    spoken = messages.where("role = 'assistant'").select("simulation_id", F.col("content").alias("_content"))
+    joined = information.select("simulation_id", "info").distinct().join(spoken, "simulation_id", "left")
+    met = F.bool_or(F.coalesce(said(F.col("_content"), F.col("info")), F.lit(False)))
+    found = joined.groupBy(F.col("simulation_id").alias("_of"), F.col("info").alias("_info")).agg(met.alias("met"))
+    same = F.col("simulation_id").eqNullSafe(F.col("_of")) & F.col("info").eqNullSafe(F.col("_info"))
+    return information.select("simulation_id", "info").join(found, same).select("simulation_id", "info", "met")
 
 
 def combine(basis: Column, components: dict[str, Column]) -> Column:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from convolens.functions.variants import items
 from convolens.sources import schemas
 
 
@@ -40,6 +41,31 @@ def read_run(spark: SparkSession, path: str, layout: str = "json", check: bool =
     return run
 
 
+def read_untyped(spark: SparkSession, path: str, layout: str = "json") -> tuple[DataFrame, DataFrame]:
+    """A run without a schema: (file, doc) of its head, and (file, pos, value) of its simulations, all VARIANT.
+
+    Fields of any depth are cut out by ``variants.shredded`` and ``variants.items``; what a schema does not
+    know is kept. In the layout ``dir`` each file is one simulation, at position 0.
+    """
+
+    def documents(at: str) -> DataFrame:
+        whole = spark.read.option("multiLine", True).option("singleVariantColumn", "doc").json(at)
+        return whole.select(F.col("_metadata.file_path").alias("file"), "doc")
+
+    root = path.rstrip("/")
+    if layout == "json":
+        head = documents(root)
+        return head, items(head, "doc", "$.simulations", "file")
+    return documents(f"{root}/results.json"), documents(f"{root}/simulations/*.json").select("file", F.lit(0).alias("pos"), F.col("doc").alias("value"))
+
+
+def gold_actions(run: Run) -> DataFrame:
+    """The expected actions of every simulation, as ``rewards.match_actions`` takes them."""
+    actions = run.tasks.select(F.col("id").alias("task_id"), F.posexplode("evaluation_criteria.actions").alias("_at", "a"))
+    rows = run.simulations.select(F.col("id").alias("simulation_id"), "task_id").join(actions, "task_id")
+    return rows.select("simulation_id", F.coalesce("a.action_id", F.col("_at").cast("string")).alias("action_id"), "a.name", "a.arguments", "a.compare_args")
+
+
 def read_metadata(spark: SparkSession, path: str) -> Run:
     """A run without its simulations: only the small fields are read."""
     whole = schemas.run_schema()
