@@ -9,6 +9,8 @@ from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from convolens.functions.variants import canonical_variant
+
 
 #: fixed value: the characters that split words, Unicode white space and the four separators before it
 _WHITE = r"[\x09-\x0d\x1c-\x20\x85\p{Z}]+"
@@ -83,8 +85,8 @@ def same_name(left: Column, right: Column) -> Column:
 
 
 def safe_filename(name: Column, longest: int = 255) -> Column:
-    """A name with everything but letters, digits, ``.``, ``_`` and ``-`` replaced by ``_``, cut to ``longest``."""
-    return F.substring(F.regexp_replace(name, r"[^A-Za-z0-9._-]", "_"), 1, longest)
+    """A name with ``..`` and everything but letters and digits of any script, ``.``, ``_`` and ``-`` replaced by ``_``, cut to ``longest``."""
+    return F.substring(F.regexp_replace(F.replace(name, F.lit(".."), F.lit("_")), r"[^\p{L}\p{N}._-]", "_"), 1, longest)
 
 
 def task_intent(task_id: Column) -> Column:
@@ -93,8 +95,8 @@ def task_intent(task_id: Column) -> Column:
 
 
 def task_persona(task_id: Column) -> Column:
-    """The persona after ``PERSONA:`` in a task id."""
-    return F.nullif(F.regexp_extract(task_id, r"\[PERSONA:([a-zA-Z0-9_]+)\]", 1), F.lit(""))
+    """The persona after ``PERSONA:`` in a task id: letters and _ alone; null for any other."""
+    return F.nullif(F.regexp_extract(task_id, r"\[PERSONA:([a-zA-Z_]+)\]", 1), F.lit(""))
 
 
 def task_issues(task_id: Column) -> Column:
@@ -108,10 +110,13 @@ def not_nan(number: Column) -> Column:
 
 
 def same_output(left: Column, right: Column) -> Column:
-    """Whether two tool outputs are equal as JSON, or as texts where either is no JSON."""
-    one, two = F.try_parse_json(left), F.try_parse_json(right)
-    parsed = one.isNotNull() & two.isNotNull()
-    return F.when(parsed, F.to_json(one) == F.to_json(two)).otherwise(left == right)
+    """Whether two tool outputs hold the same value: JSON by value (1 is 1.0), and a text that is no JSON as a string."""
+
+    def value(text: Column) -> Column:
+        quoted = F.to_json(F.array(text))  # of one string: its JSON without the brackets
+        return F.coalesce(canonical_variant(F.try_parse_json(text)), F.substring(quoted, 2, F.length(quoted) - 2))
+
+    return value(left) == value(right)
 
 
 def arrival_date(date: Column, arrival: Column) -> Column:

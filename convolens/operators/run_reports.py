@@ -104,17 +104,15 @@ def of_organization(entries: DataFrame, organization: str) -> DataFrame:
     return entries.where(F.lower("organization") == organization.lower())
 
 
-def contaminated_overall(scores: DataFrame, key: str) -> DataFrame:
-    """Mean score by key, and whether any of its parts is marked as contaminated."""
-    return scores.groupBy(key).agg(F.avg("score").alias("overall"), F.bool_or(F.coalesce("contaminated", F.lit(False))).alias("contaminated"))
+def contaminated_overall(scores: DataFrame, key: str, least: int = 10) -> DataFrame:
+    """Mean of the parts (key, score, n) by key, hidden where a part that has a score rests on fewer than ``least`` events.
 
-
-def tick_messages(ticks: DataFrame, group: str = "simulation_id") -> DataFrame:
-    """Ticks as messages, the user's before the agent's, silent sides left out, with their position."""
-    side = lambda k, who: F.when(F.col(f"{who}_speaks"), F.struct(F.lit(k).alias("k"), F.lit({"agent": "assistant"}.get(who, who)).alias("role")))
-    rows = ticks.select(group, "tick", F.explode(F.array_compact(F.array(side(0, "user"), side(1, "agent")))).alias("m"))
-    order = Window.partitionBy(group).orderBy("tick", "m.k")
-    return rows.select(group, (F.row_number().over(order) - 1).alias("position"), "tick", "m.role")
+    Parts without a score say nothing. ``reason`` is ok, low_n (hidden) or undefined (no part has a score).
+    """
+    weak = F.bool_or(F.col("score").isNotNull() & (F.coalesce("n", F.lit(0)) < least))
+    judged = scores.groupBy(key).agg(F.avg("score").alias("_mean"), weak.alias("_weak"))
+    reason = F.when(F.col("_weak"), "low_n").when(F.col("_mean").isNull(), "undefined").otherwise("ok")
+    return judged.select(key, F.when(~F.col("_weak"), F.col("_mean")).alias("overall"), reason.alias("reason"))
 
 
 def merged_document(stored: Column, partial: Column, kind: StructType) -> Column:

@@ -21,12 +21,9 @@ class VoiceConfig:
     tick_seconds: float = 0.2
     yield_seconds: float = 2.0
     no_yield_seconds: float = 2.0
-    backchannel_seconds: float = 1.0
-    vocal_tic_seconds: float = 1.0
-    non_directed_seconds: float = 1.0
 
     def ticks(self, seconds: float) -> int:
-        return int(seconds / self.tick_seconds + 1e-9)
+        return int(seconds / self.tick_seconds)
 
 
 def drop_final_tick(ticks: DataFrame, group: str = "simulation_id") -> DataFrame:
@@ -66,7 +63,7 @@ def transitions(ticks: DataFrame, group: str = "simulation_id", config: VoiceCon
 
 
 def interruptions(ticks: DataFrame, group: str = "simulation_id", config: VoiceConfig = VoiceConfig()) -> DataFrame:
-    """Segments that start while the other side speaks, and whether that side yields in time."""
+    """Segments that start while the other side speaks, and whether that side yields in time; kinds with windows of their own are in ``voice_quality``."""
     out = None
     for speaker, seconds in (("user", config.yield_seconds), ("agent", config.no_yield_seconds)):
         other = {"user": "agent", "agent": "user"}[speaker]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from convolens.functions import text
 from convolens.operators import run_reports
-from convolens.plans.proxies import TICKS, _rounded, _t, query, ticks
+from convolens.plans.proxies import _rounded, _t, query
 
 #: orders as simulations
 SIMS = """sims AS (SELECT o_orderkey AS simulation_id, o_custkey AS task_id, o_orderpriority AS domain, CASE o_orderstatus WHEN 'F' THEN 1.0 WHEN 'O' THEN 0.0 END AS reward,
@@ -99,35 +99,52 @@ def organization_filter(spark, sf_dir):
     return run_reports.of_organization(_t(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("organization")), "Building")
 
 
-@query("SELECT c_nationkey, round(avg(c_acctbal), 6) AS overall, bool_or(c_custkey % 50 = 0) AS contaminated FROM customer GROUP BY c_nationkey")
+@query("""WITH p AS (SELECT c_nationkey, c_mktsegment, CASE WHEN c_nationkey % 5 > 0 OR c_mktsegment < 'C' THEN avg(c_acctbal) END AS score, count(*) AS n FROM customer WHERE c_nationkey <> 3 GROUP BY c_nationkey, c_mktsegment
+  UNION ALL SELECT 3, 'none', NULL, 0)
+SELECT c_nationkey, CASE WHEN count(*) FILTER (WHERE score IS NOT NULL AND n < 10) = 0 THEN round(avg(score), 6) END AS overall,
+  CASE WHEN count(*) FILTER (WHERE score IS NOT NULL AND n < 10) > 0 THEN 'low_n' WHEN count(score) = 0 THEN 'undefined' ELSE 'ok' END AS reason FROM p GROUP BY c_nationkey""")
 def contaminated_overall(spark, sf_dir):
-    rows = _t(spark, sf_dir, "customer").select("c_nationkey", F.col("c_acctbal").alias("score"), (F.col("c_custkey") % 50 == 0).alias("contaminated"))
-    return _rounded(run_reports.contaminated_overall(rows, "c_nationkey"))
+    """Nations as entries, segments as domains; the mean rests on each domain's number of customers."""
+    score = F.when((F.col("c_nationkey") % 5 > 0) | (F.col("c_mktsegment") < "C"), F.col("mean"))
+    parts = _t(spark, sf_dir, "customer").where("c_nationkey <> 3").groupBy("c_nationkey", "c_mktsegment").agg(F.avg("c_acctbal").alias("mean"), F.count("*").alias("n"))
+    none = _t(spark, sf_dir, "customer").limit(1).select(F.lit(3).alias("c_nationkey"), F.lit(None).cast("double").alias("score"), F.lit(0).cast("long").alias("n"))
+    return _rounded(run_reports.contaminated_overall(parts.select("c_nationkey", score.alias("score"), "n").unionByName(none), "c_nationkey"))
 
 
-@query(f"""WITH {TICKS}, m AS (SELECT simulation_id, tick, 0 AS k, 'user' AS role FROM ticks WHERE user_speaks UNION ALL SELECT simulation_id, tick, 1, 'assistant' FROM ticks WHERE agent_speaks)
-SELECT simulation_id, row_number() OVER (PARTITION BY simulation_id ORDER BY tick, k) - 1 AS position, tick, role FROM m""")
-def tick_messages(spark, sf_dir):
-    return run_reports.tick_messages(ticks(spark, sf_dir))
+_NAMES = ("..x", "/\u00e9 y", "\\\\..", "...\u00df\u00bd?")
 
 
-@query("SELECT p_partkey, regexp_replace(p_name, '[^A-Za-z0-9._-]', '_', 'g')[:255] AS file, lower(p_type) = lower(p_brand) AS same FROM part")
+@query(f"""WITH n AS (SELECT *, concat(p_name, [{', '.join(f"'{n}'" for n in _NAMES)}][p_partkey % 4 + 1]) AS name FROM part)
+SELECT p_partkey, regexp_replace(replace(name, '..', '_'), '[^\\p{{L}}\\p{{N}}._-]', '_', 'g')[:255] AS file, lower(p_type) = lower(p_brand) AS same FROM n""")
 def safe_names(spark, sf_dir):
-    return _t(spark, sf_dir, "part").select("p_partkey", text.safe_filename(F.col("p_name")).alias("file"), text.same_name(F.col("p_type"), F.col("p_brand")).alias("same"))
+    tail = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return _t(spark, sf_dir, "part").select("p_partkey", text.safe_filename(F.concat("p_name", tail)).alias("file"), text.same_name(F.col("p_type"), F.col("p_brand")).alias("same"))
 
 
-@query("""SELECT o_orderkey, regexp_extract('[' || replace(o_orderpriority, '-', '_') || ']', '^\\[([a-zA-Z_]+)\\]', 1) AS intent_text, CAST(o_orderkey % 4 + 1 AS INTEGER) AS issues, 'P' || o_custkey % 5 AS persona FROM orders""".replace("\\\\", "\\"))
+@query(r"""WITH t AS (SELECT o_orderkey, concat('[', replace(o_orderpriority, '-', '_'), ']x', repeat('|x', CAST(o_orderkey % 4 AS INTEGER)), '[PERSONA:', ['None', 'Easy_one', 'P3', 'a-b', ''][o_custkey % 5 + 1], ']') AS id FROM orders)
+SELECT o_orderkey, regexp_extract(id, '^\[([a-zA-Z_]+)\]', 1) AS intent_text, CAST(len(string_split(id, '|')) AS INTEGER) AS issues, nullif(regexp_extract(id, '\[PERSONA:([a-zA-Z_]+)\]', 1), '') AS persona FROM t""".replace("\\\\", "\\"))
 def task_id_parts(spark, sf_dir):
     bars = F.repeat(F.lit("|x"), (F.col("o_orderkey") % 4).cast("int"))
-    name = F.concat(F.lit("["), F.regexp_replace("o_orderpriority", "-", "_"), F.lit("]x"), bars, F.lit("[PERSONA:P"), (F.col("o_custkey") % 5).cast("string"), F.lit("]"))
+    persona = F.element_at(F.array(*map(F.lit, ("None", "Easy_one", "P3", "a-b", ""))), (F.col("o_custkey") % 5 + 1).cast("int"))
+    name = F.concat(F.lit("["), F.regexp_replace("o_orderpriority", "-", "_"), F.lit("]x"), bars, F.lit("[PERSONA:"), persona, F.lit("]"))
     rows = _t(spark, sf_dir, "orders").select("o_orderkey", name.alias("id"))
     return rows.select("o_orderkey", F.coalesce(text.task_intent(F.col("id")), F.lit("")).alias("intent_text"), text.task_issues(F.col("id")).alias("issues"), text.task_persona(F.col("id")).alias("persona"))
 
 
-@query("SELECT event_id, props = props AS same, event_id % 2 = 0 AS changed FROM events")
+#: an output and what was recorded: whole and broken number, number and its text, other spacing, no JSON, one side quoted
+_OUTPUTS = (('{"k": #}', '{ "k" : #.0 }'), ("#", '"#"'), ("# and", "# and"), ("item #", '"item #"'), ('[#, "a"]', '["a", #]'), ("{'#'", '{"#": 1}'), ("true", "1"))
+
+
+@query("""WITH o AS (SELECT event_id, replace({}[event_id % 7 + 1], '#', json_extract_string(props, '$.k')) AS a, replace({}[event_id % 7 + 1], '#', json_extract_string(props, '$.k')) AS b FROM events),
+v AS (SELECT *, json_valid(a) AS ja, json_valid(b) AS jb FROM o)
+SELECT event_id, CASE WHEN ja AND jb THEN
+    CASE WHEN json_type(a) = 'OBJECT' AND json_type(b) = 'OBJECT' THEN CAST(json_extract(a, '$.k') AS DOUBLE) IS NOT DISTINCT FROM CAST(json_extract(b, '$.k') AS DOUBLE)
+      WHEN json_type(a) = 'BOOLEAN' AND json_type(b) <> 'VARCHAR' THEN CAST(CAST(a AS BOOLEAN) AS INTEGER) = CAST(b AS INTEGER) ELSE json_type(a) = json_type(b) AND a = b END
+  WHEN ja THEN json_type(a) = 'VARCHAR' AND json_extract_string(a, '$') = b WHEN jb THEN json_type(b) = 'VARCHAR' AND json_extract_string(b, '$') = a ELSE a = b END AS same FROM v""".format(*["[" + ", ".join("'" + p[side].replace("'", "''") + "'" for p in _OUTPUTS) + "]" for side in (0, 1)]))
 def json_equality(spark, sf_dir):
-    spaced = F.regexp_replace("props", ":", " : ")
-    return _t(spark, sf_dir, "events").select("event_id", text.same_output(F.col("props"), spaced).alias("same"), text.same_output(F.lit('{"a": 1}'), F.when(F.col("event_id") % 2 == 0, '{"a":1}').otherwise("{'a'")).alias("changed"))
+    number = F.get_json_object("props", "$.k")
+    side = lambda k: F.replace(F.element_at(F.array(*[F.lit(p[k]) for p in _OUTPUTS]), (F.col("event_id") % 7 + 1).cast("int")), F.lit("#"), number)
+    return _t(spark, sf_dir, "events").select("event_id", text.same_output(side(0), side(1)).alias("same"))
 
 
 @query("SELECT o_orderkey, CAST(o_orderdate AS DATE) + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS arrival FROM orders")

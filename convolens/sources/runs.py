@@ -179,8 +179,11 @@ def write_metadata(run: Run, path: str) -> None:
     _document(run, stored, None).coalesce(1).write.mode("overwrite").json(fresh)
     jvm = spark._jvm.org.apache.hadoop.fs.Path
     files = jvm(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    files.delete(jvm(old), True)
+    aside = jvm(f"{old}.old")  # at every moment one whole copy has a name
+    files.delete(aside, True)
+    files.rename(jvm(old), aside)
     files.rename(jvm(fresh), jvm(old))
+    files.delete(aside, True)
 
 
 def convert_run(spark: SparkSession, source: str, target: str, layout: str) -> None:
@@ -209,9 +212,16 @@ def log_lines(spark: SparkSession, path: str, pattern: str, names: list[str]) ->
     return lines.select("file", *[F.regexp_extract("value", pattern, k + 1).alias(name) for k, name in enumerate(names)])
 
 
-def named_parameters(path: Column, names: list[str]) -> list[Column]:
-    """``key=value`` or ``key-value`` parts of a file name as columns; null where a key is not there."""
-    return [F.nullif(F.regexp_extract(path, rf"(?:^|[/_]){name}[=-]([^_/]+?)(?:\.[a-z]+)?(?:[_/]|$)", 1), F.lit("")).alias(name) for name in names]
+#: fixed value: the name of a run's file, as llm_domain_mode_llmuser_4trials.json, with _10tasks before the ending if tasks were picked
+RUN_FILE = r"^(.+)_(.+)_(.+)_(.+)_(\d+)trials(_(\d+)tasks)?\.json"
+
+
+def named_parameters(path: Column) -> list[Column]:
+    """The settings that the last part of a run's path names, as columns; all null for another name, num_tasks null if not given."""
+    name = F.substring_index(path, "/", -1)
+    part = lambda k: F.nullif(F.regexp_extract(name, RUN_FILE, k), F.lit(""))
+    texts = [part(k).alias(c) for k, c in enumerate(("llm", "domain", "mode", "llm_user"), 1)]
+    return [*texts, part(5).cast("int").alias("num_trials"), part(7).cast("int").alias("num_tasks")]
 
 
 def knowledge_base(spark: SparkSession, folder: str) -> DataFrame:

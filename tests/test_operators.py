@@ -313,12 +313,12 @@ def test_files_logs_and_names(spark, tmp_path):
     (tmp_path / "a" / "y.txt").write_text("z")
     assert runs.file_list(spark, [str(tmp_path / "a"), str(tmp_path / "a" / "x.log")], ".log").count() == 1
     assert [r[1:] for r in rows(runs.log_lines(spark, str(tmp_path / "a" / "x.log"), r"^(\S+) (WARN|INFO)", ["at", "level"]), "at")] == [("12:01", "WARN"), ("12:02", "INFO")]
-    df = spark.createDataFrame([("runs/model=gpt_trials=4.json",), ("runs/none.json",)], "p string")
-    assert df.select(*runs.named_parameters(F.col("p"), ["model", "trials"])).collect()[:] == [("gpt", "4"), (None, None)]
+    df = spark.createDataFrame([("runs/gpt-4_1_air_line_base_user-x_4trials_10tasks.json",), ("m_retail_solo_u_1trials.json.bak",), ("runs/none.json",)], "p string")
+    assert [r[:] for r in df.select(*runs.named_parameters(F.col("p"))).collect()] == [("gpt-4_1_air", "line", "base", "user-x", 4, 10), ("m", "retail", "solo", "u", 1, None), (None,) * 6]
 
 
 def test_windows_are_whole_ticks_and_open_intervals_meet_later_ones(spark):
-    assert voice.VoiceConfig().ticks(0.35) == 1 and voice.VoiceConfig().ticks(0.6) == 3
+    assert voice.VoiceConfig().ticks(0.35) == 1 and voice.VoiceConfig().ticks(0.6) == 2
     left = spark.createDataFrame([(1, 1, 0, None), (1, 2, 5, 6)], "g int, id int, start long, end long")
     right = spark.createDataFrame([(1, 7, 10**9, 10**9 + 5), (1, 8, 5, None)], "g int, id int, start long, end long")
     assert rows(intervals.overlaps(left, right, "g", 10).select("left_id", "right_id"), "left_id", "right_id") == [(1, 7), (1, 8), (2, 8)]
