@@ -3,12 +3,11 @@
 Documents become token ids plus an end id. Only a document longer than a sequence is cut, into whole
 sequences; its first piece holds the remainder. The pieces (without their ids) are dealt by hash into
 groups of about ``GROUP`` pieces, so that no group grows with the data or with one source. Each group
-is packed on its own: best fit in the order of doc_id, pieces below a quarter sequence last, then local search. The search takes the
-emptiest sequence and moves its pieces, swaps one of them for a shorter one elsewhere, or two of them
-for one, always so that the sum of squared fills rises, until the sequence is empty or nothing helps; then
-the next one, until every underfull sequence has been tried. A group still above its lower bound has its
-emptiest sequences fitted anew by descending length, more and more of them, and the search goes on.
-A group that reaches its bound leaves at most part of one sequence open.
+is packed on its own: best fit in the order of doc_id, pieces below a quarter sequence last, then local search. The search goes over
+the underfull sequences, fullest first, and fills each by moves and by exchanges with emptier ones, one or two pieces for
+none, one or two, always so that the sum of squared fills rises, until sequences are empty and nothing helps. A group still
+above its lower bound is then perturbed (a few sequences are mixed up) and searched again, ``ROUNDS`` times at most; nothing else
+packs it. A group that reaches its bound leaves at most part of one sequence open.
 
 Defined cases: a null or empty text is the end id alone. A very long text is cut into pieces of a sequence. Rows that repeat a doc_id, null included,
 are packed as documents of their own under the same id. An empty table gives no pieces. Extra
@@ -17,7 +16,9 @@ columns are not carried.
 
 from __future__ import annotations
 
+import random
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,8 @@ from convolens.llm.common import materialize
 LENGTH = 2048
 END = 0
 GROUP = 20_000
+#: How often a group that is above its bound is mixed up and searched again, and how many sequences at a time.
+ROUNDS, MIXED = 30, 100
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -90,107 +93,160 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 
 
 class LocalSearch:
-    """Empties underfull bins by moves and swaps that raise the sum of squared fills."""
+    """Empties underfull bins by moves and swaps between them that raise the sum of squared fills.
 
-    def __init__(self, lengths: np.ndarray, bins: list[list[int]], capacity: int):
-        self.lengths, self.capacity, self.steps = lengths.astype(np.int64), capacity, 0
-        self.home = np.empty(len(lengths), np.int64)
+    A bin is filled by the exchange that leaves it the least room: one item, or two of the emptiest bin, come
+    from a bin that is no fuller, and none, one or two of its own go there. What fuller bins gain, emptier ones
+    lose, so the squares rise with each step, and the free room gathers in the bins that empty. When no exchange
+    helps any more, a few bins are mixed up and the search goes on from there, at most ``rounds`` times;
+    a packing with more bins than the best so far is taken back.
+    """
+
+    def __init__(self, lengths: np.ndarray, bins: list[list[int]], capacity: int, rounds: int = ROUNDS):
+        self.n, self.capacity, self.rounds, self.steps = lengths.tolist(), capacity, rounds, 0
+        self.least = -(-sum(self.n) // capacity)
+        self.bins, self.fill, self.home, self.live = [], [], [0] * len(self.n), 0
+        self.open: set[int] = set()
         for k, items in enumerate(bins):
-            self.home[items] = k
-        self.fill = np.bincount(self.home, self.lengths, len(bins)).astype(np.int64)
+            self._store(k, list(items))
+
+    def _store(self, k: int, items: list[int]) -> None:
+        """Bin ``k``, which may be new, holds ``items`` from now on."""
+        if k == len(self.bins):
+            self.bins.append([])
+            self.fill.append(0)
+        self.live += bool(items) - bool(self.bins[k])
+        self.bins[k], self.fill[k] = items, sum(self.n[i] for i in items)
+        for i in items:
+            self.home[i] = k
+        (self.open.add if 0 < self.fill[k] < self.capacity else self.open.discard)(k)
+
+    def _index(self) -> None:
+        """The items of underfull bins by their length."""
+        self.by_length: dict[int, set[int]] = {}
+        for k in self.open:
+            for i in self.bins[k]:
+                self.by_length.setdefault(self.n[i], set()).add(i)
+        self.lengths = sorted(self.by_length)
 
     def _put(self, item: int, to: int) -> None:
-        n = self.lengths[item]
-        self.fill[self.home[item]] -= n
+        at, n = self.home[item], self.n[item]
+        self.bins[at].remove(item)
+        self.bins[to].append(item)
+        self.fill[at] -= n
         self.fill[to] += n
         self.home[item] = to
 
-    def _offers(self, own: np.ndarray) -> tuple[np.ndarray, list[tuple[int, ...]]]:
-        """The sums of one and of two of the items ``own``, ascending, and the items of each; equal lengths count once."""
-        sums: dict[int, tuple[int, ...]] = {}
-        few: list[int] = []  # no length more than twice, and so at most about two roots of the capacity
-        for item, n in zip(own.tolist(), self.lengths[own].tolist()):
-            if sums.get(n, ())[1:] != () or n not in sums:
-                sums[n] = (item,)
-                few.append(item)
-            elif sum(self.lengths[x] == n for x in few) < 2:
-                few.append(item)
-        for i, one in enumerate(few):
-            for two in few[i + 1 :]:
-                sums.setdefault(int(self.lengths[one] + self.lengths[two]), (one, two))
-        ordered = sorted(sums)
-        return np.array(ordered), [sums[n] for n in ordered]
-
-    def _step(self, donor: int, pool: np.ndarray) -> bool:
-        """One improving move of the donor's items; False if there is none. ``pool``: the items of underfull bins."""
-        homes, lengths = self.home[pool], self.lengths[pool]
-        fills = self.fill[homes]
-        room = np.where((fills >= self.fill[donor]) & (homes != donor), self.capacity - fills, -1)
-        own = pool[homes == donor]
-        fits = own[self.lengths[own] <= room.max()]
-        if len(fits):  # move: the longest item that any bin takes, to the tightest one
-            item = int(fits[self.lengths[fits].argmax()])
-            self._put(item, int(homes[np.where(room >= self.lengths[item], room, self.capacity + 1).argmin()]))
-            return True
-        theirs, room = pool[room > 0], room[room > 0]
-        if not len(theirs):
-            return False
-        # one for one, two for one: for each item that may be taken, the largest sum that fits in its place
-        sums, offered = self._offers(own)
-        taken = self.lengths[theirs]
-        at = np.searchsorted(sums, taken + room, "right") - 1
-        gain = np.where(at >= 0, sums[np.maximum(at, 0)] - taken, 0)
-        best = int(gain.argmax())
-        if gain[best] <= 0:
+    def _exchange(self, into: tuple[int, ...], out: tuple[int, ...], to: int) -> None:
+        giver = self.home[into[0]]
+        for i in into:
+            self._put(i, to)
+        for i in out:
+            self._put(i, giver)
+        self.steps += 1
+        if not self.fill[giver]:
+            self.open.discard(giver)
+            self.live -= 1
+        if self.fill[to] == self.capacity:  # full bins give and take nothing any more
+            self.open.discard(to)
+            for i in self.bins[to]:
+                same = self.by_length[self.n[i]]
+                same.discard(i)
+                if not same:
+                    del self.by_length[self.n[i]]
+                    del self.lengths[bisect_left(self.lengths, self.n[i])]
+
+    def _giver(self, length: int, to: int) -> int | None:
+        """An item of a length, in the emptiest bin that is no fuller than ``to``."""
+        found = [(self.fill[self.home[i]], i) for i in self.by_length[length] if self.home[i] != to]
+        fill, item = min(found, default=(self.capacity, -1))
+        return item if fill <= self.fill[to] else None
+
+    def _pairs(self, items: list[int]) -> dict[int, tuple[int, ...]]:
+        """The sums of two items, with the items of each; of equal items two are enough."""
+        seen: dict[int, int] = {}
+        few = []
+        for i in items:
+            seen[self.n[i]] = seen.get(self.n[i], 0) + 1
+            if seen[self.n[i]] <= 2:
+                few.append(i)
+        out: dict[int, tuple[int, ...]] = {}
+        for a, i in enumerate(few):
+            for j in few[a + 1 :]:
+                out.setdefault(self.n[i] + self.n[j], (i, j))
+        return out
+
+    def _improve(self, to: int) -> bool:
+        """The exchange that fills a bin the most; False if none fills it more."""
+        room, own = self.capacity - self.fill[to], self.bins[to]
+        leaving: dict[int, tuple[int, ...]] = {0: (), **{self.n[i]: (i,) for i in own}}
+        for total, items in self._pairs(own).items():
+            leaving.setdefault(total, items)
+        best, found = 0, None
+        for total, items in leaving.items():
+            at = bisect_right(self.lengths, total + room) - 1
+            while at >= 0 and self.lengths[at] - total > best:
+                item = self._giver(self.lengths[at], to)
+                if item is not None:
+                    best, found = self.lengths[at] - total, ((item,), items)
+                    break
+                at -= 1
+            if best == room:
+                break
+        if best < room:
+            if self.donor not in self.open:
+                self.donor = min(self.open, key=lambda k: (self.fill[k], k))
+            if self.donor != to and self.fill[self.donor] <= self.fill[to]:
+                given = self._pairs(self.bins[self.donor])
+                sums = sorted(given)
+                for total, items in leaving.items():
+                    at = bisect_right(sums, total + room) - 1
+                    if at >= 0 and sums[at] - total > best:
+                        best, found = sums[at] - total, (given[sums[at]], items)
+        if found is None:
             return False
-        to = int(self.home[theirs[best]])
-        self._put(int(theirs[best]), donor)
-        for item in offered[at[best]]:
-            self._put(item, to)
+        self._exchange(*found, to)
         return True
 
-    def _search(self, least: int) -> None:
-        """Moves and swaps until the bound is met or every underfull bin has failed since the last one was emptied."""
-        tried = np.zeros(len(self.fill), bool)
-        while (self.fill > 0).sum() > least:
-            usable = np.where((self.fill > 0) & ~tried, self.fill, self.capacity)
-            donor = int(usable.argmin())
-            if usable[donor] >= self.capacity:
-                return
-            pool = np.flatnonzero(self.fill[self.home] < self.capacity)
-            while self.fill[donor] and self._step(donor, pool):
-                self.steps += 1
-            tried[donor] = self.fill[donor] > 0
-            if not self.fill[donor]:
-                tried[:] = False
-
-    def _refit(self) -> bool:
-        """Empty a bin by fitting the emptiest bins anew, the longest item first; twice as many each time, up to all."""
-        order = np.argsort(np.where(self.fill > 0, self.fill, self.capacity + 1), kind="stable")[: int((self.fill > 0).sum())]
-        n = max(2, int((self.fill[order] < self.capacity).sum()))
-        while True:
-            own = np.flatnonzero(np.isin(self.home, order[:n]))
-            own = own[np.argsort(-self.lengths[own], kind="stable")]
-            bins = best_fit(self.lengths[own], self.capacity)
-            if len(bins) < min(n, len(order)):
-                for to, items in zip(order.tolist(), bins):
-                    self.home[own[items]] = to
-                self.fill = np.bincount(self.home, self.lengths, len(self.fill)).astype(np.int64)
-                return True
-            if n >= len(order):
-                return False
-            n *= 2
+    def _search(self) -> None:
+        """Passes over the underfull bins, the fullest first, until one changes nothing."""
+        self._index()
+        moved = True
+        while moved and self.live > self.least:
+            moved, self.donor = False, -1
+            for to in sorted(self.open, key=lambda k: (-self.fill[k], k)):
+                while to in self.open and self.live > self.least and self._improve(to):
+                    moved = True
+
+    def _mix(self, rng: random.Random) -> dict[int, list[int]]:
+        """Empty the two emptiest bins and a few others and fill them anew in a random order; what was in all that may change."""
+        chosen = {*sorted(self.open, key=lambda k: (self.fill[k], k))[:2], *rng.sample(range(len(self.bins)), min(len(self.bins), MIXED))}
+        before = {k: list(self.bins[k]) for k in chosen | self.open}
+        items = [i for k in sorted(chosen) for i in self.bins[k]]
+        rng.shuffle(items)
+        for k in chosen:
+            self._store(k, [])
+        places = iter([*sorted(chosen), *range(len(self.bins), len(self.bins) + len(items))])
+        for fresh in best_fit(np.array([self.n[i] for i in items]), self.capacity):
+            self._store(next(places), [items[x] for x in fresh])
+        return before
 
     def run(self) -> list[list[int]]:
-        """Bins of item numbers, when the bound is met or neither the search nor fitting anew saves a bin."""
-        least = -(-int(self.lengths.sum()) // self.capacity)
-        self._search(least)
-        while (self.fill > 0).sum() > least and self._refit():
-            self._search(least)
-        out: list[list[int]] = [[] for _ in self.fill]
-        for item, where in enumerate(self.home.tolist()):
-            out[where].append(item)
-        return [items for items in out if items]
+        """Bins of item numbers, when the bound is met or mixing up has not helped."""
+        rng = random.Random(len(self.n))
+        self._search()
+        for _ in range(self.rounds):
+            if self.live <= self.least:
+                break
+            best, size = self.live, len(self.bins)
+            before = self._mix(rng)
+            self._search()
+            if self.live > best:
+                for k in range(size, len(self.bins)):
+                    self._store(k, [])
+                for k, items in before.items():
+                    self._store(k, items)
+        return [b for b in self.bins if b]
 
 
 def pack_lengths(lengths: np.ndarray, capacity: int) -> list[list[int]]:

@@ -64,14 +64,49 @@ def test_search_beats_best_fit():
     assert sorted(i for b in found for i in b) == list(range(7))
 
 
-def test_packings_are_whole_and_never_worse():
-    rng = random.Random(7)
-    for _ in range(60):
-        lengths = np.array([rng.randint(1, 40) for _ in range(rng.randint(1, 80))])
+def fewest(lengths, capacity):
+    """The least number of bins, by trying every placement."""
+    best = len(lengths)
+
+    def place(k, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if k == len(lengths):
+            best = len(bins)
+            return
+        for i in range(len(bins)):
+            if bins[i] + lengths[k] <= capacity and bins[i] not in bins[:i]:
+                place(k + 1, [*bins[:i], bins[i] + lengths[k], *bins[i + 1 :]])
+        place(k + 1, [*bins, lengths[k]])
+
+    place(0, [])
+    return best
+
+
+def test_small_packings_against_all_placements():
+    """The search alone: never more bins than it began with, whole, and the least number in nearly all cases."""
+    rng, more = random.Random(7), 0
+    for _ in range(150):
+        lengths = np.array([rng.randint(1, 40) for _ in range(rng.randint(1, 9))])
         found = packing.pack_lengths(lengths, 40)
-        assert len(found) <= min(len(packing.best_fit(x, 40)) for x in (lengths, np.sort(lengths)[::-1]))
         assert sorted(i for b in found for i in b) == list(range(len(lengths)))
         assert all(lengths[b].sum() <= 40 for b in found)
+        assert len(found) <= len(packing.best_fit(lengths[np.argsort(4 * lengths < 40, kind="stable")], 40))
+        more += len(found) - fewest(sorted(lengths.tolist(), reverse=True), 40)
+    assert more <= 3
+
+
+def test_the_search_saves_where_best_fit_is_poor():
+    """Three of these lengths fill a sequence; best fit, also by descending length, puts many pairs together."""
+    lengths = np.random.default_rng(0).integers(650, 721, 1000)
+    begun = packing.best_fit(lengths, packing.LENGTH)
+    search = packing.LocalSearch(lengths, begun, packing.LENGTH, rounds=0)
+    squares = sum(f * f for f in search.fill)
+    found = search.run()
+    descending = packing.best_fit(np.sort(lengths)[::-1], packing.LENGTH)
+    assert len(found) < 0.95 * min(len(begun), len(descending)) and search.steps > 0
+    assert sum(int(lengths[b].sum()) ** 2 for b in found) > squares
 
 
 def test_the_search_takes_documents_to_the_bound(spark):
