@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from convolens.operators import judgments, messages, transcript_slices
 from convolens.plans.proxies import TICKS, _t, query, ticks
+from convolens.streaming import dialogues
 
 # --- messages ----------------------------------------------------------------------------------
 
@@ -156,3 +157,27 @@ def spread_transcripts(spark, sf_dir):
     timed = rows.select("simulation_id", "tick", (F.col("event_type") != "error").alias("spoken"), start.alias("start_ms"), (start + 200).alias("end_ms"))
     said = rows.where(event % 10 == 0).select("simulation_id", (start - event % 9 * 90).alias("start_ms"), (start + event % 6 * 330).alias("end_ms"), F.concat_ws(" ", "event_type", event.cast("string")).alias("text"))
     return transcript_slices.distribute(timed, said)
+
+
+# --- who holds the floor -----------------------------------------------------------------------
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'click' THEN 'user_start' WHEN 'view' THEN 'user_stop' WHEN 'purchase' THEN 'agent_start' ELSE 'agent_stop' END AS kind,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type <> 'signup'),
+m AS (
+  SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::TIMESTAMP AS ts, false AS u, false AS a, false AS w, NULL::TIMESTAMP AS since, 'idle' AS before, 'idle' AS after, NULL::TIMESTAMP AS lapsed FROM (SELECT DISTINCT user_id FROM e)
+  UNION ALL
+  SELECT user_id, n, event_id, ts, u, a, w, CASE WHEN after = 'waiting' THEN CASE WHEN before = 'waiting' THEN since ELSE ts END END, before, after, lapsed FROM (
+    SELECT *, CASE WHEN u AND a THEN 'both' WHEN u THEN 'user' WHEN a THEN 'agent' WHEN w THEN 'waiting' ELSE 'idle' END AS after FROM (
+      SELECT e.user_id, e.n, e.event_id, e.ts, m.since, CASE WHEN e.kind = 'user_start' THEN true WHEN e.kind = 'user_stop' THEN false ELSE m.u END AS u, CASE WHEN e.kind = 'agent_start' THEN true WHEN e.kind = 'agent_stop' THEN false ELSE m.a END AS a,
+        CASE WHEN e.kind IN ('user_start', 'agent_start') THEN false WHEN e.kind = 'user_stop' AND m.u THEN true ELSE m.w AND NOT gone END AS w,
+        CASE WHEN gone THEN 'idle' ELSE m.after END AS before, CASE WHEN gone THEN m.since + INTERVAL 30 MINUTE END AS lapsed
+      FROM (SELECT *, since IS NOT NULL AS waits FROM m) m JOIN e ON e.user_id = m.user_id AND e.n = m.n + 1 CROSS JOIN LATERAL (SELECT m.waits AND e.ts >= m.since + INTERVAL 30 MINUTE AS gone))))
+SELECT user_id AS simulation_id, ts, event_id, before, after FROM m WHERE before <> after
+UNION ALL SELECT user_id, lapsed, NULL, 'waiting', 'idle' FROM m WHERE lapsed IS NOT NULL
+UNION ALL SELECT user_id, since + INTERVAL 30 MINUTE, NULL, 'waiting', 'idle' FROM m WHERE since IS NOT NULL AND n = (SELECT max(n) FROM e WHERE e.user_id = m.user_id)""")
+def floor_states(spark, sf_dir):
+    """Clicks start and views end the user's speech, purchases start and errors end the agent's; patience is half an hour."""
+    kind = F.create_map(*[F.lit(x) for pair in (("click", "user_start"), ("view", "user_stop"), ("purchase", "agent_start"), ("error", "agent_stop")) for x in pair])
+    events = _t(spark, sf_dir, "events").select(F.col("user_id").alias("simulation_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.try_element_at(kind, F.col("event_type")).alias("kind"))
+    return dialogues.floor_states_batch(events, 1800).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
