@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from convolens.functions import arithmetic, dates, text
 from convolens.operators import breakdown, dml, leaderboard, lookups, metrics, retrieval, transcripts, voice, voice_events
+from convolens.operators.vector_index import VectorIndex
 from convolens.plans.proxies import _BM25, _ISLANDS, TICKS, _rounded, _t, query, ticks, trials
 
 # --- speech events -----------------------------------------------------------------------------
@@ -295,6 +296,26 @@ def cosine_batch(spark, sf_dir):
     return _rounded(retrieval.cosine_batches(vectors, vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 5))
 
 
+_NEAREST = """SELECT query_id, vec_id, round(score, 6) AS score FROM (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score,
+  row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, v.vec_id) AS n FROM embeddings v, embeddings q WHERE {}) WHERE n <= 10"""
+
+
+@query(_NEAREST.format("q.vec_id = 7"))
+def indexed_search(spark, sf_dir):
+    """The ten nearest to one vector, through the index of cells."""
+    vectors = _t(spark, sf_dir, "embeddings")
+    asked = vectors.where("vec_id = 7").first()["embedding"]
+    found, _ = VectorIndex.build(vectors).search([float(x) for x in asked], 10)
+    return _rounded(found.select(F.lit(7).cast("long").alias("query_id"), "vec_id", "score"))
+
+
+@query(_NEAREST.format("q.vec_id % 100 = 0"))
+def indexed_batch(spark, sf_dir):
+    """The ten nearest to every vector whose id is divisible by 100, through the index of cells."""
+    vectors = _t(spark, sf_dir, "embeddings")
+    return _rounded(VectorIndex.build(vectors).batch(vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 10))
+
+
 @query("SELECT doc_id, score FROM (SELECT doc_id, least(greatest(CAST(n_chars % 14 - 2 AS DOUBLE), 0), 10) AS score FROM documents) WHERE score >= 7 ORDER BY score DESC, doc_id LIMIT 20")
 def rating_rerank(spark, sf_dir):
     return retrieval.rerank(_t(spark, sf_dir, "documents").select("doc_id", "n_chars"), F.col("n_chars") % 14 - 2, 7.0, 20).select("doc_id", "score")

@@ -230,10 +230,10 @@ def knowledge_base(spark: SparkSession, folder: str) -> DataFrame:
     return rows.dropDuplicates(["id"])
 
 
-def submissions(spark: SparkSession, folder: str) -> DataFrame:
-    """Leaderboard entries: one row per submission and domain, with pass^1 to pass^4 and cost."""
+def submissions(spark: SparkSession, folder: str, entries: str = "*") -> DataFrame:
+    """Leaderboard entries: one row per submission and domain, with pass^1 to pass^4 and cost; ``entries`` is a glob of their folders."""
     domains = ("airline", "retail", "telecom", "banking_knowledge")
     one = "STRUCT<pass_1: DOUBLE, pass_2: DOUBLE, pass_3: DOUBLE, pass_4: DOUBLE, cost: DOUBLE>"
-    rows = spark.read.schema(f"model_name STRING, submitting_organization STRING, submission_date STRING, results STRUCT<{', '.join(f'{d}: {one}' for d in domains)}>").option("multiLine", True).json(f"{folder.rstrip('/')}/*/submission.json")
+    rows = spark.read.schema(f"model_name STRING, submitting_organization STRING, submission_date STRING, results STRUCT<{', '.join(f'{d}: {one}' for d in domains)}>").option("multiLine", True).json(f"{folder.rstrip('/')}/{entries}/submission.json")
     each = F.explode(F.array(*[F.struct(F.lit(d).alias("domain"), F.col(f"results.{d}").alias("r")) for d in domains])).alias("d")
     return rows.select("model_name", "submitting_organization", "submission_date", each).select("model_name", "submitting_organization", "submission_date", "d.domain", "d.r.*").where("pass_1 is not null")
