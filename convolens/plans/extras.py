@@ -1,4 +1,7 @@
-"""Further registered queries: speech events, transcripts, lookups, breakdowns and reports on the driver's tables."""
+"""Further registered queries: speech events, transcripts, lookups, breakdowns and reports on the driver's tables.
+
+Names of statuses, severities, domains, modes and operators in these queries are fixed values: they are those of the data.
+"""
 
 from __future__ import annotations
 
@@ -89,7 +92,10 @@ def item_transcripts(spark, sf_dir):
     return transcripts.item_transcripts(_t(spark, sf_dir, "events").withColumn("pos", F.col("event_id")), ["user_id"], of("signup", "event_id"), of("error", "event_id"), of("view", "props"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, [event_type, json_extract_string(props, '$.k')[1:1]] AS ids, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+g AS (SELECT user_id, event_id, n, ids AS held, CAST(0 AS BIGINT) AS part FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.n, CASE WHEN list_has_any(g.held, e.ids) THEN list_distinct(list_concat(g.held, e.ids)) ELSE e.ids END, g.part + CASE WHEN list_has_any(g.held, e.ids) THEN 0 ELSE 1 END FROM g JOIN e ON e.user_id = g.user_id AND e.n = g.n + 1)
+SELECT user_id AS simulation_id, event_id AS pos, part FROM g""")
 def utterance_groups(spark, sf_dir):
     ids = F.array(F.col("event_type"), F.get_json_object("props", "$.k").substr(1, 1))
     chunks = _t(spark, sf_dir, "events").select(F.col("user_id").alias("simulation_id"), F.col("event_id").alias("pos"), ids.alias("ids"))

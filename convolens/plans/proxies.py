@@ -2,6 +2,8 @@
 
 Tasks are parts and trials their line items; simulations are orders; ticks are a user's events in
 time order, the user speaking in clicks and purchases, the agent in views and purchases.
+
+Names of statuses, severities, domains, modes and operators in these queries are fixed values: they are those of the data.
 """
 
 from __future__ import annotations
