@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from convolens.sources.scratch import stored
+
 #: fixed values: the columns of the table of events, and the metrics of the panel
 COLUMNS = ("event_category", "event_type", "is_error", "latency_sec", "llm", "domain", "speech_complexity", "provider", "simulation_id", "task_id", "event_time_sec", "event_tick", "transcript")
 GROUPS = ("llm", "domain", "speech_complexity", "provider")
@@ -171,8 +173,8 @@ def quality_events(ticks: DataFrame, simulations: DataFrame | None = None, windo
     """All events, in ``COLUMNS``. ``simulations`` (simulation_id, task_id, llm, domain, speech_complexity, provider) gives
     the metadata, of which any may be missing; without it they are the empty text."""
     w = windows
-    rows = observed(ticks)
-    stretches = user_stretches(rows)
+    rows = stored(observed(ticks), "observed")  # four kinds of stretches are made of it
+    stretches = stored(user_stretches(rows), "stretches")
     silent = stretches.where("not over_agent")
     parts = [_turns(stretches, w), _over_agent(stretches, w), _aside(silent.where("vocal_tic"), "vocal_tic", w.vocal_tic_response, w), _aside(silent.where("non_directed and not vocal_tic"), "non_directed", w.non_directed_response, w)]
     for name, stop, answer in (("vocal_tic", w.vocal_tic_yield, w.vocal_tic_response), ("non_directed", w.non_directed_yield, w.non_directed_response)):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN = "spark.convolens.tables.dir"
 
@@ -19,3 +19,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
         root = "file://" + tempfile.mkdtemp(prefix="convolens-")
         spark.conf.set(_OWN, root)
     return f"{root.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+
+
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written to the shared folder and read back, so that several steps do not each make them again."""
+    path = shared_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
