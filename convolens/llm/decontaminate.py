@@ -6,7 +6,9 @@ once, as a stream of word numbers, and looks up all of its windows in it. A hash
 after the words themselves compare equal.
 
 The hash set is broadcast only while it holds at most ``max_windows`` windows. A larger benchmark is
-split into blocks by item, each block is scanned in a pass of its own, and the passes are combined.
+split into blocks by item, and each block is scanned in a pass of its own: a pass is a job that writes
+the rows with hits, so that no plan holds two scans and a worker never holds two sets. The written hits
+are gathered by row; what a row gathers is bounded by its words and the items found in it.
 
 Defined cases: a null or empty text has no words and is not contaminated. A very long text is scanned
 whole. An empty table of documents gives no rows, one of items no hits. An empty id is listed like any other. An item without words
@@ -18,18 +20,21 @@ document rows each get their own result row. Extra columns are carried along by
 
 from __future__ import annotations
 
+import itertools
 import re
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
-from convolens.llm.common import mix64, other_columns, polynomial, row_columns
+from convolens.llm.common import materialize, mix64, other_columns, polynomial, row_columns
 
 WINDOW = 10
 #: Windows of one broadcast. A window costs about 210 bytes in a worker, and 510 while its set is built.
@@ -152,21 +157,29 @@ def item_blocks(items: DataFrame, window: int, max_windows: int) -> list[list]:
     return ([tuple(r) for r in sized.where(block == k).collect()] for k in range(2 * n_blocks))
 
 
+def scan_all(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
+    """``docs`` (_row, text) with the columns of HIT_FIELDS for all items."""
+    blocks = (block for block in item_blocks(items, window, max_windows) if block)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        return _scan(docs, first, window)
+    numbered = materialize(docs.withColumn("_id", F.monotonically_increasing_id()), "numbered-documents")
+    passes: list[DataFrame] = []
+    for block in itertools.chain((first, second), blocks):
+        scanned = _scan(numbered.select("_id", "text"), block, window).drop("text")
+        passes.append(materialize(scanned.where("n_hit > 0") if passes else scanned, "window-hits"))
+    distinct = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    found = reduce(DataFrame.union, passes).groupBy("_id").agg(F.max("n_words").alias("n_words"), distinct("hits"), distinct("items"))
+    return numbered.join(found, "_id").select("_row", "text", "n_words", F.size("hits").cast("long").alias("n_hit"), "hits", "items")
+
+
 def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """One row per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     ``hits`` (positions of hit words) and ``items`` (ids found, sorted as strings) follow.
     """
-    found = docs.select("doc_id", "text", F.lit(0).cast("long").alias("_words"), F.array().cast("array<int>").alias("_hits"), F.array().cast("array<string>").alias("_items"))
-    for block in item_blocks(items, window, max_windows):
-        found = _scan(found, block, window).select(
-            "doc_id",
-            "text",
-            F.col("n_words").alias("_words"),
-            F.array_union("_hits", "hits").alias("_hits"),
-            F.array_union("_items", "items").alias("_items"),
-        )
-    found = found.select("doc_id", F.col("_words").alias("n_words"), F.size("_hits").cast("long").alias("n_hit"), F.array_sort("_hits").alias("hits"), F.array_sort("_items").alias("items"))
+    found = scan_all(docs.select(F.struct("doc_id").alias("_row"), "text"), items, window, max_windows)
+    found = found.select("_row.doc_id", "n_words", "n_hit", "hits", "items")
     return found.select(
         "doc_id",
         "n_words",
@@ -181,26 +194,22 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """The documents that no benchmark window occurs in, with all their columns."""
-    kept = docs.select(other_columns(docs), F.col("text"))
-    for block in item_blocks(items, window, max_windows):
-        kept = _scan(kept, block, window).where("n_hit = 0").select("_row", "text")
+    kept = scan_all(docs.select(other_columns(docs), F.col("text")), items, window, max_windows).where("n_hit = 0")
     return kept.select(*row_columns(docs.columns))
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """All documents, the hit words cut out of their texts (from a run's first word to its last)."""
-    kept = docs.select(other_columns(docs), F.col("text"))
-    for block in item_blocks(items, window, max_windows):
-        kept = _cut(_scan(kept, block, window)).select("_row", "text")
+    kept = _cut(scan_all(docs.select(other_columns(docs), F.col("text")), items, window, max_windows))
     return kept.select(*row_columns(docs.columns))
 
 
 def _cut(scanned: DataFrame) -> DataFrame:
     @F.pandas_udf("string")
     def cut(text, hits):
-        return text.combine(hits, cut_words)
+        return pd.Series([t if h is None or not len(h) else cut_words(t, h) for t, h in zip(text, hits)], dtype=object)
 
-    return scanned.withColumn("text", F.when(F.size("hits") > 0, cut("text", "hits")).otherwise(F.col("text")))
+    return scanned.withColumn("text", cut("text", "hits"))
 
 
 def cut_words(text: str, hits) -> str:

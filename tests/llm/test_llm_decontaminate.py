@@ -80,3 +80,17 @@ def test_an_empty_id_is_listed_and_a_null_one_is_not(spark):
     items = spark.createDataFrame([("", text), ("a", text), (None, text)], "item_id string, text string")
     row = decontaminate.find_contamination(table(spark, [(1, text)]), items, max_windows=2).first()
     assert row["n_items"] == 2 and row["items"] == ["", "a"]
+
+
+def test_many_passes_do_not_stack_and_agree_with_one(spark):
+    rows, _ = cases()
+    texts = [prose(seed, 60) for seed in range(100, 140)]
+    items = [(k, t) for k, t in enumerate(texts)] + [(50, texts[3][:200])]
+    rows += [(100 + k, f"start {t} end {texts[(k + 1) % 40]}") for k, t in enumerate(texts[:20])]
+    docs, bench = table(spark, rows), table(spark, items, ITEMS)
+    one, many = (decontaminate.find_contamination(docs, bench, max_windows=m) for m in (10**6, 700))
+    assert len([b for b in decontaminate.item_blocks(bench, 10, 700) if b]) >= 8
+    assert many._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 0  # the passes are written
+    assert ordered(tuple(r)[:6] for r in many.collect()) == ordered(tuple(r)[:6] for r in one.collect()) == ordered(expected(rows, items, 10))
+    cut_one, cut_many = (decontaminate.remove_spans(docs, bench, max_windows=m) for m in (10**6, 700))
+    assert ordered(tuple(r) for r in cut_one.collect()) == ordered(tuple(r) for r in cut_many.collect())
