@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__
-from convolens.plans import dialogues, evaluations, extras, proxies, reports  # noqa: F401
+from convolens.plans import dialogues, evaluations, extras, proxies, regrades, reports  # noqa: F401
 from conftest import DATA, compare
 
 
