@@ -6,15 +6,19 @@ once and makes postings of the asked ones.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from convolens.functions.text import tokens, valid_pattern
+from convolens.operators.nearest import ByWidth
 
 #: fixed values: the published parameters of BM25 in its Okapi form
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -79,18 +83,27 @@ MAX_QUERIES = 10_000
 def cosine_batch(vectors: DataFrame, queries: DataFrame, k: int, parts: int = 64) -> DataFrame:
     """(query_id, vec_id, score): the k nearest vectors of each query (query_id, query).
 
-    Queries are broadcast, after a check of their number. Each query's best are first found in ``parts``
-    parts of the vectors, so that no query's scores meet in one task.
+    Queries are broadcast, after a check of their number. Vectors are dealt into ``parts`` parts that find each
+    query's best of their own by blocked products (see ``nearest``), so that no query's scores meet in one task.
     """
     n = queries.count()
     if n > MAX_QUERIES:
         raise ValueError(f"{n} queries in one batch; at most {MAX_QUERIES} are broadcast")
-    scored = vectors.crossJoin(F.broadcast(queries)).select("query_id", "vec_id", cosine(F.col("embedding"), F.col("query")).alias("score"), F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias("_part"))
-    best = scored
-    for keys in (["query_id", "_part"], ["query_id"]):
-        order = Window.partitionBy(*keys).orderBy(F.desc("score"), "vec_id")
-        best = best.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k)
-    return best.select("query_id", "vec_id", "score")
+    asked = queries.select("query_id", "query")
+    shared = queries.sparkSession.sparkContext.broadcast(asked.toArrow())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, kind = ByWidth(shared.value, k), None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            best.add(batch)
+        if kind is not None:
+            yield from best.batches(kind, ["query_id", "vec_id", "score"])
+
+    kinds = StructType([asked.schema["query_id"], StructField("vec_id", vectors.schema["vec_id"].dataType), StructField("score", DoubleType())])
+    scored = vectors.select("vec_id", "embedding").repartition(parts, "vec_id").mapInArrow(run, kinds)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return scored.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).select("query_id", "vec_id", "score")
 
 
 def cosine_batches(vectors: DataFrame, queries: DataFrame, k: int, parts: int = 64) -> DataFrame:
