@@ -62,7 +62,7 @@ def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Nearest:
     """The ``k`` best vectors so far of every query, all queries of one width."""
 
-    def __init__(self, queries: np.ndarray, k: int, odd: np.ndarray | None = None):
+    def __init__(self, queries: np.ndarray, k: int, odd: np.ndarray | None = None, least: np.ndarray | None = None):
         self.queries, self.k, n = queries, k, len(queries)
         self.odd = np.zeros(n, bool) if odd is None else odd
         self.norms = np.sqrt(dots(queries, queries))
@@ -71,8 +71,8 @@ class Nearest:
         self.score, self.held = np.full((n, k), -np.inf), np.zeros((n, k), bool)
         self.ids: np.ndarray | None = None
         self.known = np.zeros((n, k), bool)
-        #: a query's k-th score; nothing below it counts
-        self.least = np.full(n, -np.inf)
+        #: a query's k-th score, or one known before; nothing below it counts
+        self.least = np.full(n, -np.inf) if least is None else least.copy()
 
     def add(self, ids: pa.Array, vectors: np.ndarray, odd: np.ndarray | None = None, among: np.ndarray | None = None) -> None:
         """Meet vectors with all queries, or with those at the positions ``among``; ``odd`` ones have no cosine."""
@@ -137,7 +137,7 @@ class Nearest:
         to = rows[order], rank
         self.held[to], self.score[to], self.ids[to], self.known[to] = True, scores[order], values[order], flags[order]
         full = rank == self.k - 1
-        self.least[rows[order][full]] = key[order][full]
+        self.least[rows[order][full]] = np.maximum(self.least[rows[order][full]], key[order][full])
 
     def rows(self, kind: pa.DataType) -> tuple[np.ndarray, pa.Array, np.ndarray]:
         """(positions of queries, vec_ids, scores) of the best."""

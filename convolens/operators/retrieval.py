@@ -106,11 +106,8 @@ def cosine_batch(vectors: DataFrame, queries: DataFrame, k: int, parts: int = 64
     return scored.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).select("query_id", "vec_id", "score")
 
 
-def cosine_batches(vectors: DataFrame, queries: DataFrame, k: int, parts: int = 64) -> DataFrame:
-    """``cosine_batch`` for any number of queries: dealt by a hash into blocks that each fit one batch.
-
-    Rows of one query_id are ranked together again after the blocks.
-    """
+def query_blocks(queries: DataFrame) -> list[DataFrame]:
+    """Queries (query_id, query) in blocks of at most ``MAX_QUERIES`` rows, dealt by a hash."""
     blocks = 1
     same = Window.partitionBy("query_id", "query").orderBy("query_id")
     rows = queries.select("query_id", "query", F.row_number().over(same).alias("_copy"))  # equal rows are dealt apart
@@ -120,9 +117,18 @@ def cosine_batches(vectors: DataFrame, queries: DataFrame, k: int, parts: int =
         if most <= MAX_QUERIES:
             break
         blocks = max(blocks + 1, blocks * most // MAX_QUERIES)
-    if blocks == 1:
-        return cosine_batch(vectors, queries, k, parts)
-    every = reduce(DataFrame.unionByName, [cosine_batch(vectors, dealt.where(F.col("_block") == b), k, parts) for b in range(blocks)])
+    return [queries] if blocks == 1 else [dealt.where(F.col("_block") == b) for b in range(blocks)]
+
+
+def cosine_batches(vectors: DataFrame, queries: DataFrame, k: int, parts: int = 64) -> DataFrame:
+    """``cosine_batch`` for any number of queries: dealt by a hash into blocks that each fit one batch.
+
+    Rows of one query_id are ranked together again after the blocks.
+    """
+    blocks = query_blocks(queries)
+    if len(blocks) == 1:
+        return cosine_batch(vectors, blocks[0], k, parts)
+    every = reduce(DataFrame.unionByName, [cosine_batch(vectors, block, k, parts) for block in blocks])
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return every.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")
 

@@ -1,7 +1,7 @@
 """An index of vectors in coarse cells, for exact top-k search by cosine that reads few of them.
 
-Centroids come from a bounded sample (``SAMPLE`` vectors by the hash of their id); every vector is stored, in the folder of
-its nearest centroid's cell and in order of its angle to it. A cell knows its greatest angle. By the triangle
+Centroids come from a bounded sample (``SAMPLE`` vectors by the hash of their id); every vector is stored in order of
+its nearest centroid's cell and of its angle to that, by ranges, so that neither a small cell nor a crowded one is a file. A cell knows its greatest angle. By the triangle
 inequality of angles a query at angle a from a centroid is at least a - r from all of a cell of radius r, and at least
 |a - b| from a vector at b. So a search first scores the most promising cells that hold k vectors, and then only the
 cells, and of them the stretches of angles, that can still hold a better one. Results equal a full scan; how much is read depends
@@ -17,15 +17,17 @@ import json
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import DataType, DoubleType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
-from convolens.operators.retrieval import cosine
+from convolens.operators.nearest import Nearest, matrix
+from convolens.operators.retrieval import cosine, query_blocks
 from convolens.sources.scratch import shared_path
 
 SAMPLE, MOST_CELLS, ROUNDS = 20_000, 2048, 8
@@ -51,6 +53,10 @@ def centroids_of(sample: np.ndarray, cells: int) -> np.ndarray:
     return centroids
 
 
+def _column(table: pa.Table, name: str) -> pa.Array:
+    return pa.concat_arrays(table[name].chunks) if table.num_rows else pa.array([], table.schema.field(name).type)
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.array(column.to_pylist(), float)
 
@@ -89,7 +95,7 @@ class VectorIndex:
         kind = StructType([*rows.schema.fields, StructField("angle", DoubleType()), StructField("cell", IntegerType())])
         lone = rows.where(~F.coalesce(length > 0, F.lit(False))).select("*", F.lit(0.0).alias("angle"), F.lit(NO_LENGTH).alias("cell"))
         placed = usable.mapInArrow(place, kind).unionByName(lone)
-        placed.repartition("cell", F.pmod(F.xxhash64("vec_id"), F.lit(8))).sortWithinPartitions("cell", "angle").write.partitionBy("cell").parquet(f"{path}/vectors")
+        placed.repartitionByRange("cell", "angle", "vec_id").sortWithinPartitions("cell", "angle").write.parquet(f"{path}/vectors")
         head = [(k, [float(x) for x in c], None) for k, c in enumerate(centroids)] + [(None, None, kind.json())]
         spark.createDataFrame(head, "cell int, centroid array<double>, vectors string").coalesce(1).write.parquet(f"{path}/cells")
         return cls.load(spark, path)
@@ -148,48 +154,84 @@ class VectorIndex:
         further = rows.select("vec_id", cosine(F.col("embedding"), F.array(*map(F.lit, query))).alias("score"))
         return best(kept.unionByName(further)), int(self.counts[first].sum() + self.counts[more].sum())
 
-    def batch(self, queries: DataFrame, k: int, parts: int = 16) -> DataFrame:
-        """(query_id, vec_id, score): the ``k`` nearest of each query (query_id, query), by two joins on cells.
-
-        Queries are dealt to cells, never sent whole to all vectors; a query's candidates are ranked in ``parts`` parts first.
+    def _wanted(self, queries: np.ndarray, reach: np.ndarray | None, k: int) -> np.ndarray:
+        """Which cells (columns) each query (rows) is to meet: the nearest that hold ``k`` vectors, or all others within ``reach``."""
+        out = np.zeros((len(queries), len(self.cells)), bool)
+        for start in range(0, len(queries) if len(self.cells) else 0, 512):
+            some = slice(start, start + 512)
+            norms = np.linalg.norm(queries[some], axis=1)
+            at = np.arccos(np.clip(_unit(queries[some]) @ self.centroids.T, -1, 1))
+            at[:, self.cells == NO_LENGTH] = math.pi / 2
+            at[norms == 0] = math.pi / 2
+            first = np.zeros(at.shape, bool)
+            nearest = at.argmin(axis=1)
+            first[np.arange(len(at)), nearest] = True
+            few = np.flatnonzero(self.counts[nearest] < k)
+            order = np.argsort(at[few], axis=1, kind="stable")
+            upto = np.cumsum(self.counts[order], axis=1) - self.counts[order]
+            first[few[:, None], order] = upto < k
+            if reach is not None:
+                near = np.where((self.cells == NO_LENGTH) | (norms == 0)[:, None], math.pi / 2, at - self.radius)
+                first = ~first & (near <= reach[some][:, None] + SLACK)
+            out[some] = first
+        return out
+
+    def _met(self, asked: pa.Table, kind_of_query: DataType, k: int, reach: np.ndarray | None = None) -> DataFrame:
+        """(at, query_id, vec_id, score): the best ``k`` that tasks find for each query, in the cells that ``_wanted`` names.
+
+        With ``reach`` known, what lies beyond it is left out; ``at`` is the query's place in ``asked``.
         """
-        shared = queries.sparkSession.sparkContext.broadcast(self)
-        kind = StructType([*queries.select("query_id", "query").schema.fields, StructField("reach", DoubleType()), StructField("cell", IntegerType())])
-
-        def deal(further: bool):
-            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                index = shared.value
-                for batch in batches:
-                    out: list[tuple] = []
-                    for query_id, query, reach in zip(*(c.to_pylist() for c in batch.columns)):
-                        _, near = index._nearest_angles(np.array(query, float))
-                        first = index._first(near, k)
-                        chosen = first if not further else [p for p in np.flatnonzero(near <= (math.pi if reach is None else reach + SLACK)) if p not in set(first.tolist())]
-                        out += [(query_id, query, reach, int(index.cells[p])) for p in chosen]
-                    columns = list(zip(*out)) or [[]] * 4
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.schema.field(0).type, batch.schema.field(1).type, pa.float64(), pa.int32()))], names=["query_id", "query", "reach", "cell"])
-
-            return run
-
-        def nearest(scored: DataFrame) -> DataFrame:
-            best = scored.withColumn("_part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)))
-            for keys in (["query_id", "_part"], ["query_id"]):
-                best = best.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "vec_id"))).where(F.col("_n") <= k)
-            return best.select("query_id", "vec_id", "score")
-
-        def scored(asked: DataFrame, further: bool) -> DataFrame:
-            dealt = asked.select("query_id", "query", "reach").mapInArrow(deal(further), kind)
-            return dealt.join(self.vectors, "cell").select("query_id", "vec_id", cosine(F.col("embedding"), F.col("query")).alias("score"))
-
-        asked = queries.select("query_id", "query", F.lit(None).cast("double").alias("reach"))
-        found = nearest(scored(asked, False))
-        path = shared_path(queries.sparkSession, "nearest")
+        spark = self.vectors.sparkSession
+        width = self.centroids.shape[1]
+        rows, odd = matrix(_column(asked, "query"), width)
+        least = None if reach is None else np.cos(np.minimum(reach + SLACK, math.pi))
+        shared = spark.sparkContext.broadcast((self, _column(asked, "query_id"), rows, odd, reach, least))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index, names, queries, odd, reach, least = shared.value
+            best, kind, wanted = Nearest(queries, k, odd, least), None, None
+            for batch in batches:
+                kind = batch.schema.field(0).type
+                if wanted is None:
+                    wanted = index._wanted(queries, reach, k)
+                vectors, without = matrix(batch.column(1), width)
+                homes = batch.column(2).to_numpy(zero_copy_only=False)
+                for cell in np.unique(homes):
+                    at = np.flatnonzero(homes == cell)
+                    among = np.flatnonzero(wanted[:, np.searchsorted(index.cells, cell)])
+                    best.add(batch.column(0).take(pa.array(at)), vectors[at], without[at], among)
+            if kind is not None:
+                at, ids, scores = best.rows(kind)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), names.take(pa.array(at)), ids, pa.array(scores)], names=["at", "query_id", "vec_id", "score"])
+
+        kinds = StructType([StructField("at", IntegerType()), StructField("query_id", kind_of_query), self.vectors.schema["vec_id"], StructField("score", DoubleType())])
+        return self.vectors.select("vec_id", "embedding", "cell").mapInArrow(run, kinds)
+
+    def _batch(self, queries: DataFrame, k: int) -> DataFrame:
+        """``batch`` for at most ``MAX_QUERIES`` queries, which are broadcast."""
+        spark = queries.sparkSession
+        asked = queries.select("query_id", "query").toArrow()
+        order = Window.partitionBy("at").orderBy(F.desc("score"), "vec_id")
+        kind = queries.schema["query_id"].dataType
+        found = self._met(asked, kind, k).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")
+        path = shared_path(spark, "nearest")
         found.write.parquet(path)
-        found = queries.sparkSession.read.schema(found.schema).parquet(path)
-        worst = found.groupBy("query_id").agg(F.count("*").alias("_n"), F.min("score").alias("_worst"))
-        reach: Column = F.when(F.col("_n") >= k, F.acos(F.least(F.greatest("_worst", F.lit(-1.0)), F.lit(1.0))))
-        again = queries.join(worst, "query_id", "left").select("query_id", "query", reach.alias("reach"))
-        return nearest(found.unionByName(scored(again, True)))
+        found = spark.read.schema(found.schema).parquet(path)
+        reach = np.full(asked.num_rows, math.pi)
+        for row in found.groupBy("at").agg(F.count("*").alias("n"), F.min("score").alias("worst")).where(F.col("n") >= k).collect():  # a row for a query
+            reach[row["at"]] = math.acos(max(-1.0, min(1.0, row["worst"])))
+        return found.unionByName(self._met(asked, kind, k, reach)).select("query_id", "vec_id", "score")
+
+    def batch(self, queries: DataFrame, k: int) -> DataFrame:
+        """(query_id, vec_id, score): the ``k`` nearest of each query (query_id, query), ties to the smaller vec_id.
+
+        Queries go to the tasks in blocks of at most ``MAX_QUERIES``, twice: to the cells that may hold the best, and with the
+        score of the k-th of these to the other cells within its reach. A task makes products of a cell's vectors and the
+        queries that want the cell (see ``nearest``) and passes on a query's best ``k``, not a row for each pair.
+        """
+        found = [self._batch(block, k) for block in query_blocks(queries)]
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return reduce(DataFrame.unionByName, found).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")
 
     def __getstate__(self):
         """What tasks need: the cells, not the table."""

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from convolens.operators import nearest, retrieval
+from convolens.operators import nearest, retrieval, vector_index
 
 
 def scan(vectors, queries, k):
@@ -51,3 +51,18 @@ def test_work_of_one_task_is_products():
     assert (best.ids[:, 0] == np.arange(0, 20_000, 20)).all()
     scores = (vectors[:200:20] @ vectors.T) / np.outer(*(np.linalg.norm(x, axis=1) for x in (vectors[:200:20], vectors)))
     assert np.allclose(best.score[:10], -np.sort(-scores, axis=1)[:, :3])
+
+
+def test_indexed_batch_equals_a_scan(spark, monkeypatch, tmp_path):
+    """Blocks of queries, ties among copies, a crowded cell, rows without length; no row for each pair, no file for each cell."""
+    rng = np.random.default_rng(4)
+    rows = [(k, [float(x) for x in rng.normal(size=5)]) for k in range(700)]
+    rows += [(1000 + k, rows[k % 9][1]) for k in range(200)] + [(2000 + k, [0.0] * 5) for k in range(4)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = vectors.where("vec_id % 40 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    monkeypatch.setattr(retrieval, "MAX_QUERIES", 15)
+    index = vector_index.VectorIndex.build(vectors, str(tmp_path / "index"))
+    got = index.batch(asked, 6)
+    assert sorted(map(repr, got.collect())) == scan(vectors, asked, 6)
+    assert "Join" not in got._jdf.queryExecution().toString()
+    assert len(index.vectors.inputFiles()) <= 4 < len(index.cells)
