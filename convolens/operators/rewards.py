@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import VariantType
 
-from convolens.functions.text import canonical, said
+from convolens.functions.text import said
 from convolens.functions.variants import argument_map
 
 
@@ -25,17 +25,25 @@ def _argument_texts(rows: DataFrame) -> DataFrame:
     return rows.withColumn("arguments", argument_map(F.col("arguments"))) if isinstance(rows.schema["arguments"].dataType, VariantType) else rows
 
 
+#: Gold actions and calls of one task; actions and calls of one simulation and name stay together.
+ROWS_OF_A_TASK = 250_000
+
+
 def match_actions(gold: DataFrame, calls: DataFrame) -> DataFrame:
     """Gold actions (simulation_id, action_id, name, arguments, compare_args) with ``matched``.
 
     A mark join: an action is matched if any call of its simulation has its name and arguments. Arguments
     are VARIANT objects, compared by typed values, or maps of texts. Calls that no action names go first.
+    Both sides are counted and dealt once, by simulation and name, into parts of about ``ROWS_OF_A_TASK`` rows, so that a
+    task's sorts and hash tables do not grow with the tables; equal calls are told by their sorted entries.
     """
-    named = gold.select("simulation_id", "name").distinct()
-    asked = _argument_texts(calls.select("simulation_id", "name", "arguments").join(named, ["simulation_id", "name"], "left_semi"))
-    made = asked.select("simulation_id", "name", F.col("arguments").alias("_made"), canonical(F.col("arguments")).alias("_key")).dropDuplicates(["simulation_id", "name", "_key"])
-    joined = _argument_texts(gold).join(made, ["simulation_id", "name"], "left")
-    hit = F.col("_key").isNotNull() & arguments_match(F.col("arguments"), F.col("_made"), F.col("compare_args"))
+    keys = ["simulation_id", "name"]
+    parts = max(gold.sparkSession.sparkContext.defaultParallelism, -(-(gold.count() + calls.count()) // ROWS_OF_A_TASK))
+    wanted = gold.select(*keys, "action_id", "arguments", "compare_args").repartition(parts, *keys)
+    asked = calls.select(*keys, "arguments").repartition(parts, *keys).join(wanted.select(*keys), keys, "left_semi")
+    made = _argument_texts(asked).select(*keys, F.array_sort(F.map_entries("arguments")).alias("_made")).distinct()
+    joined = _argument_texts(wanted).join(made, keys, "left")
+    hit = F.col("_made").isNotNull() & arguments_match(F.col("arguments"), F.map_from_entries("_made"), F.col("compare_args"))
     return joined.groupBy("simulation_id", "action_id", "name").agg(F.bool_or(F.coalesce(hit, F.lit(False))).alias("matched"))
 
 

@@ -322,3 +322,15 @@ def test_windows_are_whole_ticks_and_open_intervals_meet_later_ones(spark):
     left = spark.createDataFrame([(1, 1, 0, None), (1, 2, 5, 6)], "g int, id int, start long, end long")
     right = spark.createDataFrame([(1, 7, 10**9, 10**9 + 5), (1, 8, 5, None)], "g int, id int, start long, end long")
     assert rows(intervals.overlaps(left, right, "g", 10).select("left_id", "right_id"), "left_id", "right_id") == [(1, 7), (1, 8), (2, 8)]
+
+
+def test_actions_are_dealt_by_their_number(spark, monkeypatch):
+    """A task's share of actions and calls is bounded, and nothing is sorted to tell equal calls."""
+    monkeypatch.setattr(rewards, "ROWS_OF_A_TASK", 10)
+    gold = spark.range(100).selectExpr("id AS simulation_id", "id AS action_id", "'f' AS name", "map('a', string(id % 3), 'b', null) AS arguments", "cast(null AS array<string>) AS compare_args")
+    calls = spark.range(400).selectExpr("id % 100 AS simulation_id", "'f' AS name", "CASE WHEN id % 7 > 0 THEN map('b', null, 'a', string(id % 2)) END AS arguments")
+    got = rewards.match_actions(gold, calls)
+    wanted = {s: any((s + 100 * j) % 7 and str((s + 100 * j) % 2) == str(s % 3) for j in range(4)) for s in range(100)}
+    assert {r["simulation_id"]: r["matched"] for r in got.collect()} == wanted and {True, False} == set(wanted.values())
+    plan = got._jdf.queryExecution().toString()
+    assert "(simulation_id" in plan and ", 50)" in plan and "SortAggregate" not in plan
