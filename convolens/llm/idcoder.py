@@ -5,8 +5,8 @@ id that followed the last one (order 1), and an order-0 distribution over all id
 predictions get the front of the coder's range, each a share whose width follows how often it was
 right lately at its confidence (one share, if they agree); order 0 gets the rest. A chunk begins with
 what its blocks start from, its ``Prior``: the ids' frequencies in the chunk, and the followers that its ids
-and pairs of ids have most often. A block adapts from there: classes of ids by what came, followers by its
-own. Each id is one step of a carry-less range coder with 64-bit bounds that puts out 32-bit words.
+and pairs of ids have most often. A block adapts from there, after every ``SEGMENT`` ids: classes of ids by
+what came, followers by its own. Each id is one step of a range coder with 64-bit bounds that puts out 32-bit words and carries into them.
 
 Every block starts from the same state, so blocks are coded side by side: a step codes one id
 of every block of a chunk, on arrays. A chunk holds whole documents and is self-contained:
@@ -14,7 +14,7 @@ of every block of a chunk, on arrays. A chunk holds whole documents and is self-
     magic, version, block length, vocabulary size, number of documents, of ids and of blocks
     doc_ids as int64 (a null is the least int64), document lengths in ids as uint64
     length of the packed prior, and the prior
-    per block: number of 32-bit words, crc32 of its ids
+    per block: number of 32-bit words, crc32 of its ids (the last block is filled up by its last id)
     the words of all blocks, in order
 
 Numbers are little-endian. A wrong checksum raises ``ValueError`` when read.
@@ -24,12 +24,11 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 
 MAGIC = b"CVID"
-VERSION = 3
+VERSION = 4
 HEADER = struct.Struct("<4sBIIQQQ")
 #: Most blocks that are coded side by side, and the least length of a block (the last may be shorter).
 LANES = 1024
@@ -38,6 +37,8 @@ NULL_ID = -(2**63)
 CLASSES = 64
 #: Slots of a block's order-1 and order-2 tables.
 SLOTS = 1024
+#: What a block has learned is put to use after so many of its ids; a divisor of REFRESH.
+SEGMENT = 16
 #: Order-0 probabilities are recomputed after so many ids, on a scale of 2**25.
 REFRESH = 64
 SCALE = 1 << 25
@@ -49,7 +50,6 @@ CLASS_START, CLASS_STEP = 150, 24
 PAIR_SLOTS = 1 << 13
 LEAST_FOLLOWED = 16
 _ONES = np.uint64(0xFFFFFFFF)
-_WIDE = np.uint64(1 << 32)
 _HALF = np.uint64(32)
 
 
@@ -58,13 +58,17 @@ def _followers(contexts: np.ndarray, ids: np.ndarray, size: int, vocabulary: int
     out = np.full(size, -4, np.int32)
     if not len(ids):
         return out
-    pairs, counts = np.unique(contexts * vocabulary + ids, return_counts=True)
+    pairs = np.sort((contexts * vocabulary + ids).astype(np.uint32 if size * vocabulary < 2**32 else np.int64))
+    at = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1], [True])))
+    counts, pairs = np.diff(at), pairs[at[:-1]].astype(np.int64)
+    often = counts >= LEAST_FOLLOWED
+    counts, pairs = counts[often], pairs[often]
+    if not len(pairs):
+        return out
     context = pairs // vocabulary
-    total = np.bincount(context, counts, size)
     order = np.lexsort((counts, context))
     last = order[np.flatnonzero(np.concatenate((context[order][1:] != context[order][:-1], [True])))]
-    last = last[counts[last] >= LEAST_FOLLOWED]
-    share = counts[last] / total[context[last]]
+    share = counts[last] / np.bincount(contexts, minlength=size)[context[last]]
     good = share >= 0.1
     out[context[last][good]] = (pairs[last] % vocabulary * 4 + 1 + (share > 0.35) + (share > 0.7))[good]
     return out
@@ -78,7 +82,7 @@ class Prior:
     """What the blocks of a chunk start from, of plain arrays that a chunk carries."""
 
     def __init__(self, levels: np.ndarray, follows: np.ndarray, follows_two: np.ndarray):
-        self.levels, self.primed = levels, (follows, follows_two)
+        self.levels, self.primed = levels, np.concatenate((follows, follows_two))
         # level b > 0 stands for 2 ** ((b - 1) / 8) occurrences; a quarter of them is weight enough
         self.weight = np.where(levels > 0, np.ceil(2.0 ** ((levels.astype(np.float64) - 1) / 8) / 4), 0).astype(np.int64)
         self.upto = np.concatenate(([0], np.cumsum(self.weight)))
@@ -86,6 +90,10 @@ class Prior:
         self.starts = np.concatenate(([0], np.minimum(bounds, len(levels)), [len(levels)]))
         self.class_weight = self.upto[self.starts[1:]] - self.upto[self.starts[:-1]]
         self.class_of = np.repeat(np.arange(CLASSES), np.diff(self.starts))
+        self.base = self.upto[self.starts[:-1]]
+        self.within = (self.upto[:-1] - self.base[self.class_of]).astype(np.int32)
+        self.small_weight = self.weight.astype(np.int32)
+        self.id_at = np.repeat(np.arange(len(levels), dtype=np.int32), self.weight)
 
     @classmethod
     def of(cls, ids: np.ndarray, vocabulary: int) -> Prior:
@@ -96,7 +104,7 @@ class Prior:
         return cls(levels, _followers(ids[:-1], ids[1:], vocabulary, vocabulary), _followers(slots, ids[2:], PAIR_SLOTS, vocabulary))
 
     def packed(self) -> bytes:
-        return zlib.compress(b"".join([self.levels.tobytes(), *(x.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes() for x in self.primed)]), 6)
+        return zlib.compress(b"".join([self.levels.tobytes(), *(x.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes() for x in np.split(self.primed, [len(self.levels)]))]), 6)
 
     @classmethod
     def unpacked(cls, data: bytes, vocabulary: int) -> Prior:
@@ -107,117 +115,127 @@ class Prior:
         if len(raw) != 5 * vocabulary + 4 * PAIR_SLOTS:
             raise ValueError("a chunk's prior is damaged")
         parts = np.split(raw, (vocabulary, 5 * vocabulary))
-        return cls(parts[0], *(np.ascontiguousarray(x.reshape(4, -1).T).view("<i4").reshape(-1) for x in parts[1:]))
+        primed = [np.ascontiguousarray(x.reshape(4, -1).T).view("<i4").reshape(-1) for x in parts[1:]]
+        if not parts[0].any() or any(x.max() >= 4 * vocabulary for x in primed):
+            raise ValueError("a chunk's prior is damaged")
+        return cls(parts[0], *primed)
 
 
 class Model:
-    """The predictions for one id of every lane, and their update."""
+    """The predictions for ids of every lane, and their update.
+
+    What is learned changes after every ``SEGMENT`` ids of a lane: inside a segment predictions are read from
+    arrays that stand still, so that the encoder makes those of a segment at once and the decoder one by one.
+    """
 
     def __init__(self, lanes: int, prior: Prior):
-        self.lanes, self.prior = np.arange(lanes), prior
-        self.n = lanes
-        self.counts = np.full((CLASSES, lanes), CLASS_START, np.int64)
+        self.lanes, self.prior, self.n = np.arange(lanes), prior, lanes
+        self.counts = np.full(CLASSES * lanes, CLASS_START, np.int64)
         # a slot holds 4 * id + confidence (0: nothing yet); small tables stay in a core's cache
-        self.tables = [np.full(lanes * SLOTS, -4, np.int32) for _ in range(2)]
-        self.right = [np.tile(np.array([0.0, 8, 16, 32]), (lanes, 1)).reshape(-1) for _ in range(2)]
-        self.wrong = [np.tile(np.array([1.0, 16, 8, 2]), (lanes, 1)).reshape(-1) for _ in range(2)]
-        self.row, self.sure_row = self.lanes * SLOTS, self.lanes * 4
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.table = np.full(2 * lanes * SLOTS, -4, np.int32)
+        self.right = np.tile(np.array([0.0, 8, 16, 32]), 2 * lanes)
+        self.wrong = np.tile(np.array([1.0, 16, 8, 2]), 2 * lanes)
+        both = np.arange(2 * lanes).reshape(2, lanes)
+        self.row, self.sure_row = both * SLOTS, both * 4
+        self.class_row, self.eighths = self.lanes * CLASSES, self.lanes * 8
         self.step = 0
         self._refresh()
 
     def _refresh(self) -> None:
-        weight = self.prior.class_weight[:, None]
-        each = np.maximum(1, (self.counts * (SCALE / self.counts.sum(axis=0)) / np.maximum(1, weight)).astype(np.int64))
-        mass = each * weight
-        upto = np.cumsum(mass, axis=0)
-        below = upto - mass
-        self.each, self.below, self.coarse, self.total = each.reshape(-1), below.reshape(-1), below[8::8], upto[-1]
-
-    def predict(self) -> None:
-        """Places, ids and spikes of the two context predictions."""
-        if self.step and self.step % REFRESH == 0:
-            self._refresh()
-        one = self.last * 40503
-        two = (one + self.before * 30011) & 0xFFFFFFF
-        self.at = [self.row + (one >> 5) % SLOTS, self.row + (two >> 5) % SLOTS]
-        primed = (self.last, _pair_slot(self.before, self.last))
-        self.known, spikes = [], []
-        for k in range(2):
-            entry = self.tables[k].take(self.at[k])
-            entry = np.where(entry < 0, self.prior.primed[k].take(primed[k]), entry).astype(np.int64)
-            sure = entry & 3
-            state = self.sure_row + sure
-            right, wrong = self.right[k].take(state), self.wrong[k].take(state)
-            # the same floating-point operations give the same bits when decoding
-            spike = np.minimum(self.total * (right / wrong), HEAVIEST).astype(np.int64) * (sure > 0)
-            self.known.append((entry, entry >> 2, sure, state, right, wrong))
-            spikes.append(spike)
-        agree = self.known[0][1] == self.known[1][1]
-        self.first = spikes[0] + spikes[1] * agree
-        self.second = spikes[1] * ~agree
-        self.front = self.first + self.second
-        self.sum = self.total + self.front
-
-    def order0(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(mass, mass below) of ids in the order-0 distribution."""
+        if self.step % REFRESH == 0:
+            counts, weight = self.counts.reshape(self.n, CLASSES), self.prior.class_weight
+            each = np.maximum(1, (counts * (SCALE / counts.sum(axis=1, keepdims=True)) / np.maximum(1, weight)).astype(np.int64))
+            mass = each * weight
+            upto = np.cumsum(mass, axis=1)
+            below = upto - mass
+            self.each, self.total = each.astype(np.int32).reshape(-1), np.ascontiguousarray(upto[:, -1])
+            self.below = below.astype(np.uint32).reshape(-1)
+            self.coarse, self.fine = np.ascontiguousarray(self.below.reshape(-1, CLASSES)[:, 8::8].T), self.below.reshape(-1, 8)
+            self.total_of_state = np.tile(np.repeat(self.total, 4), 2)
+        # the same floating-point operations give the same bits when decoding
+        self.spikes = np.minimum(self.total_of_state * (self.right / self.wrong), HEAVIEST).astype(np.int64)
+        self.spikes[::4] = 0
+
+    def predict(self, last: np.ndarray, before: np.ndarray) -> tuple[tuple, np.ndarray, np.ndarray]:
+        """((place, entry, state, id) of the order-1 and the order-2 prediction, share of the first, of the second).
+
+        ``last`` and ``before`` are the ids before, rows of lanes by time or one row.
+        """
+        slots = np.empty((*last.shape[:-1], 2, self.n), np.int64)
+        primed = np.empty_like(slots)
+        one, two = slots[..., 0, :], slots[..., 1, :]
+        np.multiply(last, 40503, out=one)
+        np.add(one, before * 30011, out=two)
+        primed[..., 0, :] = last
+        primed[..., 1, :] = ((two >> 3) & (PAIR_SLOTS - 1)) + len(self.prior.levels)
+        slots >>= 5
+        slots &= SLOTS - 1
+        slots += self.row
+        entry = self.table.take(slots)
+        entry = np.where(entry < 0, self.prior.primed.take(primed), entry)
+        state = self.sure_row + (entry & 3)
+        guess, spikes = entry >> 2, self.spikes.take(state)
+        agree = guess[..., 0, :] == guess[..., 1, :]
+        second = spikes[..., 1, :]
+        return (slots, entry, state, guess), spikes[..., 0, :] + second * agree, second * ~agree
+
+    def interval(self, ids: np.ndarray, known: tuple, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(mass, mass below) of ids in the whole range, and the range."""
+        prior = self.prior
+        place = prior.class_of.take(ids) + self.class_row
+        each = self.each.take(place).astype(np.int64)
+        mass, low = each * prior.small_weight.take(ids), self.below.take(place) + prior.within.take(ids) * each
+        front = first + second
+        one = (known[3][..., 0, :] == ids) & (first > 0)
+        two = (known[3][..., 1, :] == ids) & (second > 0) & ~one
+        return np.where(one, first, np.where(two, second, mass)), np.where(one, 0, np.where(two, first, low + front)), self.total + front
+
+    def find(self, v: np.ndarray, known: tuple, first: np.ndarray, front: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, mass, mass below): whose interval holds ``v``."""
         prior = self.prior
-        k = prior.class_of.take(ids)
-        place = k * self.n + self.lanes
+        u = np.maximum(v - front, 0)
+        small = u.astype(np.uint32)
+        eighth = np.add.reduce((self.coarse <= small).view(np.int8), 0, np.int8) + self.eighths
+        rows = self.fine.take(eighth, axis=0)
+        # bounds rise, so that their comparisons are bytes of one, then of zero
+        inner = np.bitwise_count((rows <= small[:, None]).view(np.uint64)[:, 0]) - 1
+        place = eighth * 8 + inner
+        start = rows.reshape(-1).take(self.eighths + inner)
         each = self.each.take(place)
-        return each * prior.weight.take(ids), self.below.take(place) + (prior.upto.take(ids) - prior.upto.take(prior.starts.take(k))) * each
+        base = prior.base.take(place & (CLASSES - 1))
+        # exact, as both numbers are far below 2**52
+        found = prior.id_at.take(base + ((small - start) / each).astype(np.int64), mode="clip")
+        each = each.astype(np.int64)
+        known_one, known_two = known[3]
+        one, two = v < first, v < front
+        ids = np.where(one, known_one, np.where(two, known_two, found)).astype(np.int64)
+        mass = np.where(one, first, np.where(two, front - first, prior.small_weight.take(found) * each))
+        return ids, mass, np.where(one, 0, np.where(two, first, start + prior.within.take(found) * each + front))
+
+    def update(self, ids: np.ndarray, known: tuple) -> None:
+        """Learn the ids that came in a segment, in rows by time; of a slot met twice the later entry stays."""
+        places = (self.prior.class_of.take(ids) + self.class_row).reshape(-1)
+        self.counts += CLASS_STEP * np.bincount(places, minlength=len(self.counts))
+        at, entry, state, guess = known
+        ids = ids[:, None, :].astype(np.int32)
+        hit, sure, state = guess == ids, entry & 3, state.reshape(-1)
+        came = np.bincount(state, minlength=len(self.right))
+        right = np.bincount(state[hit.reshape(-1)], minlength=len(self.right))
+        self.right += 2 * right
+        self.wrong += 2 * (came - right)
+        kept = np.where(hit, entry + (sure < 3), np.where(sure > 1, entry - 1, ids * 4 + 1))
+        self.table[at.reshape(-1)] = kept.reshape(-1)
+        self.step += len(ids)
+        self._refresh()
 
-    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(mass, mass below) of ids in the whole range."""
-        mass, low = self.order0(ids)
-        one = (self.known[0][1] == ids) & (self.first > 0)
-        two = (self.known[1][1] == ids) & (self.second > 0) & ~one
-        return np.where(one, self.first, np.where(two, self.second, mass)), np.where(one, 0, np.where(two, self.first, low + self.front))
 
-    def find(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, mass, mass below): whose interval holds ``v``."""
-        u = np.maximum(v - self.front, 0)
-        k = (self.coarse <= u).sum(axis=0) * 8
-        fine = self.below.take((k + np.arange(8)[:, None]) * self.n + self.lanes)
-        k += (fine <= u).sum(axis=0) - 1
-        place = k * self.n + self.lanes
-        each, start = self.each.take(place), self.below.take(place)
-        upto = self.prior.upto
-        base = upto.take(self.prior.starts.take(k))
-        found = np.minimum(np.searchsorted(upto, base + (u - start) // each, "right") - 1, len(self.prior.weight) - 1)
-        one, two = v < self.first, v < self.front
-        ids = np.where(one, self.known[0][1], np.where(two, self.known[1][1], found))
-        mass = np.where(one, self.first, np.where(two, self.second, self.prior.weight.take(found) * each))
-        return ids, mass, np.where(one, 0, np.where(two, self.first, start + (upto.take(found) - base) * each + self.front))
-
-    def update(self, ids: np.ndarray) -> None:
-        """Learn the ids that came."""
-        self.counts.reshape(-1)[self.prior.class_of.take(ids) * self.n + self.lanes] += CLASS_STEP
-        fresh = ids * 4 + 1
-        for k, (entry, guess, sure, state, right, wrong) in enumerate(self.known):
-            hit = guess == ids
-            self.right[k][state] = right + 2.0 * hit
-            self.wrong[k][state] = wrong + 2.0 * ~hit
-            kept = entry + (hit & (sure < 3)) - (~hit & (sure > 1))
-            self.tables[k][self.at[k]] = np.where(~hit & (sure <= 1), fresh, kept)
-        self.before, self.last = self.last, ids
-        self.step += 1
-
-
-def _settled(low: np.ndarray, span: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(lanes, top words) that go out, round by round, until every lane's range is wide again; changes both arrays."""
-    lanes = np.flatnonzero(span <= _WIDE)
+def _carry(words: np.ndarray, lanes: np.ndarray, at: np.ndarray) -> None:
+    """Add one to the words before ``at``, and to those before as long as they overflow."""
     while len(lanes):
-        own, wide = low[lanes], span[lanes]
-        same = (own ^ (own + (wide - np.uint64(1)))) >> _HALF == 0
-        narrow = ~same & (wide <= _ONES)
-        wide = np.where(narrow, _WIDE - (own & _ONES), wide)
-        out = same | narrow
-        lanes, own, wide = lanes[out], own[out], wide[out]
-        low[lanes] = own << _HALF
-        span[lanes] = np.minimum(wide, _ONES) << _HALF
-        yield lanes, own >> _HALF
-        lanes = lanes[span[lanes] <= _WIDE]
+        at = at - 1
+        words[lanes, at] += np.uint32(1)
+        over = words[lanes, at] == 0
+        lanes, at = lanes[over], at[over]
 
 
 def encode_blocks(rows: np.ndarray, prior: Prior) -> list[np.ndarray]:
@@ -226,20 +244,30 @@ def encode_blocks(rows: np.ndarray, prior: Prior) -> list[np.ndarray]:
     model = Model(lanes, prior)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
     words, used = np.zeros((lanes, length + 3), np.uint32), np.zeros(lanes, np.int64)
-    columns = np.ascontiguousarray(rows.T).astype(np.int64)
-    for t in range(length):
-        ids = columns[t]
-        model.predict()
-        mass, below = model.interval(ids)
-        unit = span // model.sum.astype(np.uint64)
-        low = low + unit * below.astype(np.uint64)
-        span = unit * mass.astype(np.uint64)
-        for out, top in _settled(low, span):
-            words[out, used[out]] = top
+    columns = np.zeros((length + 2, lanes), np.int64)
+    columns[2:] = rows.T
+    for start in range(0, length, SEGMENT):
+        end = min(length, start + SEGMENT)
+        ids = columns[start + 2 : end + 2]
+        known, first, second = model.predict(columns[start + 1 : end + 1], columns[start:end])
+        mass, below, total = (x.astype(np.uint64) for x in model.interval(ids, known, first, second))
+        for t in range(end - start):
+            unit = span // total[t]
+            step = unit * below[t]
+            low += step
+            over = np.flatnonzero(low < step)
+            if len(over):
+                _carry(words, over, used[over])
+            span = unit * mass[t]
+            out = np.flatnonzero(span <= _ONES)
+            top = low[out]
+            words[out, used[out]] = top >> _HALF
             used[out] += 1
-        model.update(ids)
+            low[out] = top << _HALF
+            span[out] <<= _HALF
+        model.update(ids, known)
     for _ in range(2):
-        words[model.lanes, used] = (low >> _HALF).astype(np.uint32)
+        words[model.lanes, used] = low >> _HALF
         used += 1
         low = low << _HALF
     return [words[k, : used[k]] for k in range(lanes)]
@@ -249,27 +277,34 @@ def decode_blocks(words: list[np.ndarray], length: int, prior: Prior) -> np.ndar
     """The rows that ``encode_blocks`` was given."""
     lanes = len(words)
     model = Model(lanes, prior)
-    table = np.zeros((lanes, max(map(len, words)) + 3), np.uint64)
+    table = np.zeros((lanes, max(map(len, words)) + 3), np.uint32)
     for k, own in enumerate(words):
         table[k, : len(own)] = own
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    code, used = table[:, 0] << _HALF | table[:, 1], np.full(lanes, 2)
-    out = np.empty((length, lanes), np.int64)
-    for t in range(length):
-        model.predict()
-        unit = span // model.sum.astype(np.uint64)
-        v = np.minimum(((code - low) // unit).astype(np.int64), model.sum - 1)
-        ids, mass, below = model.find(v)
-        if ids.min() < 0 or ids.max() >= len(prior.weight):
-            raise ValueError("a block is damaged")
-        low = low + unit * below.astype(np.uint64)
-        span = unit * mass.astype(np.uint64)
-        for put, _ in _settled(low, span):
-            code[put] = code[put] << _HALF | table[put, np.minimum(used[put], table.shape[1] - 1)]
-            used[put] += 1
-        model.update(ids)
-        out[t] = ids
-    return out.T
+    code, span = table[:, 0].astype(np.uint64) << _HALF | table[:, 1], np.full(lanes, 2**64 - 1, np.uint64)
+    ends = (model.lanes + 1) * table.shape[1] - 1
+    at, table = ends - table.shape[1] + 3, table.reshape(-1)
+    out = np.zeros((length + 2, lanes), np.int64)
+    for start in range(0, length, SEGMENT):
+        end = min(length, start + SEGMENT)
+        seen = []
+        for t in range(start, end):
+            known, first, second = model.predict(out[t + 1], out[t])
+            front = first + second
+            total = model.total + front
+            unit = span // total.view(np.uint64)
+            v = np.minimum((code // unit).view(np.int64), total - 1)
+            ids, mass, below = model.find(v, known, first, front)
+            code -= unit * below.view(np.uint64)
+            span = unit * mass.view(np.uint64)
+            put = np.flatnonzero(span <= _ONES)
+            own = at[put]
+            code[put] = code[put] << _HALF | table[own]
+            span[put] <<= _HALF
+            at[put] = np.minimum(own + 1, ends[put])
+            out[t + 2] = ids
+            seen.append(known)
+        model.update(out[start + 2 : end + 2], tuple(map(np.stack, zip(*seen))))
+    return out[2:].T
 
 
 def pack_chunk(doc_ids: list[int | None], documents: list[bytes]) -> bytes:
@@ -283,12 +318,12 @@ def pack_chunk(doc_ids: list[int | None], documents: list[bytes]) -> bytes:
     lengths = np.array([len(d) // 4 for d in documents], "<u8").tobytes()
     if not len(ids):
         return head + names + lengths
-    padded = np.full(n_blocks * block, ids[-1], np.uint32)
+    padded = np.full(n_blocks * block, ids[-1], "<u4")
     padded[: len(ids)] = ids
     prior = Prior.of(ids, vocabulary)
     packed = prior.packed()
     words = encode_blocks(padded.reshape(n_blocks, block), prior)
-    index = np.array([(len(w), zlib.crc32(ids[k * block : (k + 1) * block])) for k, w in enumerate(words)], "<u4").tobytes()
+    index = np.array([(len(w), zlib.crc32(padded[k * block : (k + 1) * block])) for k, w in enumerate(words)], "<u4").tobytes()
     return b"".join([head, names, lengths, struct.pack("<I", len(packed)), packed, index, *(w.astype("<u4").tobytes() for w in words)])
 
 
@@ -313,9 +348,10 @@ def unpack_chunk(data: bytes) -> tuple[list[int | None], list[bytes]]:
         ends = np.cumsum(index[:, 0], dtype=np.int64)
         words = np.frombuffer(data, "<u4", int(ends[-1]), at)
         rows = decode_blocks(np.split(words, ends[:-1]), block, prior)
-        ids = rows.reshape(-1)[:n_ids].astype("<u4")
+        padded = rows.reshape(-1).astype("<u4")
         for k in range(n_blocks):
-            if zlib.crc32(ids[k * block : (k + 1) * block]) != index[k, 1]:
+            if zlib.crc32(padded[k * block : (k + 1) * block]) != index[k, 1]:
                 raise ValueError(f"block {k} of a chunk has a wrong checksum")
+        ids = padded[:n_ids]
     ends = np.cumsum(lengths)
     return [None if d == NULL_ID else d for d in names], [ids[e - n : e].tobytes() for e, n in zip(ends, lengths)]

@@ -1,8 +1,10 @@
-"""Token ids of whole texts, by the tokenizers library with a cache of white-space-led pieces.
+"""Token ids of whole texts, by the tokenizers library with a cache of words.
 
-In this vocabulary no token reaches from a character that is not white space into white space: a
-text's ids are those of its pieces, each a run of white space with the run of other characters after
-it. Pieces repeat much more than texts do, so only pieces not met before go to the library.
+In this vocabulary no token reaches from a character that is not white space into white space, none reaches
+from a letter or digit into ASCII punctuation, and a space before a character that is no white space begins a
+token. So a text's ids are those of its words, each with the space before it, and a word's are those of its
+letters and of what follows from its first punctuation on. Words repeat much more than texts do: only those not
+met before go to the library. A text with a space before white space is cut into white-space-led pieces instead.
 """
 
 from __future__ import annotations
@@ -11,14 +13,21 @@ import functools
 import itertools
 import os
 import re
+import struct
 
-import numpy as np
 import public_tokenizers
+from tokenizers.models import BPE
+from tokenizers.pre_tokenizers import ByteLevel
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 #: fixed value: the characters with the Unicode property White_Space
 _SPACE = "\t-\r \x85\xa0  -     　"
 _PIECE = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+#: fixed value: letters and digits that the vocabulary's rule takes for such, then ASCII punctuation
+_LED = re.compile(f"([{_SPACE}]*[0-9A-Za-zÀ-ÖØ-öø-ɏ]+)" + r"([!-/:-@\[-`{-~].*)", re.S)
+_LETTERS = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
+#: fixed value: the characters that stand for the bytes of a space and of the second halves of those letters
+_BYTES = {32: 288, 173: 323} | {byte: byte + 162 for byte in range(128, 161)}
 #: Pieces kept between texts (about 250 bytes each), and the longest piece that is kept.
 CACHED_PIECES = 450_000
 CACHED_LENGTH = 64
@@ -29,6 +38,51 @@ def default_path() -> str:
     return public_tokenizers.path(DEFAULT_TOKENIZER)
 
 
+class _Spaced(ValueError):
+    """A space stands before white space or the end, so that it may not begin a token."""
+
+
+class _Words(dict):
+    """Ids of words after ``lead``; a word not met before goes to the library, its punctuation to ``tails``."""
+
+    def __init__(self, library, lead: str, tails: dict[str, bytes] | None = None):
+        super().__init__()
+        self.library, self.lead, self.tails = library, lead, self if tails is None else tails
+        plain = library.normalizer is None and isinstance(library.pre_tokenizer, ByteLevel) and not library.pre_tokenizer.add_prefix_space
+        self.model = library.model if plain and isinstance(library.model, BPE) else None
+
+    def __missing__(self, word: str) -> bytes:
+        if self.lead and (not word or word[0].isspace()):
+            raise _Spaced
+        first, *more = _PIECE.findall(word)
+        led = None if more else _LED.fullmatch(word)
+        if more:
+            ids = self[first] + b"".join(map(self.tails.__getitem__, more))
+        elif led:
+            met = led[1] in self
+            ids = self[led[1]] + self.tails[led[2]]
+            if not met:  # a rare word will not be met with the same punctuation soon
+                return ids
+        else:
+            own = self.library_ids(self.lead + word)
+            ids = struct.pack(f"<{len(own)}I", *own)
+        if len(word) <= CACHED_LENGTH:
+            self[word] = ids
+        return ids
+
+    def library_ids(self, piece: str) -> list[int]:
+        """The library's ids; letters after a space or none are one word to its splitter, and go to its model at once."""
+        if self.model is not None and _LETTERS.fullmatch(piece):
+            return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_BYTES))]
+        return self.library.encode(piece, add_special_tokens=False).ids
+
+    def shrink(self) -> None:
+        """Forget half of many words; those met first are the frequent ones and stay."""
+        if len(self) > CACHED_PIECES:
+            for word in list(itertools.islice(reversed(self), CACHED_PIECES // 2)):
+                del self[word]
+
+
 class Encoder:
     """Texts to ids, as the little-endian unsigned 32-bit numbers that digests are taken of."""
 
@@ -36,32 +90,21 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+        library = Tokenizer.from_file(path)
+        self.pieces = _Words(library, "")
+        self.words = _Words(library, " ", self.pieces)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        known = self.known
-        if len(known) > CACHED_PIECES:  # the pieces met first are the frequent ones: they stay
-            for piece in list(itertools.islice(reversed(known), CACHED_PIECES // 2)):
-                del known[piece]
+        self.pieces.shrink()
+        self.words.shrink()
         out = []
         for text in texts:
-            if not text:
-                out.append(b"")
-                continue
-            pieces = _PIECE.findall(text)
-            fresh = list(set(pieces).difference(known))
-            own = dict(zip(fresh, self._encode(fresh))) if fresh else {}
-            long = any(len(p) > CACHED_LENGTH for p in fresh)
-            if long:
-                known.update((p, ids) for p, ids in own.items() if len(p) <= CACHED_LENGTH)
-                out.append(b"".join([known[p] if p in known else own[p] for p in pieces]))
-            else:
-                known.update(own)
-                out.append(b"".join(map(known.__getitem__, pieces)))
+            first, *words = (text or "").split(" ")
+            try:
+                ids = b"".join(map(self.words.__getitem__, words))
+                out.append(b"".join(map(self.pieces.__getitem__, _PIECE.findall(first))) + ids)
+            except _Spaced:
+                out.append(b"".join(map(self.pieces.__getitem__, _PIECE.findall(text))))
         return out
 
 
