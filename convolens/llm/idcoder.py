@@ -44,6 +44,8 @@ REFRESH = 64
 SCALE = 1 << 25
 #: Heaviest share of a context prediction, against an order-0 total of about SCALE.
 HEAVIEST = 1 << 30
+#: Added to what a block has learned; above 4 * id + 3 of every id.
+LEARNED = 1 << 30
 #: What a class counts for at the start of a block, and what an id adds.
 CLASS_START, CLASS_STEP = 150, 24
 #: Contexts of two ids are known by their hash to so many slots; followers are kept from so many occurrences on.
@@ -75,14 +77,16 @@ def _followers(contexts: np.ndarray, ids: np.ndarray, size: int, vocabulary: int
 
 
 def _pair_slot(before: np.ndarray, last: np.ndarray) -> np.ndarray:
-    return ((last * 40503 + before * 30011) >> 3) & (PAIR_SLOTS - 1)
+    # only low bits count, so that numbers of 32 bits may overflow
+    last, before = last.astype(np.uint32), before.astype(np.uint32)
+    return (((last * np.uint32(40503) + before * np.uint32(30011)) >> np.uint32(3)) & np.uint32(PAIR_SLOTS - 1)).astype(np.int64)
 
 
 class Prior:
     """What the blocks of a chunk start from, of plain arrays that a chunk carries."""
 
     def __init__(self, levels: np.ndarray, follows: np.ndarray, follows_two: np.ndarray):
-        self.levels, self.primed = levels, np.concatenate((follows, follows_two))
+        self.levels, self.primed = levels, np.maximum(np.concatenate((follows, follows_two)), 0)
         # level b > 0 stands for 2 ** ((b - 1) / 8) occurrences; a quarter of them is weight enough
         self.weight = np.where(levels > 0, np.ceil(2.0 ** ((levels.astype(np.float64) - 1) / 8) / 4), 0).astype(np.int64)
         self.upto = np.concatenate(([0], np.cumsum(self.weight)))
@@ -131,12 +135,13 @@ class Model:
     def __init__(self, lanes: int, prior: Prior):
         self.lanes, self.prior, self.n = np.arange(lanes), prior, lanes
         self.counts = np.full(CLASSES * lanes, CLASS_START, np.int64)
-        # a slot holds 4 * id + confidence (0: nothing yet); small tables stay in a core's cache
-        self.table = np.full(2 * lanes * SLOTS, -4, np.int32)
+        # a slot holds 4 * id + confidence above LEARNED (0: nothing yet), so that the larger of it and of what the prior
+        # says is what counts; small tables stay in a core's cache
+        self.table = np.zeros(2 * lanes * SLOTS, np.int32)
         self.right = np.tile(np.array([0.0, 8, 16, 32]), 2 * lanes)
         self.wrong = np.tile(np.array([1.0, 16, 8, 2]), 2 * lanes)
         both = np.arange(2 * lanes).reshape(2, lanes)
-        self.row, self.sure_row = both * SLOTS, both * 4
+        self.row, self.sure_row = both * SLOTS, (both * 4).astype(np.int32)
         self.class_row, self.eighths = self.lanes * CLASSES, self.lanes * 8
         self.step = 0
         self._refresh()
@@ -171,8 +176,8 @@ class Model:
         slots >>= 5
         slots &= SLOTS - 1
         slots += self.row
-        entry = self.table.take(slots)
-        entry = np.where(entry < 0, self.prior.primed.take(primed), entry)
+        entry = np.maximum(self.table.take(slots), self.prior.primed.take(primed))
+        entry &= LEARNED - 1
         state = self.sure_row + (entry & 3)
         guess, spikes = entry >> 2, self.spikes.take(state)
         agree = guess[..., 0, :] == guess[..., 1, :]
@@ -190,7 +195,7 @@ class Model:
         two = (known[3][..., 1, :] == ids) & (second > 0) & ~one
         return np.where(one, first, np.where(two, second, mass)), np.where(one, 0, np.where(two, first, low + front)), self.total + front
 
-    def find(self, v: np.ndarray, known: tuple, first: np.ndarray, front: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def find(self, v: np.ndarray, known: tuple, first: np.ndarray, second: np.ndarray, front: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, mass, mass below): whose interval holds ``v``."""
         prior = self.prior
         u = np.maximum(v - front, 0)
@@ -204,13 +209,18 @@ class Model:
         each = self.each.take(place)
         base = prior.base.take(place & (CLASSES - 1))
         # exact, as both numbers are far below 2**52
-        found = prior.id_at.take(base + ((small - start) / each).astype(np.int64), mode="clip")
+        ids = prior.id_at.take(base + ((small - start) / each).astype(np.int64), mode="clip")
         each = each.astype(np.int64)
-        known_one, known_two = known[3]
+        mass, low = prior.small_weight.take(ids) * each, prior.within.take(ids) * each
+        low += start
+        low += front
+        # the range begins with the shares of the predictions, the first one's before the second one's
         one, two = v < first, v < front
-        ids = np.where(one, known_one, np.where(two, known_two, found)).astype(np.int64)
-        mass = np.where(one, first, np.where(two, front - first, prior.small_weight.take(found) * each))
-        return ids, mass, np.where(one, 0, np.where(two, first, start + prior.within.take(found) * each + front))
+        for where, guess, share, below in ((two, known[3][1], second, first), (one, known[3][0], first, 0)):
+            np.copyto(ids, guess, where=where)
+            np.copyto(mass, share, where=where)
+            np.copyto(low, below, where=where)
+        return ids, mass, low
 
     def update(self, ids: np.ndarray, known: tuple) -> None:
         """Learn the ids that came in a segment, in rows by time; of a slot met twice the later entry stays."""
@@ -218,13 +228,12 @@ class Model:
         self.counts += CLASS_STEP * np.bincount(places, minlength=len(self.counts))
         at, entry, state, guess = known
         ids = ids[:, None, :].astype(np.int32)
-        hit, sure, state = guess == ids, entry & 3, state.reshape(-1)
-        came = np.bincount(state, minlength=len(self.right))
-        right = np.bincount(state[hit.reshape(-1)], minlength=len(self.right))
-        self.right += 2 * right
-        self.wrong += 2 * (came - right)
+        hit, sure = guess == ids, entry & 3
+        told = np.bincount((state * 2 + hit).reshape(-1), minlength=2 * len(self.right)).reshape(-1, 2)
+        self.wrong += 2 * told[:, 0]
+        self.right += 2 * told[:, 1]
         kept = np.where(hit, entry + (sure < 3), np.where(sure > 1, entry - 1, ids * 4 + 1))
-        self.table[at.reshape(-1)] = kept.reshape(-1)
+        self.table[at.reshape(-1)] = (kept | LEARNED).reshape(-1)
         self.step += len(ids)
         self._refresh()
 
@@ -293,7 +302,7 @@ def decode_blocks(words: list[np.ndarray], length: int, prior: Prior) -> np.ndar
             total = model.total + front
             unit = span // total.view(np.uint64)
             v = np.minimum((code // unit).view(np.int64), total - 1)
-            ids, mass, below = model.find(v, known, first, front)
+            ids, mass, below = model.find(v, known, first, second, front)
             code -= unit * below.view(np.uint64)
             span = unit * mass.view(np.uint64)
             put = np.flatnonzero(span <= _ONES)
