@@ -1,5 +1,8 @@
 """Adaptive context-mixing range coder for token ids, in independently reset, checksummed blocks.
 
+What is coded are a chunk's symbols: its distinct ids, and phrases of them (see ``Phrases``): pairs of symbols that stand
+side by side often become a symbol of their own, in rounds. Below, "id" stands for a symbol.
+
 An id's probability is mixed from three predictions: the id that followed the last two ids (order 2), the
 id that followed the last one (order 1), and an order-0 distribution over all ids. The two context
 predictions get the front of the coder's range, each a share whose width follows how often it was
@@ -11,10 +14,10 @@ what came, followers by its own. Each id is one step of a range coder with 64-bi
 Every block starts from the same state, so blocks are coded side by side: a step codes one id
 of every block of a chunk, on arrays. A chunk holds whole documents and is self-contained:
 
-    magic, version, block length, vocabulary size, number of documents, of ids and of blocks
+    magic, version, block length, number of different symbols, of documents, of ids and of blocks
     doc_ids as int64 (a null is the least int64), document lengths in ids as uint64
-    length of the packed prior, and the prior
-    per block: number of 32-bit words, crc32 of its ids (the last block is filled up by its last id)
+    lengths of the packed phrases and prior, the phrases and the prior
+    per block: number of 32-bit words, crc32 of its token ids (the last block is filled up by its last symbol)
     the words of all blocks, in order
 
 Numbers are little-endian. A wrong checksum raises ``ValueError`` when read.
@@ -22,14 +25,19 @@ Numbers are little-endian. A wrong checksum raises ``ValueError`` when read.
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 
 import numpy as np
 
 MAGIC = b"CVID"
-VERSION = 4
+VERSION = 5
 HEADER = struct.Struct("<4sBIIQQQ")
+#: Most new phrases of each round, how often their pair stands in a chunk at least, and most symbols in all (two make 32 bits).
+PHRASES, LEAST_PAIR, MOST_SYMBOLS = (4000, 8000, 16000), 8, 1 << 16
+#: Pairs are known by their hash to so many bits, then compared.
+PAIR_BITS = 18
 #: Most blocks that are coded side by side, and the least length of a block (the last may be shorter).
 LANES = 1024
 LEAST_BLOCK = 1024
@@ -51,6 +59,8 @@ CLASS_START, CLASS_STEP = 150, 24
 #: Contexts of two ids are known by their hash to so many slots; followers are kept from so many occurrences on.
 PAIR_SLOTS = 1 << 13
 LEAST_FOLLOWED = 16
+#: What is added to a confidence, at twice it and one more for a hit.
+_SURER = np.array([-1, 1, -1, 1, -1, 1, -1, 0], np.int32)
 _ONES = np.uint64(0xFFFFFFFF)
 _HALF = np.uint64(32)
 
@@ -60,7 +70,7 @@ def _followers(contexts: np.ndarray, ids: np.ndarray, size: int, vocabulary: int
     out = np.full(size, -4, np.int32)
     if not len(ids):
         return out
-    pairs = np.sort((contexts * vocabulary + ids).astype(np.uint32 if size * vocabulary < 2**32 else np.int64))
+    pairs = np.sort((contexts * vocabulary + ids).astype(np.uint32 if size * vocabulary <= 2**32 else np.int64))
     at = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1], [True])))
     counts, pairs = np.diff(at), pairs[at[:-1]].astype(np.int64)
     often = counts >= LEAST_FOLLOWED
@@ -82,6 +92,116 @@ def _pair_slot(before: np.ndarray, last: np.ndarray) -> np.ndarray:
     return (((last * np.uint32(40503) + before * np.uint32(30011)) >> np.uint32(3)) & np.uint32(PAIR_SLOTS - 1)).astype(np.int64)
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _pair_hash(pairs: np.ndarray) -> np.ndarray:
+    return ((pairs * np.uint32(2654435761)) >> np.uint32(32 - PAIR_BITS)).astype(np.intp)
+
+
+def _join_pairs(symbols: np.ndarray, first: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols with the most frequent pairs as symbols from ``first`` on, and those pairs in that order.
+
+    Of pairs that overlap the more frequent one is joined; of pairs with one hash, too.
+    """
+    keys = symbols[:-1] << np.uint32(16)
+    keys |= symbols[1:]
+    ordered = np.sort(keys)
+    at = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, [len(ordered)]))
+    counts = np.diff(at)
+    often = np.flatnonzero(counts >= LEAST_PAIR)
+    # rank 1 is the rarest
+    pairs = ordered[at[often[np.argsort(counts[often], kind="stable")[-most:]]]]
+    rank_at = np.zeros(1 << PAIR_BITS, np.int32)
+    rank_at[_pair_hash(pairs)] = np.arange(1, len(pairs) + 1, dtype=np.int32)
+    pairs = pairs[rank_at[_pair_hash(pairs)] == np.arange(1, len(pairs) + 1)]
+    rank_at[:] = 0
+    rank_at[_pair_hash(pairs)] = np.arange(1, len(pairs) + 1, dtype=np.int32)
+    rank = np.zeros(len(symbols) + 1, np.int32)  # of the pair that begins at each symbol, one place later
+    own = rank_at.take(_pair_hash(keys))
+    own *= np.concatenate((np.zeros(1, np.uint32), pairs)).take(own) == keys
+    rank[1:-1] = own
+    left = rank[1:-1]
+    joined = np.zeros(len(symbols) + 1, bool)
+    joined[1:-1] = (left > rank[:-2]) & (left >= rank[2:])
+    # then those that are not beside joined ones
+    left *= ~(joined[:-2] | joined[1:-1] | joined[2:])
+    joined[1:-1] |= (left > rank[:-2]) & (left >= rank[2:])
+    # numbers follow the pairs' order, which packs well
+    order = np.argsort(pairs)
+    number = np.empty(len(pairs), np.uint32)
+    number[order] = np.arange(first, first + len(pairs), dtype=np.uint32)
+    out, at = symbols.copy(), np.flatnonzero(joined[1:-1])
+    out[at] = number.take(own.take(at) - 1)
+    return out[~joined[:-1]], pairs[order]
+
+
+class Phrases:
+    """A chunk's symbols: first its distinct ids in ascending order, then pairs of symbols that come before them."""
+
+    def __init__(self, own: np.ndarray, pairs: np.ndarray):
+        self.own, self.pairs, self.size = own, pairs, len(own) + len(pairs)
+        self.ones, self.twos = pairs >> np.uint32(16), pairs & np.uint32(0xFFFF)
+        if (np.maximum(self.ones, self.twos) >= np.arange(len(own), self.size)).any():
+            raise ValueError("a chunk's phrases are damaged")
+
+    @functools.cached_property
+    def sizes(self) -> np.ndarray:
+        """Every symbol's number of ids."""
+        sizes = [1] * len(self.own)
+        for one, two in zip(self.ones.tolist(), self.twos.tolist()):
+            sizes.append(sizes[one] + sizes[two])
+        return np.array(sizes, np.int32)
+
+    @functools.cached_property
+    def pool(self) -> np.ndarray:
+        """Every symbol's ids, one after another."""
+        texts = [self.own[k : k + 1].tobytes() for k in range(len(self.own))]
+        for one, two in zip(self.ones.tolist(), self.twos.tolist()):
+            texts.append(texts[one] + texts[two])
+        return np.frombuffer(b"".join(texts), "<u4")
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> tuple[np.ndarray, Phrases]:
+        """The symbols of ids, and the phrases."""
+        there = np.bincount(ids) > 0
+        own = np.flatnonzero(there).astype("<u4")
+        symbols = (np.cumsum(there) - 1).astype(np.uint32).take(ids)
+        pairs: list[np.ndarray] = [np.empty(0, np.uint32)]
+        first = len(own)
+        for most in PHRASES:
+            most = min(most, MOST_SYMBOLS - first)
+            if most > 0 and len(symbols) > 1:
+                symbols, new = _join_pairs(symbols, first, most)
+                pairs.append(new)
+                first += len(new)
+        return symbols, cls(own, np.concatenate(pairs))
+
+    def ids(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of symbols, and where each symbol's end."""
+        sizes = self.sizes.take(symbols)
+        upto = np.cumsum(sizes)
+        starts = (np.cumsum(self.sizes) - self.sizes).take(symbols)
+        at = np.repeat((starts - upto + sizes).astype(np.int32), sizes)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.pool.take(at), upto
+
+    def packed(self) -> bytes:
+        steps = np.diff(self.own, prepend=np.zeros(1, "<u4"))
+        return zlib.compress(struct.pack("<I", len(self.own)) + _planes(steps) + _planes(self.pairs), 6)
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Phrases:
+        try:
+            raw = zlib.decompress(data)
+            n = struct.unpack_from("<I", raw)[0]
+            steps, pairs = (np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1) for x in (raw[4 : 4 + 4 * n], raw[4 + 4 * n :]))
+        except (zlib.error, struct.error, ValueError) as error:
+            raise ValueError("a chunk's phrases are damaged") from error
+        return cls(np.cumsum(steps, dtype=np.int64).astype("<u4"), pairs.astype(np.uint32))
+
+
 class Prior:
     """What the blocks of a chunk start from, of plain arrays that a chunk carries."""
 
@@ -95,8 +215,7 @@ class Prior:
         self.class_weight = self.upto[self.starts[1:]] - self.upto[self.starts[:-1]]
         self.class_of = np.repeat(np.arange(CLASSES), np.diff(self.starts))
         self.base = self.upto[self.starts[:-1]]
-        self.within = (self.upto[:-1] - self.base[self.class_of]).astype(np.int32)
-        self.small_weight = self.weight.astype(np.int32)
+        self.within = self.upto[:-1] - self.base[self.class_of]
         self.id_at = np.repeat(np.arange(len(levels), dtype=np.int32), self.weight)
 
     @classmethod
@@ -108,7 +227,7 @@ class Prior:
         return cls(levels, _followers(ids[:-1], ids[1:], vocabulary, vocabulary), _followers(slots, ids[2:], PAIR_SLOTS, vocabulary))
 
     def packed(self) -> bytes:
-        return zlib.compress(b"".join([self.levels.tobytes(), *(x.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes() for x in np.split(self.primed, [len(self.levels)]))]), 6)
+        return zlib.compress(self.levels.tobytes() + b"".join(map(_planes, np.split(self.primed, [len(self.levels)]))), 6)
 
     @classmethod
     def unpacked(cls, data: bytes, vocabulary: int) -> Prior:
@@ -134,20 +253,23 @@ class Model:
 
     def __init__(self, lanes: int, prior: Prior):
         self.lanes, self.prior, self.n = np.arange(lanes), prior, lanes
-        self.counts = np.full(CLASSES * lanes, CLASS_START, np.int64)
+        self.counts, self.came = np.full(CLASSES * lanes, CLASS_START, np.int64), []
         # a slot holds 4 * id + confidence above LEARNED (0: nothing yet), so that the larger of it and of what the prior
         # says is what counts; small tables stay in a core's cache
         self.table = np.zeros(2 * lanes * SLOTS, np.int32)
         self.right = np.tile(np.array([0.0, 8, 16, 32]), 2 * lanes)
         self.wrong = np.tile(np.array([1.0, 16, 8, 2]), 2 * lanes)
         both = np.arange(2 * lanes).reshape(2, lanes)
-        self.row, self.sure_row = both * SLOTS, (both * 4).astype(np.int32)
+        self.row, self.sure_row = both * SLOTS, both * 4
         self.class_row, self.eighths = self.lanes * CLASSES, self.lanes * 8
         self.step = 0
         self._refresh()
 
     def _refresh(self) -> None:
         if self.step % REFRESH == 0:
+            if self.came:
+                self.counts += CLASS_STEP * np.bincount(np.concatenate(self.came), minlength=len(self.counts))
+                self.came = []
             counts, weight = self.counts.reshape(self.n, CLASSES), self.prior.class_weight
             each = np.maximum(1, (counts * (SCALE / counts.sum(axis=1, keepdims=True)) / np.maximum(1, weight)).astype(np.int64))
             mass = each * weight
@@ -161,12 +283,16 @@ class Model:
         self.spikes = np.minimum(self.total_of_state * (self.right / self.wrong), HEAVIEST).astype(np.int64)
         self.spikes[::4] = 0
 
-    def predict(self, last: np.ndarray, before: np.ndarray) -> tuple[tuple, np.ndarray, np.ndarray]:
-        """((place, entry, state, id) of the order-1 and the order-2 prediction, share of the first, of the second).
+    def room(self, *shape: int) -> tuple[np.ndarray, ...]:
+        """Arrays for what ``predict`` knows."""
+        return tuple(np.empty((*shape, 2, self.n), kind) for kind in (np.int64, np.int32, np.int64, np.int64))
+
+    def predict(self, last: np.ndarray, before: np.ndarray, known: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """(share of the order-1, of the order-2 prediction); their (place, entry, state, id) are put into ``known``.
 
         ``last`` and ``before`` are the ids before, rows of lanes by time or one row.
         """
-        slots = np.empty((*last.shape[:-1], 2, self.n), np.int64)
+        slots, entry, state, guess = known
         primed = np.empty_like(slots)
         one, two = slots[..., 0, :], slots[..., 1, :]
         np.multiply(last, 40503, out=one)
@@ -176,20 +302,22 @@ class Model:
         slots >>= 5
         slots &= SLOTS - 1
         slots += self.row
-        entry = np.maximum(self.table.take(slots), self.prior.primed.take(primed))
-        entry &= LEARNED - 1
-        state = self.sure_row + (entry & 3)
-        guess, spikes = entry >> 2, self.spikes.take(state)
-        agree = guess[..., 0, :] == guess[..., 1, :]
+        np.maximum(self.table.take(slots), self.prior.primed.take(primed), out=entry)
+        np.bitwise_and(entry, LEARNED - 1, out=entry)
+        np.bitwise_and(entry, 3, out=state)
+        state += self.sure_row
+        np.right_shift(entry, 2, out=guess)
+        spikes = self.spikes.take(state)
         second = spikes[..., 1, :]
-        return (slots, entry, state, guess), spikes[..., 0, :] + second * agree, second * ~agree
+        both = second * (guess[..., 0, :] == guess[..., 1, :])
+        return spikes[..., 0, :] + both, second - both
 
     def interval(self, ids: np.ndarray, known: tuple, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(mass, mass below) of ids in the whole range, and the range."""
         prior = self.prior
         place = prior.class_of.take(ids) + self.class_row
         each = self.each.take(place).astype(np.int64)
-        mass, low = each * prior.small_weight.take(ids), self.below.take(place) + prior.within.take(ids) * each
+        mass, low = each * prior.weight.take(ids), self.below.take(place) + prior.within.take(ids) * each
         front = first + second
         one = (known[3][..., 0, :] == ids) & (first > 0)
         two = (known[3][..., 1, :] == ids) & (second > 0) & ~one
@@ -211,7 +339,7 @@ class Model:
         # exact, as both numbers are far below 2**52
         ids = prior.id_at.take(base + ((small - start) / each).astype(np.int64), mode="clip")
         each = each.astype(np.int64)
-        mass, low = prior.small_weight.take(ids) * each, prior.within.take(ids) * each
+        mass, low = prior.weight.take(ids) * each, prior.within.take(ids) * each
         low += start
         low += front
         # the range begins with the shares of the predictions, the first one's before the second one's
@@ -224,16 +352,18 @@ class Model:
 
     def update(self, ids: np.ndarray, known: tuple) -> None:
         """Learn the ids that came in a segment, in rows by time; of a slot met twice the later entry stays."""
-        places = (self.prior.class_of.take(ids) + self.class_row).reshape(-1)
-        self.counts += CLASS_STEP * np.bincount(places, minlength=len(self.counts))
+        self.came.append((self.prior.class_of.take(ids) + self.class_row).reshape(-1))
         at, entry, state, guess = known
-        ids = ids[:, None, :].astype(np.int32)
-        hit, sure = guess == ids, entry & 3
-        told = np.bincount((state * 2 + hit).reshape(-1), minlength=2 * len(self.right)).reshape(-1, 2)
+        ids = ids[:, None, :]
+        hit, sure, ids = guess == ids, entry & 3, ids.astype(np.int32)
+        state <<= 1
+        state += hit
+        told = np.bincount(state.reshape(-1), minlength=2 * len(self.right)).reshape(-1, 2)
         self.wrong += 2 * told[:, 0]
         self.right += 2 * told[:, 1]
-        kept = np.where(hit, entry + (sure < 3), np.where(sure > 1, entry - 1, ids * 4 + 1))
-        self.table[at.reshape(-1)] = (kept | LEARNED).reshape(-1)
+        kept = np.where(hit | (sure > 1), entry + _SURER.take(sure * 2 + hit), ids * 4 + 1)
+        kept |= LEARNED
+        self.table[at.reshape(-1)] = kept.reshape(-1)
         self.step += len(ids)
         self._refresh()
 
@@ -253,12 +383,14 @@ def encode_blocks(rows: np.ndarray, prior: Prior) -> list[np.ndarray]:
     model = Model(lanes, prior)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
     words, used = np.zeros((lanes, length + 3), np.uint32), np.zeros(lanes, np.int64)
+    flat, row = words.reshape(-1), model.lanes * (length + 3)
     columns = np.zeros((length + 2, lanes), np.int64)
     columns[2:] = rows.T
     for start in range(0, length, SEGMENT):
         end = min(length, start + SEGMENT)
         ids = columns[start + 2 : end + 2]
-        known, first, second = model.predict(columns[start + 1 : end + 1], columns[start:end])
+        known = model.room(end - start)
+        first, second = model.predict(columns[start + 1 : end + 1], columns[start:end], known)
         mass, below, total = (x.astype(np.uint64) for x in model.interval(ids, known, first, second))
         for t in range(end - start):
             unit = span // total[t]
@@ -269,9 +401,9 @@ def encode_blocks(rows: np.ndarray, prior: Prior) -> list[np.ndarray]:
                 _carry(words, over, used[over])
             span = unit * mass[t]
             out = np.flatnonzero(span <= _ONES)
-            top = low[out]
-            words[out, used[out]] = top >> _HALF
-            used[out] += 1
+            top, own = low[out], used[out]
+            flat[row[out] + own] = top >> _HALF
+            used[out] = own + 1
             low[out] = top << _HALF
             span[out] <<= _HALF
         model.update(ids, known)
@@ -295,9 +427,9 @@ def decode_blocks(words: list[np.ndarray], length: int, prior: Prior) -> np.ndar
     out = np.zeros((length + 2, lanes), np.int64)
     for start in range(0, length, SEGMENT):
         end = min(length, start + SEGMENT)
-        seen = []
-        for t in range(start, end):
-            known, first, second = model.predict(out[t + 1], out[t])
+        seen = model.room(end - start)
+        for t, known in zip(range(start, end), zip(*seen)):
+            first, second = model.predict(out[t + 1], out[t], known)
             front = first + second
             total = model.total + front
             unit = span // total.view(np.uint64)
@@ -311,34 +443,41 @@ def decode_blocks(words: list[np.ndarray], length: int, prior: Prior) -> np.ndar
             span[put] <<= _HALF
             at[put] = np.minimum(own + 1, ends[put])
             out[t + 2] = ids
-            seen.append(known)
-        model.update(out[start + 2 : end + 2], tuple(map(np.stack, zip(*seen))))
+        model.update(out[start + 2 : end + 2], seen)
     return out[2:].T
 
 
 def pack_chunk(doc_ids: list[int | None], documents: list[bytes]) -> bytes:
     """A chunk of whole documents; each is its ids as little-endian unsigned 32-bit numbers."""
     ids = np.frombuffer(b"".join(documents), "<u4")
-    block = max(LEAST_BLOCK, -(-len(ids) // LANES))
-    n_blocks = -(-len(ids) // block)
-    vocabulary = int(ids.max()) + 1 if len(ids) else 1
-    head = HEADER.pack(MAGIC, VERSION, block, vocabulary, len(doc_ids), len(ids), n_blocks)
+    symbols, phrases = Phrases.of(ids) if len(ids) else (ids, None)
+    block = max(LEAST_BLOCK, -(-len(symbols) // LANES))
+    n_blocks = -(-len(symbols) // block)
+    head = HEADER.pack(MAGIC, VERSION, block, phrases.size if phrases else 0, len(doc_ids), len(ids), n_blocks)
     names = np.array([NULL_ID if d is None else d for d in doc_ids], "<i8").tobytes()
     lengths = np.array([len(d) // 4 for d in documents], "<u8").tobytes()
-    if not len(ids):
+    if phrases is None:
         return head + names + lengths
-    padded = np.full(n_blocks * block, ids[-1], "<u4")
-    padded[: len(ids)] = ids
-    prior = Prior.of(ids, vocabulary)
-    packed = prior.packed()
+    padded = np.full(n_blocks * block, symbols[-1], np.uint32)
+    padded[: len(symbols)] = symbols
+    prior = Prior.of(symbols, phrases.size)
+    told, packed = phrases.packed(), prior.packed()
     words = encode_blocks(padded.reshape(n_blocks, block), prior)
-    index = np.array([(len(w), zlib.crc32(padded[k * block : (k + 1) * block])) for k, w in enumerate(words)], "<u4").tobytes()
-    return b"".join([head, names, lengths, struct.pack("<I", len(packed)), packed, index, *(w.astype("<u4").tobytes() for w in words)])
+    upto = np.cumsum(phrases.sizes.take(padded))
+    fill = np.tile(ids[len(ids) - phrases.sizes[symbols[-1]] :], len(padded) - len(symbols))
+    index = np.array([(len(w), crc) for w, crc in zip(words, _checksums(np.concatenate((ids, fill)), upto, block))], "<u4").tobytes()
+    return b"".join([head, names, lengths, struct.pack("<II", len(told), len(packed)), told, packed, index, *(w.astype("<u4").tobytes() for w in words)])
+
+
+def _checksums(ids: np.ndarray, upto: np.ndarray, block: int) -> list[int]:
+    """crc32 of the ids of every block, from where each symbol's ids end."""
+    stops = [0, *upto[block - 1 :: block].tolist()]
+    return [zlib.crc32(ids[a:b]) for a, b in zip(stops, stops[1:])]
 
 
 def unpack_chunk(data: bytes) -> tuple[list[int | None], list[bytes]]:
     """The doc_ids and the documents' ids of a chunk, all blocks checked."""
-    magic, version, block, vocabulary, n_docs, n_ids, n_blocks = HEADER.unpack_from(data)
+    magic, version, block, size, n_docs, n_ids, n_blocks = HEADER.unpack_from(data)
     if magic != MAGIC or version != VERSION:
         raise ValueError("not a chunk of this format")
     at = HEADER.size
@@ -349,18 +488,22 @@ def unpack_chunk(data: bytes) -> tuple[list[int | None], list[bytes]]:
         raise ValueError("a chunk's document lengths do not add up")
     ids = np.empty(0, np.uint32)
     if n_ids:
-        size = struct.unpack_from("<I", data, at)[0]
-        prior = Prior.unpacked(data[at + 4 : at + 4 + size], vocabulary)
-        at += 4 + size
+        told, packed = struct.unpack_from("<II", data, at)
+        at += 8
+        phrases = Phrases.unpacked(data[at : at + told])
+        if phrases.size != size:
+            raise ValueError("a chunk's phrases are damaged")
+        prior = Prior.unpacked(data[at + told : at + told + packed], size)
+        at += told + packed
         index = np.frombuffer(data, "<u4", 2 * n_blocks, at).reshape(-1, 2)
         at += 8 * n_blocks
         ends = np.cumsum(index[:, 0], dtype=np.int64)
         words = np.frombuffer(data, "<u4", int(ends[-1]), at)
-        rows = decode_blocks(np.split(words, ends[:-1]), block, prior)
-        padded = rows.reshape(-1).astype("<u4")
-        for k in range(n_blocks):
-            if zlib.crc32(padded[k * block : (k + 1) * block]) != index[k, 1]:
+        ids, upto = phrases.ids(decode_blocks(np.split(words, ends[:-1]), block, prior).reshape(-1))
+        for k, crc in enumerate(_checksums(ids, upto, block)):
+            if crc != index[k, 1]:
                 raise ValueError(f"block {k} of a chunk has a wrong checksum")
-        ids = padded[:n_ids]
+        if len(ids) < n_ids:
+            raise ValueError("a chunk's ids do not add up to its documents")
     ends = np.cumsum(lengths)
     return [None if d == NULL_ID else d for d in names], [ids[e - n : e].tobytes() for e, n in zip(ends, lengths)]

@@ -56,12 +56,10 @@ def pieces(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None)
         encode = tokens.encoder(path)
         for batch in batches:
             rows: list[tuple] = []
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                for doc, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())):
-                    ids += end
-                    for number, (start, n) in enumerate(cut(len(ids) // 4, length)):
-                        rows.append((doc, number, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)])))
+            for doc, ids in zip(batch.column(0).to_pylist(), encode.column(batch.column(1))):
+                ids += end
+                for number, (start, n) in enumerate(cut(len(ids) // 4, length)):
+                    rows.append((doc, number, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)])))
             columns = list(zip(*rows)) or [()] * 5
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])

@@ -46,15 +46,13 @@ def write_files(docs: DataFrame, path: str, tokenizer: str | None = None, chunk_
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], names=["part", "chunk", "n_docs", "n_ids", "payload"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                piece = batch.slice(at, 64)
-                for doc, ids in zip(piece.column(0).to_pylist(), encode(piece.column(1).to_pylist())):
-                    names.append(doc)
-                    documents.append(ids + end)
-                    held += len(ids) // 4 + 1
-                    if held >= chunk_ids:
-                        yield close()
-                        names, documents, held, chunk = [], [], 0, chunk + 1
+            for doc, ids in zip(batch.column(0).to_pylist(), encode.column(batch.column(1))):
+                names.append(doc)
+                documents.append(ids + end)
+                held += len(ids) // 4 + 1
+                if held >= chunk_ids:
+                    yield close()
+                    names, documents, held, chunk = [], [], 0, chunk + 1
         if names:
             yield close()
 
