@@ -28,6 +28,7 @@ from __future__ import annotations
 import functools
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -59,8 +60,9 @@ CLASS_START, CLASS_STEP = 150, 24
 #: Contexts of two ids are known by their hash to so many slots; followers are kept from so many occurrences on.
 PAIR_SLOTS = 1 << 13
 LEAST_FOLLOWED = 16
-#: What is added to a confidence, at twice it and one more for a hit.
+#: What is added to a confidence, at twice it and one more for a hit, and whether the follower stays.
 _SURER = np.array([-1, 1, -1, 1, -1, 1, -1, 0], np.int32)
+_KEPT = np.array([0, 1, 0, 1, 1, 1, 1, 1], bool)
 _ONES = np.uint64(0xFFFFFFFF)
 _HALF = np.uint64(32)
 
@@ -113,14 +115,16 @@ def _join_pairs(symbols: np.ndarray, first: int, most: int) -> tuple[np.ndarray,
     often = np.flatnonzero(counts >= LEAST_PAIR)
     # rank 1 is the rarest
     pairs = ordered[at[often[np.argsort(counts[often], kind="stable")[-most:]]]]
-    rank_at = np.zeros(1 << PAIR_BITS, np.int32)
-    rank_at[_pair_hash(pairs)] = np.arange(1, len(pairs) + 1, dtype=np.int32)
-    pairs = pairs[rank_at[_pair_hash(pairs)] == np.arange(1, len(pairs) + 1)]
-    rank_at[:] = 0
-    rank_at[_pair_hash(pairs)] = np.arange(1, len(pairs) + 1, dtype=np.int32)
-    rank = np.zeros(len(symbols) + 1, np.int32)  # of the pair that begins at each symbol, one place later
-    own = rank_at.take(_pair_hash(keys))
-    own *= np.concatenate((np.zeros(1, np.uint32), pairs)).take(own) == keys
+    ranks = np.arange(1, len(pairs) + 1, dtype=np.uint16)
+    rank_at = np.zeros(1 << PAIR_BITS, np.uint16)
+    rank_at[_pair_hash(pairs)] = ranks
+    pairs = pairs[rank_at[_pair_hash(pairs)] == ranks]
+    rank_at[:], key_at = 0, np.zeros(1 << PAIR_BITS, np.uint32)
+    rank_at[_pair_hash(pairs)], key_at[_pair_hash(pairs)] = ranks[: len(pairs)], pairs
+    at = _pair_hash(keys)
+    own = rank_at.take(at)
+    own *= key_at.take(at) == keys
+    rank = np.zeros(len(symbols) + 1, np.uint16)  # of the pair that begins at each symbol, one place later
     rank[1:-1] = own
     left = rank[1:-1]
     joined = np.zeros(len(symbols) + 1, bool)
@@ -146,21 +150,40 @@ class Phrases:
         if (np.maximum(self.ones, self.twos) >= np.arange(len(own), self.size)).any():
             raise ValueError("a chunk's phrases are damaged")
 
+    def _waves(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The pairs in order, as many at once as are made of symbols that were given before."""
+        last, done = np.maximum(self.ones, self.twos), 0
+        while done < len(last):
+            upto = done + int(np.argmax(np.append(last[done:] >= len(self.own) + done, True)))
+            yield self.ones[done:upto], self.twos[done:upto]
+            done = upto
+
     @functools.cached_property
     def sizes(self) -> np.ndarray:
         """Every symbol's number of ids."""
-        sizes = [1] * len(self.own)
-        for one, two in zip(self.ones.tolist(), self.twos.tolist()):
-            sizes.append(sizes[one] + sizes[two])
-        return np.array(sizes, np.int32)
+        sizes = np.ones(len(self.own), np.int32)
+        for ones, twos in self._waves():
+            sizes = np.concatenate((sizes, sizes[ones] + sizes[twos]))
+        return sizes
 
     @functools.cached_property
     def pool(self) -> np.ndarray:
         """Every symbol's ids, one after another."""
-        texts = [self.own[k : k + 1].tobytes() for k in range(len(self.own))]
-        for one, two in zip(self.ones.tolist(), self.twos.tolist()):
-            texts.append(texts[one] + texts[two])
-        return np.frombuffer(b"".join(texts), "<u4")
+        pool = self.own
+        for ones, twos in self._waves():
+            pool = np.concatenate((pool, self._spell(pool, np.stack((ones, twos), axis=1).reshape(-1))))
+        return pool
+
+    def _spell(self, pool: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        sizes = self.sizes.take(symbols)
+        at = np.repeat((self.starts.take(symbols) - np.cumsum(sizes) + sizes).astype(np.int32), sizes)
+        at += np.arange(len(at), dtype=np.int32)
+        return pool.take(at)
+
+    @functools.cached_property
+    def starts(self) -> np.ndarray:
+        """Where every symbol's ids begin in ``pool``."""
+        return np.cumsum(self.sizes) - self.sizes
 
     @classmethod
     def of(cls, ids: np.ndarray) -> tuple[np.ndarray, Phrases]:
@@ -180,12 +203,7 @@ class Phrases:
 
     def ids(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of symbols, and where each symbol's end."""
-        sizes = self.sizes.take(symbols)
-        upto = np.cumsum(sizes)
-        starts = (np.cumsum(self.sizes) - self.sizes).take(symbols)
-        at = np.repeat((starts - upto + sizes).astype(np.int32), sizes)
-        at += np.arange(len(at), dtype=np.int32)
-        return self.pool.take(at), upto
+        return self._spell(self.pool, symbols), np.cumsum(self.sizes.take(symbols))
 
     def packed(self) -> bytes:
         steps = np.diff(self.own, prepend=np.zeros(1, "<u4"))
@@ -275,7 +293,7 @@ class Model:
             mass = each * weight
             upto = np.cumsum(mass, axis=1)
             below = upto - mass
-            self.each, self.total = each.astype(np.int32).reshape(-1), np.ascontiguousarray(upto[:, -1])
+            self.each, self.total = each.reshape(-1), np.ascontiguousarray(upto[:, -1])
             self.below = below.astype(np.uint32).reshape(-1)
             self.coarse, self.fine = np.ascontiguousarray(self.below.reshape(-1, CLASSES)[:, 8::8].T), self.below.reshape(-1, 8)
             self.total_of_state = np.tile(np.repeat(self.total, 4), 2)
@@ -316,7 +334,7 @@ class Model:
         """(mass, mass below) of ids in the whole range, and the range."""
         prior = self.prior
         place = prior.class_of.take(ids) + self.class_row
-        each = self.each.take(place).astype(np.int64)
+        each = self.each.take(place)
         mass, low = each * prior.weight.take(ids), self.below.take(place) + prior.within.take(ids) * each
         front = first + second
         one = (known[3][..., 0, :] == ids) & (first > 0)
@@ -338,7 +356,6 @@ class Model:
         base = prior.base.take(place & (CLASSES - 1))
         # exact, as both numbers are far below 2**52
         ids = prior.id_at.take(base + ((small - start) / each).astype(np.int64), mode="clip")
-        each = each.astype(np.int64)
         mass, low = prior.weight.take(ids) * each, prior.within.take(ids) * each
         low += start
         low += front
@@ -355,13 +372,14 @@ class Model:
         self.came.append((self.prior.class_of.take(ids) + self.class_row).reshape(-1))
         at, entry, state, guess = known
         ids = ids[:, None, :]
-        hit, sure, ids = guess == ids, entry & 3, ids.astype(np.int32)
         state <<= 1
-        state += hit
+        state += guess == ids
         told = np.bincount(state.reshape(-1), minlength=2 * len(self.right)).reshape(-1, 2)
         self.wrong += 2 * told[:, 0]
         self.right += 2 * told[:, 1]
-        kept = np.where(hit | (sure > 1), entry + _SURER.take(sure * 2 + hit), ids * 4 + 1)
+        state &= 7
+        entry += _SURER.take(state)
+        kept = np.where(_KEPT.take(state), entry, ids.astype(np.int32) * 4 + 1)
         kept |= LEARNED
         self.table[at.reshape(-1)] = kept.reshape(-1)
         self.step += len(ids)
@@ -391,16 +409,16 @@ def encode_blocks(rows: np.ndarray, prior: Prior) -> list[np.ndarray]:
         ids = columns[start + 2 : end + 2]
         known = model.room(end - start)
         first, second = model.predict(columns[start + 1 : end + 1], columns[start:end], known)
-        mass, below, total = (x.astype(np.uint64) for x in model.interval(ids, known, first, second))
+        mass, below, total = (x.view(np.uint64) for x in model.interval(ids, known, first, second))
         for t in range(end - start):
             unit = span // total[t]
             step = unit * below[t]
             low += step
-            over = np.flatnonzero(low < step)
+            over = (low < step).nonzero()[0]
             if len(over):
                 _carry(words, over, used[over])
             span = unit * mass[t]
-            out = np.flatnonzero(span <= _ONES)
+            out = (span <= _ONES).nonzero()[0]
             top, own = low[out], used[out]
             flat[row[out] + own] = top >> _HALF
             used[out] = own + 1
@@ -437,7 +455,7 @@ def decode_blocks(words: list[np.ndarray], length: int, prior: Prior) -> np.ndar
             ids, mass, below = model.find(v, known, first, second, front)
             code -= unit * below.view(np.uint64)
             span = unit * mass.view(np.uint64)
-            put = np.flatnonzero(span <= _ONES)
+            put = (span <= _ONES).nonzero()[0]
             own = at[put]
             code[put] = code[put] << _HALF | table[own]
             span[put] <<= _HALF

@@ -40,17 +40,29 @@ _BYTES = {32: 288, 173: 323} | {byte: byte + 162 for byte in range(128, 161)}
 CACHED_PIECES = 450_000
 CACHED_LENGTH = 64
 #: Bytes of a column that are cut at once (a longer text alone), and words that the model gets in one string.
-SLICE_BYTES, JOINED_WORDS = 6_000_000, 100
+SLICE_BYTES, JOINED_WORDS = 10_000_000, 100
 _WIDE_SPACE = r"[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-#: Classes of bytes, as bits: space, other ASCII white space, ASCII letters and digits, ASCII punctuation without and with the
-#: apostrophe, first bytes of characters of which some are white space.
-_S, _W, _A, _P, _Q, _L = 1, 2, 4, 8, 16, 32
-_CLASS = np.zeros(256, np.uint8)
-_CLASS[32], _CLASS[9:14] = _S, _W
-_CLASS[[c for c in range(128) if chr(c).isalnum()]] = _A
-_CLASS[[ord(c) for c in string.punctuation]] = _P | _Q
-_CLASS[ord("'")] = _Q
-_CLASS[[0xC2, 0xE1, 0xE2, 0xE3]] = _L
+#: Classes of bytes: others, a space, other ASCII white space, ASCII letters and digits, ASCII punctuation, the apostrophe, bytes
+#: beyond ASCII, and first bytes of characters of which some are white space; then what follows from two neighbours' classes.
+_OTHER, _SPACES, _WHITE, _WORD, _MARK, _APOSTROPHE, _WIDE, _LEAD = range(8)
+_CLASS = bytes(
+    _SPACES if c == 32 else _WHITE if 9 <= c <= 13 else _LEAD if c in (0xC2, 0xE1, 0xE2, 0xE3) else _WIDE if c >= 128
+    else _WORD if chr(c).isalnum() else _APOSTROPHE if c == 39 else _MARK if chr(c) in _PUNCTUATION else _OTHER
+    for c in range(256)
+)
+_NO_CUT, _CUT, _LAST_SPACE, _SINGLE, _LETTER = range(5)
+
+
+def _between(before: int, own: int) -> int:
+    """Whether texts are cut between bytes of two classes, or what decides (see ``_cuts``)."""
+    if before in (_SPACES, _WHITE):
+        return _LAST_SPACE if own == _SPACES else _SINGLE if before == _WHITE and own != _WHITE else _NO_CUT
+    if own in (_SPACES, _WHITE) or before == _WORD and own in (_MARK, _APOSTROPHE) or before == _MARK and own == _WORD:
+        return _CUT
+    return _LETTER if before in (_WIDE, _LEAD) and own in (_MARK, _APOSTROPHE) else _NO_CUT
+
+
+_PAIR = bytes(_between(pair >> 3, pair & 7) if pair < 64 else _NO_CUT for pair in range(256))
 #: bytes that occur in words of one-byte and two-byte letters, as far as one byte tells; bytes as the characters that stand for them
 _IN_WORDS = np.array([chr(c).isalpha() if c < 128 else c < 0xC0 or 0xC3 <= c <= 0xC8 for c in range(256)])
 _STANDS = np.array([_BYTES.get(c, 266 if c == 10 else c) for c in range(256)], "<u2")
@@ -167,9 +179,9 @@ class Encoder:
             part = texts.slice(at, max(1, upto - at))
             at += len(part)
             data, bounds = _bytes(part)
-            kind = _CLASS[np.frombuffer(data, np.uint8)]
-            odd = pc.match_substring_regex(part, _WIDE_SPACE) if (kind & _L).any() else None
-            text = data.to_pybytes() if self.added else b""
+            text = data.to_pybytes()
+            kind = text.translate(_CLASS)
+            odd = pc.match_substring_regex(part, _WIDE_SPACE) if _LEAD in kind else None
             for token in self.added:
                 if token.encode() in text:
                     more = pc.match_substring(part, token)
@@ -178,11 +190,11 @@ class Encoder:
                 yield from self._slice(data, bounds, kind)
                 continue
             data, bounds = _bytes(pc.if_else(odd, "", part))
-            plain = self._slice(data, bounds, _CLASS[np.frombuffer(data, np.uint8)])
+            plain = self._slice(data, bounds, data.to_pybytes().translate(_CLASS))
             for k, (is_odd, ids) in enumerate(zip(odd.to_pylist(), plain)):
                 yield self([part[k].as_py()])[0] if is_odd else ids
 
-    def _slice(self, data: pa.Buffer, bounds: np.ndarray, kind: np.ndarray) -> list[bytes]:
+    def _slice(self, data: pa.Buffer, bounds: np.ndarray, kind: bytes) -> list[bytes]:
         if not len(kind):
             return [b""] * (len(bounds) - 1)
         places = _cuts(np.frombuffer(data, np.uint8), bounds, kind).astype(np.int32)
@@ -272,28 +284,33 @@ def _bytes(texts: pa.Array) -> tuple[pa.Buffer, np.ndarray]:
     return (texts.buffers()[2] or pa.py_buffer(b"")).slice(int(bounds[0]), int(bounds[-1] - bounds[0])), bounds - bounds[0]
 
 
-def _cuts(data: np.ndarray, bounds: np.ndarray, kind: np.ndarray) -> np.ndarray:
+def _cuts(data: np.ndarray, bounds: np.ndarray, kind: bytes) -> np.ndarray:
     """Where texts, given as their bytes one after another and these bytes' classes, are cut: at their bounds and where the library always cuts.
 
     That is before white space, also before the last space of several white-space characters; after single white space
     other than a space; between a letter or digit and ASCII punctuation after it; and between ASCII punctuation without
     the apostrophe, which may begin a contraction, and an ASCII letter or digit.
     """
-    before, own = kind[:-1], kind[1:]
-    white, white_before = own & (_S | _W) != 0, before & (_S | _W) != 0
+    classes = np.frombuffer(kind, np.uint8)
+    pairs = classes[:-1] << 3
+    pairs |= classes[1:]
+    what = np.frombuffer(pairs.tobytes().translate(_PAIR), np.uint8)
     cut = np.zeros(len(data) + 1, bool)
-    cut[1:-1] = white & ~white_before
-    cut[1:-1] |= (before & _A != 0) & (own & _Q != 0)
-    cut[1:-1] |= (before & _P != 0) & (own & _A != 0)
-    # rare: looked at one by one. A text's end counts as white space, so that nothing is cut before its last space
-    at = np.flatnonzero(white_before & white & (own == _S)) + 1
+    np.equal(what, _CUT, out=cut[1:-1])
+    rare = np.flatnonzero(what > _CUT) + 1
+    which = what[rare - 1]
+    # a text's end counts as white space, so that nothing is cut before its last space
+    at = rare[which == _LAST_SPACE]
     at = at[at + 1 < len(data)]
-    at = at[kind[at + 1] & (_S | _W) == 0]
+    after = classes[at + 1]
+    at = at[(after != _SPACES) & (after != _WHITE)]
     cut[at[bounds[np.searchsorted(bounds, at, "right")] != at + 1]] = True
-    at = np.flatnonzero((before == _W) & ~white) + 1
-    cut[at[(at >= 2) & (kind[at - 2] & (_S | _W) == 0)]] = True
-    # letters of two bytes before punctuation
-    at = np.flatnonzero((own & _Q != 0) & (data[:-1] >= 128)) + 1
+    at = rare[which == _SINGLE]
+    at = at[at >= 2]
+    first = classes[at - 2]
+    cut[at[(first != _SPACES) & (first != _WHITE)]] = True
+    # letters of two bytes
+    at = rare[which == _LETTER]
     at = at[at >= 2]
     lead, last = data[at - 2], data[at - 1]
     cut[at[((lead >= 0xC4) & (lead <= 0xC8)) | ((lead == 0xC9) & (last < 0x90)) | ((lead == 0xC3) & (last != 0x97) & (last != 0xB7))]] = True
